@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstack.llm import bpe, pieces
+from quillstack.llm import bpe, neighbours, pieces
 from quillstack.runtime import table
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.neighbour_pairs(table(spark, d, "chunks"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.found_cuts(table(spark, d, "document_extractions"), table(spark, d, "chunk_config"))
 
@@ -20,7 +24,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_texts(table(spark, d, "documents"))
 
 
-QUERIES = {"p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids}
+QUERIES = {"p5_found": p5_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids}
 
 SQL = {
     "p7_found": r"""
