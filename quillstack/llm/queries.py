@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstack.llm import bpe, neighbours, pieces
+from quillstack.llm import bpe, canonical, neighbours, pieces
 from quillstack.runtime import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.found_titles(table(spark, d, "library_items"), table(spark, d, "scimago_quartiles"))
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.map_publications(table(spark, d, "library_items"), table(spark, d, "scimago_quartiles"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.neighbour_pairs(table(spark, d, "chunks"))
 
@@ -24,7 +32,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_texts(table(spark, d, "documents"))
 
 
-QUERIES = {"p5_found": p5_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p5_found": p5_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids}
 
 SQL = {
     "p7_found": r"""
