@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstack.llm import bpe, canonical, mixing, neighbours, pieces
+from quillstack.llm import bpe, canonical, mixing, neighbours, pieces, subjects
 from quillstack.runtime import table
 
 
@@ -41,7 +41,15 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.mix(table(spark, d, "documents"), targets), targets)
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p5_found": p5_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_shares(spark, d).select("doc_id", "subject")
+
+
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.document_subjects(table(spark, d, "documents"), table(spark, d, "subject_areas"), table(spark, d, "subject_examples"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p5_found": p5_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shares": p10_shares}
 
 SQL = {
     "p7_found": r"""
