@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstack.llm import bpe, canonical, mixing, neighbours, pieces, subjects
+from quillstack.llm import bpe, canonical, mixing, neighbours, pieces, scans, subjects
 from quillstack.runtime import table
 
 
@@ -16,6 +16,10 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return canonical.map_publications(table(spark, d, "library_items"), table(spark, d, "scimago_quartiles"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.found_noise(table(spark, d, "page_extractions"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.neighbour_pairs(table(spark, d, "chunks"))
 
@@ -49,7 +53,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return subjects.document_subjects(table(spark, d, "documents"), table(spark, d, "subject_areas"), table(spark, d, "subject_examples"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p5_found": p5_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shares": p10_shares}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p5_found": p5_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shares": p10_shares}
 
 SQL = {
     "p7_found": r"""
