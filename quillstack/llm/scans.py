@@ -168,7 +168,10 @@ def furniture(pages: DataFrame) -> DataFrame:
         return pd.Series(model.probability(x) if trained else np.where(ends.astype(bool), 0.0, 1.0))
 
     recurring = heads.where("repeats >= 2").withColumn("p", looks("place", "foot", "blank", "ends", "upper", "length"))
-    recurring = recurring.where(sure | (F.col("p") >= 0.5)).select("page_id", "item_key", "page_num", "line_no", F.lit("running_header").alias("kind"))
+    # all lines of a recurring key are decided together
+    judged = recurring.groupBy("item_key", "key", "foot").agg(F.avg("p").alias("p_all"), F.avg(F.col("ends").cast("int")).alias("ending"), F.avg("length").alias("long"))
+    recurring = recurring.join(judged, ["item_key", "key", "foot"])
+    recurring = recurring.where(sure | (F.col("p_all") >= 0.5) | ((F.col("ending") < 0.5) & (F.col("long") < 0.8))).select("page_id", "item_key", "page_num", "line_no", F.lit("running_header").alias("kind"))
     numbers = zone.where(F.col("value").isNotNull()).withColumn("offset", F.col("value") - F.col("page_num"))
     support = numbers.groupBy("item_key", "offset").agg(F.count_distinct("page_id").alias("support"))
     most = support.groupBy("item_key").agg(F.max("support").alias("most"))
