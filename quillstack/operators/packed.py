@@ -24,6 +24,8 @@ SEMICOLONS = ";；"
 QUOTES = {'"': '"', "'": "'", "“": "”", "„": "“", "«": "»", "‘": "’"}
 UNSEEN = 0.1  # pseudo-count of a value never met
 ROUNDS = 3
+#: How often each kind of gap is taken to separate before anything is learned.
+FIRST_CUTS = {",": 0.9, "/": 0.2, " / ": 0.95}
 
 RUN = T.ArrayType(T.StructType([T.StructField("pieces", T.ArrayType(T.StringType())), T.StructField("gaps", T.ArrayType(T.StringType())), T.StructField("kinds", T.ArrayType(T.StringType()))]))
 
@@ -215,7 +217,9 @@ def viterbi(n: int, edges: list[tuple[int, int, float]], log_cut: list[float], l
     return chain[::-1]
 
 
-EDGE = "array<struct<i:int,j:int,value:string,seen:double>>"
+def log_weight(i: int, j: int, seen: float, size: float) -> float:
+    """Log share of a value; one never met counts less with every gap inside it."""
+    return math.log((seen + UNSEEN * (UNSEEN / size) ** (j - i)) / size)
 
 
 def _gap_logs(kinds: list[str], cut: dict[str, float]) -> tuple[list[float], list[float]]:
@@ -244,7 +248,7 @@ def split_runs(runs: DataFrame, certain: DataFrame, rounds: int = ROUNDS) -> Dat
     edges = written(runs.mapInPandas(spans, shape), "spans")
     learned = certain
     total = certain_total + (runs.agg(F.sum(F.size("pieces") * F.col("times"))).first()[0] or 0.0)
-    cut: dict[str, float] = {}
+    cut = dict(FIRST_CUTS)
 
     def lattices(model: DataFrame) -> DataFrame:
         scored = lookup_join(edges, model, "value")
@@ -254,22 +258,25 @@ def split_runs(runs: DataFrame, certain: DataFrame, rounds: int = ROUNDS) -> Dat
     for _ in range(rounds):
         share, size = dict(cut), float(total)
 
-        @F.pandas_udf("array<struct<value:string,seen:double,kind:string,cut:double,gaps:double>>")
+        @F.pandas_udf("array<struct<value:string,inner:boolean,seen:double,kind:string,cut:double,gaps:double>>")
         def expected(kinds: pd.Series, found: pd.Series, times: pd.Series) -> pd.Series:
             out = []
             for k, es, t in zip(kinds, found, times):
                 k, n = list(k), len(k) + 1
                 log_cut, log_keep = _gap_logs(k, share)
-                post = posteriors(n, [(e["i"], e["j"], math.log((e["seen"] + UNSEEN) / size)) for e in es], log_cut, log_keep)
-                rows = [{"value": e["value"], "seen": post[e["i"], e["j"]] * t, "kind": None, "cut": None, "gaps": None} for e in es if post[e["i"], e["j"]] > 1e-6]
+                post = posteriors(n, [(e["i"], e["j"], log_weight(e["i"], e["j"], e["seen"], size)) for e in es], log_cut, log_keep)
+                rows = [{"value": e["value"], "inner": e["j"] > e["i"], "seen": post[e["i"], e["j"]] * (1 if e["j"] > e["i"] else t), "kind": None, "cut": None, "gaps": None} for e in es if post[e["i"], e["j"]] > 1e-6]
                 for g, kind in enumerate(k):
-                    rows.append({"value": None, "seen": None, "kind": kind, "cut": t * sum(p for (i, j), p in post.items() if j == g), "gaps": float(t)})
+                    rows.append({"value": None, "inner": None, "seen": None, "kind": kind, "cut": t * sum(p for (i, j), p in post.items() if j == g), "gaps": float(t)})
                 out.append(rows)
             return pd.Series(out)
 
         counted = written(lattices(learned).select(F.explode(expected("kinds", "edges", "times")).alias("x")).select("x.*"), "expected")
-        cut = {r["kind"]: r["share"] for r in counted.where("kind is not null").groupBy("kind").agg(((F.sum("cut") + 0.5) / (F.sum("gaps") + 1.0)).alias("share")).collect()}  # one row per kind of gap
-        learned = certain.unionByName(counted.where("value is not null").select("value", "seen")).groupBy("value").agg(F.sum("seen").alias("seen"))
+        cut |= {r["kind"]: r["share"] for r in counted.where("kind is not null").groupBy("kind").agg(((F.sum("cut") + 0.5) / (F.sum("gaps") + 1.0)).alias("share")).collect()}  # one row per kind of gap
+        # a value with gaps inside is only borne out by other runs than its own: one occurrence is taken off
+        met = counted.where("value is not null").groupBy("value", "inner").agg(F.sum("seen").alias("seen"))
+        met = met.select("value", F.when(F.col("inner"), F.greatest(F.col("seen") - 1, F.lit(0.0))).otherwise(F.col("seen")).alias("seen"))
+        learned = certain.unionByName(met).groupBy("value").agg(F.sum("seen").alias("seen"))
         learned = written(learned, "values")
         total = learned.agg(F.sum("seen")).first()[0] or 1.0
 
@@ -282,7 +289,7 @@ def split_runs(runs: DataFrame, certain: DataFrame, rounds: int = ROUNDS) -> Dat
             k = list(k)
             log_cut, log_keep = _gap_logs(k, share)
             name = {(e["i"], e["j"]): e["value"] for e in es}
-            out.append([name[e] for e in viterbi(len(k) + 1, [(e["i"], e["j"], math.log((e["seen"] + UNSEEN) / size)) for e in es], log_cut, log_keep)])
+            out.append([name[e] for e in viterbi(len(k) + 1, [(e["i"], e["j"], log_weight(e["i"], e["j"], e["seen"], size)) for e in es], log_cut, log_keep)])
         return pd.Series(out)
 
     return lattices(learned).select("run_id", decode("kinds", "edges").alias("entries"))
