@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,8 @@ SHARE = 0.25  # of the units a subject must have
 RANK, EXTRA, POWER_ROUNDS = 16, 12, 3
 REFINE_ROUNDS = 3
 LEAST_DOCS, LEAST_SHARE = 5, 0.0005  # a word counts from so many documents, and so large a share, of its language
+MOST_SHARE = 0.4  # words in a larger share of the documents tell nothing about subjects
+DENSE_CELLS = 2_000_000  # cells of the dense blocks in which documents meet words
 EXAMPLE_ROWS = 20_000  # documented bound of labelled rows that seed the centroids
 LEAN = 0.15  # least leaning of a word that says anything
 SURE = 0.5  # least length of a unit's weighted vector to deal with something
@@ -110,31 +113,36 @@ class Coder(dict):
 
 CODE = Coder()
 _FUNCTION = [frozenset(CODE[w] for w in words.split()) for words in FUNCTION_WORDS.values()]
-_TELLING = {c: [i for i, s in enumerate(_FUNCTION) if c in s] for s in _FUNCTION for c in s}
+_ALL_FUNCTION = frozenset().union(*_FUNCTION)
 
 
 def read_text(text: str | None) -> tuple[int, list[list[int]]]:
-    """(number of the language, distinct word numbers of each unit)."""
+    """(number of the language, distinct word numbers of each unit, without function words)."""
     score = [0] * len(LANGUAGES)
     coded = []
     if text:
-        code = CODE.__getitem__
+        code, find = CODE.__getitem__, WORD.findall
         for unit in units(text):
-            numbers = list({*map(code, WORD.findall(unit.lower()))})
-            for n in numbers:
-                if n in _TELLING:
-                    for i in _TELLING[n]:
-                        score[i] += 1
-            coded.append(numbers)
+            numbers = {*map(code, find(unit.lower()))}
+            told = numbers & _ALL_FUNCTION
+            if told:
+                for i, own in enumerate(_FUNCTION):
+                    score[i] += len(told & own)
+                numbers -= told
+            coded.append(list(numbers))
     return max(range(len(score)), key=score.__getitem__), coded
 
 
+def flat_list(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.astype(np.int32)))
+
+
 def coded_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, language, words (numbers, unit after unit), sizes (words per unit)."""
+    """doc_id, language, words (numbers, unit after unit), sizes (words per unit), terms (distinct numbers of the document), times (units with each)."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            languages, words, ends, sizes, unit_ends = [], [], [0], [], [0]
+            languages, words, ends, sizes, unit_ends = [], array("i"), [0], array("i"), [0]
             for text in part.column(1):
                 language, coded = read_text(text.as_py())
                 languages.append(language)
@@ -143,53 +151,62 @@ def coded_documents(docs: DataFrame) -> DataFrame:
                     sizes.append(len(numbers))
                 ends.append(len(words))
                 unit_ends.append(len(sizes))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(languages, pa.int8()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words, pa.int32())), pa.ListArray.from_arrays(pa.array(unit_ends, pa.int32()), pa.array(sizes, pa.int32()))], names=["doc_id", "language", "words", "sizes"])
-
-    return docs.select("doc_id", "text").where(F.length("text") > 0).mapInArrow(batches, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, language tinyint, words array<int>, sizes array<int>")
-
-
-class Batch:
-    """Documents of one language out of a record batch, as flat arrays."""
-
-    def __init__(self, doc_ids, words: np.ndarray, word_doc: np.ndarray, sizes: np.ndarray, unit_doc: np.ndarray, docs: int):
-        self.doc_ids, self.words, self.word_doc, self.sizes, self.unit_doc, self.docs = doc_ids, words, word_doc, sizes, unit_doc, docs
-
-    @classmethod
-    def split(cls, part: pa.RecordBatch) -> Iterator[tuple[int, Batch]]:
-        language = part.column(1).to_numpy(zero_copy_only=False)
-        lists = [part.column(i) for i in (2, 3)]
-        for lang in np.unique(language):
-            rows = np.flatnonzero(language == lang)
-            if len(rows) == len(language):
-                w, s, ids = lists[0], lists[1], part.column(0)
-            else:
-                take = pa.array(rows)
-                w, s, ids = lists[0].take(take), lists[1].take(take), part.column(0).take(take)
-            n_words = np.diff(w.offsets.to_numpy())
-            n_units = np.diff(s.offsets.to_numpy())
-            doc = np.arange(len(rows))
-            yield int(lang), cls(ids, w.flatten().to_numpy(), np.repeat(doc, n_words), s.flatten().to_numpy(), np.repeat(doc, n_units), len(rows))
-
-    def known(self, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(places in the vocabulary, documents, units) of the words that are in it."""
-        at = np.searchsorted(vocabulary, self.words)
-        at[at == len(vocabulary)] = 0
-        hit = vocabulary[at] == self.words if len(vocabulary) else np.zeros(len(self.words), bool)
-        unit = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        return at[hit], self.word_doc[hit], unit[hit]
-
-
-def sums_by(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Rows of ``values`` added up by ``index``."""
-    return np.stack([np.bincount(index, values[:, j], n) for j in range(values.shape[1])], axis=1) if len(index) else np.zeros((n, values.shape[1]))
+            flat, ends = np.frombuffer(words, np.int32) if words else np.empty(0, np.int32), np.array(ends)
+            doc = np.repeat(np.arange(len(languages), dtype=np.int64), np.diff(ends))
+            pairs, times = np.unique(doc << 31 | flat, return_counts=True)
+            term_ends = np.searchsorted(pairs >> 31, np.arange(len(languages) + 1))
+            sizes = np.frombuffer(sizes, np.int32) if sizes else np.empty(0, np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(languages, pa.int8()), flat_list(flat, ends), flat_list(sizes, np.array(unit_ends)), flat_list(pairs & 0x7FFFFFFF, term_ends), flat_list(times, term_ends)],
+                names=["doc_id", "language", "words", "sizes", "terms", "times"],
+            )
+
+    return docs.select("doc_id", "text").where(F.length("text") > 0).mapInArrow(batches, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, language tinyint, words array<int>, sizes array<int>, terms array<int>, times array<int>")
+
+
+def lists_of(part: pa.RecordBatch, names: tuple[str, ...]) -> Iterator[tuple[int, int, list[tuple[np.ndarray, np.ndarray]], np.ndarray]]:
+    """(language, documents, (values, sizes) of each list column, row numbers) of the documents of each language in a batch."""
+    language = part.column(part.schema.get_field_index("language")).to_numpy(zero_copy_only=False)
+    for lang in np.unique(language):
+        rows = np.flatnonzero(language == lang)
+        lists = []
+        for name in names:
+            column = part.column(part.schema.get_field_index(name))
+            if len(rows) < len(language):
+                column = column.take(pa.array(rows))
+            lists.append((column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())))
+        yield int(lang), len(rows), lists, rows
+
+
+def places(words: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
+    """Places of the words in the sorted vocabulary, -1 for others."""
+    at = np.searchsorted(vocabulary, words)
+    at[at == len(vocabulary)] = 0
+    return np.where(vocabulary[at] == words, at, -1)
+
+
+def blocks(doc: np.ndarray, at: np.ndarray, values: np.ndarray, docs: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """(documents, words that occur in them, dense matrix of the values) in blocks of a bounded number of cells. ``doc`` is sorted."""
+    step, first = 256, 0
+    while first < docs:
+        last = min(docs, first + step)
+        lo, hi = np.searchsorted(doc, (first, last))
+        local, where = np.unique(at[lo:hi], return_inverse=True)
+        if len(local) * (last - first) > DENSE_CELLS and last - first > 1:
+            step = max(1, (last - first) // 2)
+            continue
+        if len(local):
+            n = last - first
+            yield slice(first, last), local, np.bincount((doc[lo:hi] - first) * len(local) + where, values[lo:hi], n * len(local)).reshape(n, len(local)).astype(np.float32)
+        first = last
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
 
-def gathered(coded: DataFrame, work, widths: dict[int, tuple[int, int]]) -> dict[int, np.ndarray]:
-    """Sum over the corpus of one matrix per language. ``work(language, batch)`` gives a batch's part of it.
+def gathered(coded: DataFrame, columns: tuple[str, ...], work, widths: dict[int, tuple[int, int]]) -> dict[int, np.ndarray]:
+    """Sum over the corpus of one matrix per language. ``work(language, documents, lists, sum)`` adds a batch's part to it.
 
     Each task adds up its own parts and sends blocks of rows; blocks are added by key, so nothing larger than the
     vocabulary meets in one place.
@@ -198,10 +215,9 @@ def gathered(coded: DataFrame, work, widths: dict[int, tuple[int, int]]) -> dict
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for part in parts:
-            for lang, batch in Batch.split(part):
+            for lang, docs, lists, _ in lists_of(part, columns):
                 if lang in widths:
-                    got = work(lang, batch)
-                    total[lang] = total[lang] + got if lang in total else got
+                    work(lang, docs, lists, total.setdefault(lang, np.zeros(widths[lang])))
         rows = [(lang, b, m[b : b + BLOCK_WORDS].astype(np.float64).tobytes()) for lang, m in total.items() for b in range(0, len(m), BLOCK_WORDS)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["lang", "block", "part"])
 
@@ -210,7 +226,7 @@ def gathered(coded: DataFrame, work, widths: dict[int, tuple[int, int]]) -> dict
         return pd.DataFrame({"lang": pdf["lang"].iloc[:1], "block": pdf["block"].iloc[:1], "part": [whole.tobytes()]})
 
     shape = "lang int, block int, part binary"
-    found = coded.mapInArrow(batches, shape).groupBy("lang", "block").applyInPandas(add, shape).collect()  # vocabulary x rank at most
+    found = coded.select("language", *columns).mapInArrow(batches, shape).groupBy("lang", "block").applyInPandas(add, shape).collect()  # vocabulary x rank at most
     out = {lang: np.zeros(shape_) for lang, shape_ in widths.items()}
     for r in found:
         part = np.frombuffer(r["part"]).reshape(-1, widths[r["lang"]][1])
@@ -228,8 +244,17 @@ class Model:
         self.weights: dict[int, np.ndarray] = {}
         self.centroids: dict[int, np.ndarray] = {}
 
-    def embed(self, lang: int, at: np.ndarray, unit: np.ndarray, n: int) -> np.ndarray:
-        return sums_by(unit, (self.vectors[lang] * self.weights[lang][:, None])[at], n)
+    def embed(self, lang: int, words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Weighted sums of the word vectors of each unit."""
+        weighted = (self.vectors[lang] * self.weights[lang][:, None]).astype(np.float32)
+        at = places(words, self.vocabulary[lang])
+        says = (at >= 0) & (self.weights[lang][at] > 0)
+        unit = np.repeat(np.arange(len(sizes)), sizes)[says]
+        out = np.zeros((len(sizes), weighted.shape[1]), np.float32)
+        if len(unit):
+            starts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
+            out[unit[starts]] = np.add.reduceat(weighted[at[says]], starts, axis=0)
+        return out
 
 
 def fit(coded: DataFrame, examples: list[tuple[str, int]], n_subjects: int) -> Model:
@@ -239,16 +264,15 @@ def fit(coded: DataFrame, examples: list[tuple[str, int]], n_subjects: int) -> M
 
     def presence(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for lang, b in Batch.split(part):
-                pairs = np.unique(b.word_doc.astype(np.int64) << 31 | b.words)
-                words, n = np.unique(pairs & 0x7FFFFFFF, return_counts=True)
+            for lang, _, lists, _ in lists_of(part, ("terms",)):
+                words, n = np.unique(lists[0][0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), lang, np.int32)), pa.array(words.astype(np.int32)), pa.array(n.astype(np.int64))], names=["lang", "word", "n"])
 
-    spread = coded.mapInArrow(presence, "lang int, word int, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    spread = coded.select("language", "terms").mapInArrow(presence, "lang int, word int, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     least = F.greatest(F.lit(float(LEAST_DOCS)), F.element_at(F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, n * LEAST_SHARE)]), F.col("lang"))) if totals else F.lit(0.0)
     kept = spread.where(F.col("n") >= least).collect() if totals else []  # at most (words per document) / LEAST_SHARE rows
     for lang in totals:
-        own = sorted((r["word"], r["n"]) for r in kept if r["lang"] == lang)
+        own = sorted((r["word"], r["n"]) for r in kept if r["lang"] == lang and (r["n"] <= MOST_SHARE * totals[lang] or totals[lang] < 50))
         if own:
             model.vocabulary[lang] = np.array([w for w, _ in own], dtype=np.int32)
             model.idf[lang] = np.log((totals[lang] + 1) / np.array([n for _, n in own], dtype=float))
@@ -258,19 +282,25 @@ def fit(coded: DataFrame, examples: list[tuple[str, int]], n_subjects: int) -> M
     columns = RANK + EXTRA
     basis = {lang: np.linalg.qr(np.random.default_rng(5 + lang).standard_normal((len(model.vocabulary[lang]), columns)))[0] if len(model.vocabulary[lang]) >= columns else np.eye(len(model.vocabulary[lang])) for lang in live}
 
-    def product(lang: int, b: Batch) -> np.ndarray:
+    def known(lang: int, docs: int, lists: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(documents, places, times) of the terms in the vocabulary."""
+        (terms, sizes), (times, _) = lists
+        at = places(terms, model.vocabulary[lang])
+        hit = at >= 0
+        return np.repeat(np.arange(docs), sizes)[hit], at[hit], times[hit]
+
+    def product(lang: int, docs: int, lists: list, total: np.ndarray) -> None:
         """Part of A'A Q, and in the last column of A'1, for the weighted rows A."""
-        at, doc, _ = b.known(model.vocabulary[lang])
-        weight = model.idf[lang][at]
-        norm = np.sqrt(np.bincount(doc, weight**2, b.docs))
-        weight = weight / np.maximum(norm[doc], 1e-12)
-        q = np.hstack([basis[lang], np.zeros((len(basis[lang]), 1))])
-        rows = sums_by(doc, q[at] * weight[:, None], b.docs)
-        rows[:, -1] = 1.0
-        return sums_by(at, rows[doc] * weight[:, None], len(basis[lang]))
+        doc, at, times = known(lang, docs, lists)
+        weight = np.log1p(times) * model.idf[lang][at]
+        weight = weight / np.maximum(np.sqrt(np.bincount(doc, weight**2, docs))[doc], 1e-12)
+        q = basis[lang].astype(np.float32)
+        for _, local, a in blocks(doc, at, weight, docs):
+            total[local, :-1] += a.T @ (a @ q[local])
+            total[local, -1] += a.sum(axis=0)
 
     for turn in range(POWER_ROUNDS):
-        got = gathered(coded, product, {lang: (len(basis[lang]), basis[lang].shape[1] + 1) for lang in live})
+        got = gathered(coded, ("terms", "times"), product, {lang: (len(basis[lang]), basis[lang].shape[1] + 1) for lang in live})
         for lang in live:
             y, mean = got[lang][:, :-1], got[lang][:, -1]
             y = y - np.outer(mean, mean @ basis[lang]) / max(1, totals[lang])
@@ -288,38 +318,37 @@ def fit(coded: DataFrame, examples: list[tuple[str, int]], n_subjects: int) -> M
         sums = np.zeros((n_subjects, model.vectors[lang].shape[1]))
         for (language, coded_units), subject in read:
             if language == lang:
-                words = np.unique(np.array([w for u in coded_units for w in u], dtype=np.int32))
-                at = np.searchsorted(model.vocabulary[lang], words)
-                at[at == len(model.vocabulary[lang])] = 0
-                at = at[model.vocabulary[lang][at] == words]
-                sums[subject] += unit_rows(model.embed(lang, at, np.zeros(len(at), int), 1))[0]
+                words = np.array(sorted({w for u in coded_units for w in u}), dtype=np.int32)
+                sums[subject] += unit_rows(model.embed(lang, words, np.array([len(words)])))[0]
         seeds[lang] = centred(unit_rows(sums))
     model.centroids = dict(seeds)
     for turn in range(REFINE_ROUNDS):
 
-        def leaning(lang: int, b: Batch) -> np.ndarray:
+        def leaning(lang: int, docs: int, lists: list, total: np.ndarray) -> None:
             """Subjects of the documents each word stands in; below them the sums of each subject's units."""
-            at, doc, unit = b.known(model.vocabulary[lang])
-            e = model.embed(lang, at, unit, len(b.sizes))
+            (words, n_words), (sizes, n_units) = lists[:2]
+            e = model.embed(lang, words, sizes)
             length = np.linalg.norm(e, axis=1)
-            near = unit_rows(e) @ model.centroids[lang].T
-            order = np.sort(near, axis=1)
-            clear = (order[:, -1] > 0.5) & (order[:, -1] - order[:, -2] > 0.15) & (length > (SURE if turn else 0))
-            best = np.where(clear, near.argmax(axis=1), -1)
-            chosen = np.zeros((len(e), n_subjects))
-            chosen[np.flatnonzero(clear), best[clear]] = 1
-            docs = sums_by(b.unit_doc, chosen * length[:, None], b.docs)
-            docs /= np.maximum(docs.sum(axis=1, keepdims=True), 1e-12)
-            lean = sums_by(at, docs[doc], len(model.vocabulary[lang]))
-            sums = chosen.T @ unit_rows(e)
-            counts = chosen.sum(axis=0)
-            out = np.zeros((len(lean) + n_subjects, max(n_subjects, sums.shape[1]) + 1))
-            out[: len(lean), :n_subjects] = lean
-            out[len(lean) :, : sums.shape[1]] = sums
-            out[len(lean) :, -1] = counts
-            return out
-
-        got = gathered(coded, leaning, {lang: (len(model.vocabulary[lang]) + n_subjects, max(n_subjects, model.vectors[lang].shape[1]) + 1) for lang in live})
+            e = unit_rows(e)
+            near = e @ model.centroids[lang].T.astype(np.float32)
+            best = near.argmax(axis=1)
+            rows = np.arange(len(near))
+            top = near[rows, best]
+            near[rows, best] = -2
+            clear = np.flatnonzero((top > 0.5) & (top - near.max(axis=1, initial=-2) > 0.15) & (length > (SURE if turn else 0)))
+            unit_doc = np.repeat(np.arange(docs), n_units)
+            n = len(model.vocabulary[lang])
+            whole = np.bincount(unit_doc[clear] * n_subjects + best[clear], length[clear], docs * n_subjects).reshape(docs, n_subjects)
+            whole = (whole / np.maximum(whole.sum(axis=1, keepdims=True), 1e-12)).astype(np.float32)
+            doc, at, times = known(lang, docs, lists[2:])
+            for rows_, local, a in blocks(doc, at, times, docs):
+                total[local, :n_subjects] += a.T @ whole[rows_]
+            for subject in range(n_subjects):
+                mine = clear[best[clear] == subject]
+                total[n + subject, : e.shape[1]] += e[mine].sum(axis=0)
+                total[n + subject, -1] += len(mine)
+
+        got = gathered(coded, ("words", "sizes", "terms", "times"), leaning, {lang: (len(model.vocabulary[lang]) + n_subjects, max(n_subjects, model.vectors[lang].shape[1]) + 1) for lang in live})
         for lang in live:
             n, rank = len(model.vocabulary[lang]), model.vectors[lang].shape[1]
             lean, sums, counts = got[lang][:n, :n_subjects], got[lang][n:, :rank], got[lang][n:, -1]
@@ -348,23 +377,26 @@ def assign(coded: DataFrame, model: Model, subjects: list[str], share: float = S
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for lang, b in Batch.split(part):
+            for lang, docs, ((words, _), (sizes, n_units)), rows in lists_of(part, ("words", "sizes")):
                 if lang not in model.centroids:
                     continue
-                at, _, unit = b.known(model.vocabulary[lang])
-                e = model.embed(lang, at, unit, len(b.sizes))
+                e = model.embed(lang, words, sizes)
+                unit_doc = np.repeat(np.arange(docs), n_units)
                 sure = np.linalg.norm(e, axis=1) > SURE
-                near = unit_rows(e) @ model.centroids[lang].T
-                whole = sums_by(b.unit_doc, np.where(sure[:, None], np.clip(near, 0, 1) ** 4, 0), b.docs)
+                near = (unit_rows(e) @ model.centroids[lang].T.astype(np.float32))[sure]
+                of = unit_doc[sure]
+                whole = np.zeros((docs, len(subjects)), np.float32)
+                if len(of):
+                    starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+                    whole[of[starts]] = np.add.reduceat(np.clip(near, 0, 1) ** 4, starts, axis=0)
                 whole /= np.maximum(whole.sum(axis=1, keepdims=True), 1e-12)
-                best = (near + CONTEXT * whole[b.unit_doc]).argmax(axis=1)
-                hits = np.bincount(b.unit_doc[sure] * len(subjects) + best[sure], minlength=b.docs * len(subjects)).reshape(b.docs, len(subjects))
-                total = np.bincount(b.unit_doc, minlength=b.docs)
-                part_of = hits / np.maximum(total, 1)[:, None]
+                best = (near + CONTEXT * whole[of]).argmax(axis=1) if len(of) else np.empty(0, int)
+                hits = np.bincount(of * len(subjects) + best, minlength=docs * len(subjects)).reshape(docs, len(subjects))
+                part_of = hits / np.maximum(n_units, 1)[:, None]
                 doc, subject = np.nonzero((part_of >= share) & (hits > 0))
-                yield pa.RecordBatch.from_arrays([b.doc_ids.take(pa.array(doc)), pa.array([subjects[s] for s in subject], pa.string()), pa.array(part_of[doc, subject])], names=["doc_id", "subject", "share"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows[doc])), pa.array([subjects[s] for s in subject], pa.string()), pa.array(part_of[doc, subject])], names=["doc_id", "subject", "share"])
 
-    return coded.mapInArrow(batches, f"doc_id {kind}, subject string, share double")
+    return coded.select("doc_id", "language", "words", "sizes").mapInArrow(batches, f"doc_id {kind}, subject string, share double")
 
 
 def document_subjects(documents: DataFrame, subject_areas: DataFrame, subject_examples: DataFrame, share: float = SHARE) -> DataFrame:
