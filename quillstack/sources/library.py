@@ -114,7 +114,7 @@ def works_from_json(spark: SparkSession, path: str) -> DataFrame:
 
 def cites_of(works: DataFrame) -> DataFrame:
     """(src, dst, position) of the references of works, in the order of the bibliography."""
-    return works.select(F.col("work_id").alias("src"), F.posexplode("referenced").alias("position", "dst"))
+    return works.select(F.col("work_id").alias("src"), F.posexplode("referenced").alias("position", "dst")).select("src", "dst", "position")
 
 
 def binary_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
