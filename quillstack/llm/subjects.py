@@ -36,11 +36,12 @@ SHARE = 0.25  # of the units a subject must have
 RANK, EXTRA, POWER_ROUNDS = 16, 12, 3
 REFINE_ROUNDS = 3
 LEAST_DOCS, LEAST_SHARE = 5, 0.0005  # a word counts from so many documents, and so large a share, of its language
-MOST_SHARE = 0.4  # words in a larger share of the documents tell nothing about subjects
+MOST_SHARE = 0.8  # words in a larger share of the documents tell nothing about subjects
 DENSE_CELLS = 2_000_000  # cells of the dense blocks in which documents meet words
 EXAMPLE_ROWS = 20_000  # documented bound of labelled rows that seed the centroids
 LEAN = 0.15  # least leaning of a word that says anything
 SURE = 0.5  # least length of a unit's weighted vector to deal with something
+LEAST_IDF = 1.5  # a word that leans to a subject counts at least so much, however common it is
 CONTEXT = 0.5  # say of the document in a unit's subject
 BLOCK_WORDS = 2048
 
@@ -356,7 +357,7 @@ def fit(coded: DataFrame, examples: list[tuple[str, int]], n_subjects: int) -> M
             p = lean / np.maximum(prior, 1e-12) / n_subjects
             p = (p + 1.0) / (p.sum(axis=1, keepdims=True) + n_subjects)
             lean = np.clip(1 + (p * np.log(p)).sum(axis=1) / math.log(max(n_subjects, 2)), 0, 1)
-            model.weights[lang] = model.idf[lang] * np.where(lean >= (LEAN if turn == REFINE_ROUNDS - 1 else 0), lean, 0)
+            model.weights[lang] = np.maximum(model.idf[lang], LEAST_IDF) * np.where(lean >= (LEAN if turn == REFINE_ROUNDS - 1 else 0), lean, 0)
             moved = np.where((counts > 5)[:, None], sums / np.maximum(counts, 1)[:, None] + 0.3 * seeds[lang], seeds[lang])
             model.centroids[lang] = centred(moved)
     return model
