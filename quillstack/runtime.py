@@ -64,6 +64,18 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, max_rows) else df
 
 
+def bounded_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """About ``n`` rows at most, the same ones every time: those whose hash of ``keys`` falls below the share that gives ``n``.
+
+    Each task passes on its share only, so the driver never meets more than about ``n`` rows, whatever the number of tasks.
+    """
+    total = df.count()
+    if total <= n:
+        return df
+    grain = 1 << 30
+    return df.where(F.pmod(F.xxhash64(*keys, F.lit(17)), F.lit(grain)) < int(grain * n / total)).limit(n)
+
+
 def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
     """Equi-join of ``left`` to ``right`` (unique on ``key``) that stays balanced when one key holds much of ``left``.
 
