@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillstack.runtime import lookup_join, written
+from quillstack.runtime import bounded_sample, lookup_join, written
 
 DIMENSION = 96
 NEIGHBOURS = 5
@@ -27,6 +27,7 @@ SHARD_ROWS = 2048  # points a shard aims at
 PROBES = 6  # pivots a point asks
 PIVOT_SAMPLE = 20_000  # documented bound: points the pivots are fitted on
 BREADTH = 40  # beam of the graph search
+KEPT = 2  # times k + 1 hits of a point that are kept of all shards
 LINKS, UPPER_LINKS, BACK_LINKS, CANDIDATES = 16, 10, 16, 40
 
 
@@ -165,10 +166,10 @@ def usable(chunks: DataFrame, dimension: int) -> DataFrame:
             flat = np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), np.float32).reshape(-1, dimension) + np.float32(0)
             good = np.isfinite(flat).all(axis=1) & (np.abs(flat).max(axis=1, initial=0) > 0)
             raw = [r.tobytes() for r in flat[good]]
-            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(good)), pa.array([hashlib.blake2b(r, digest_size=12).hexdigest() for r in raw], pa.string()), pa.array(raw, pa.binary())], names=["chunk_id", "point", "vector"])
+            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(good)), pa.array([hashlib.blake2b(r, digest_size=12).digest() for r in raw], pa.binary()), pa.array(raw, pa.binary())], names=["chunk_id", "point", "vector"])
 
     whole = chunks.select("chunk_id", "embeddings").where(F.col("chunk_id").isNotNull() & (F.size("embeddings") == dimension) & ~F.exists("embeddings", lambda v: v.isNull()))
-    return whole.mapInArrow(batches, "chunk_id string, point string, vector binary")
+    return whole.mapInArrow(batches, "chunk_id string, point binary, vector binary")
 
 
 def fit_pivots(sample: np.ndarray, n: int, rounds: int = 8, seed: int = 11) -> np.ndarray:
@@ -198,7 +199,7 @@ def top_neighbours(chunks: DataFrame, k: int = NEIGHBOURS, dimension: int = DIME
     total = members.count()
     if total == 0:
         return spark.createDataFrame([], "chunk_id string, rank int, neighbour string, cosine double")
-    sample = members.select("vector").orderBy(F.xxhash64("point")).limit(PIVOT_SAMPLE).collect()  # bounded by PIVOT_SAMPLE
+    sample = bounded_sample(members.select("point", "vector"), PIVOT_SAMPLE, "point").select("vector").collect()  # bounded by PIVOT_SAMPLE
     pivots = fit_pivots(unit(np.frombuffer(b"".join(bytes(r[0]) for r in sample), np.float32).reshape(-1, dimension)), max(1, math.ceil(total / shard_rows)))
     asked = min(probes, len(pivots))
 
@@ -210,7 +211,7 @@ def top_neighbours(chunks: DataFrame, k: int = NEIGHBOURS, dimension: int = DIME
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, order.size + 1, asked, dtype=np.int32)), pa.array(order.ravel()))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["point", "vector", "pivots"])
 
-    routed = written(members.select("point", "vector").mapInArrow(route, "point string, vector binary, pivots array<int>"), "routed")
+    routed = written(members.select("point", "vector").mapInArrow(route, "point binary, vector binary, pivots array<int>"), "routed")
     crowds = routed.groupBy(F.col("pivots")[0].alias("pivot")).count().collect()  # one row per pivot
     parts_of = {r["pivot"]: max(1, math.ceil(r["count"] / (2 * shard_rows))) for r in crowds}
     split = F.create_map(*[F.lit(x) for kv in sorted(parts_of.items()) for x in kv])
@@ -218,12 +219,12 @@ def top_neighbours(chunks: DataFrame, k: int = NEIGHBOURS, dimension: int = DIME
     homes = routed.select("point", "vector", F.col("pivots")[0].alias("pivot"), part.alias("part"))
 
     def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("point", kind="stable")
+        pdf = pdf.iloc[np.argsort(pdf["point"].to_numpy(), kind="stable")]
         graph = Graph.build(unit(np.frombuffer(b"".join(pdf["vector"]), np.float32).reshape(-1, dimension)))
         vectors, links, sizes = graph.pack()
         return pd.DataFrame({"pivot": [key[0]], "part": [key[1]], "points": [pdf["point"].tolist()], "raw": [b"".join(pdf["vector"])], "vectors": [vectors], "links": [links], "sizes": [sizes]})
 
-    shape = "pivot int, part int, points array<string>, raw binary, vectors binary, links binary, sizes array<int>"
+    shape = "pivot int, part int, points array<binary>, raw binary, vectors binary, links binary, sizes array<int>"
     shards = written(homes.groupBy("pivot", "part").applyInPandas(build, shape), "shards")
     # every point asks all shards of its pivots; questions to one shard are cut into blocks of bounded size
     wanted = routed.select("point", "vector", F.explode("pivots").alias("pivot"))
@@ -237,10 +238,10 @@ def top_neighbours(chunks: DataFrame, k: int = NEIGHBOURS, dimension: int = DIME
 
     def ask(key, asking: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
         if not len(asking) or not len(shard):
-            return pd.DataFrame({"point": [], "other": [], "cosine": []}).astype({"point": str, "other": str, "cosine": float})
+            return pd.DataFrame({"point": [], "other": [], "cosine": []}).astype({"point": object, "other": object, "cosine": float})
         s = shard.iloc[0]
         graph = Graph.unpack(s["vectors"], s["links"], list(s["sizes"]))
-        names = np.asarray(s["points"], dtype=object)
+        names = np.fromiter(s["points"], dtype=object, count=len(s["points"]))
         raw = np.frombuffer(s["raw"], np.float32).reshape(-1, dimension).astype(np.float64)
         mine = np.frombuffer(b"".join(asking["vector"]), np.float32).reshape(-1, dimension)
         nodes, _ = graph.search(unit(mine), k + 3, max(BREADTH, k + 3))
@@ -251,9 +252,11 @@ def top_neighbours(chunks: DataFrame, k: int = NEIGHBOURS, dimension: int = DIME
         out = pd.DataFrame({"point": asking["point"].to_numpy()[who], "other": names[found], "cosine": np.round(cosine, 12)})
         return out[out["point"] != out["other"]]
 
-    hits = wanted.groupBy("pivot", "part", "block").cogroup(sent.groupBy("pivot", "part", "block")).applyInPandas(ask, "point string, other string, cosine double")
-    hits = written(hits, "hits")
-    both = hits.unionByName(hits.select(F.col("other").alias("point"), F.col("point").alias("other"), "cosine")).distinct()
+    hits = wanted.groupBy("pivot", "part", "block").cogroup(sent.groupBy("pivot", "part", "block")).applyInPandas(ask, "point binary, other binary, cosine double")
+        # a point's best hits serve it and, turned round, the points they hit
+    own_best = hits.withColumn("n", F.row_number().over(W.partitionBy("point").orderBy(F.desc("cosine"), "other"))).where(F.col("n") <= KEPT * (k + 1)).drop("n")
+    own_best = written(own_best, "best")
+    both = own_best.unionByName(own_best.select(F.col("other").alias("point"), F.col("point").alias("other"), "cosine")).groupBy("point", "other").agg(F.max("cosine").alias("cosine"))
     order = W.partitionBy("point").orderBy(F.desc("cosine"), "other")
     near = both.withColumn("n", F.row_number().over(order))
     edge = F.max(F.when(F.col("n") == k + 1, F.col("cosine"))).over(W.partitionBy("point"))

@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstack.llm.boosting import BoostedTrees
-from quillstack.runtime import is_small, lookup_join, written
+from quillstack.runtime import bounded_sample, is_small, lookup_join, written
 
 ZONE = 3  # non-blank lines at either end of a page that may be furniture
 LONGEST_LINE = 300  # no line of a printed page is longer; longer ones don't count as head or foot
@@ -108,6 +108,12 @@ def line_words(lines: list[str]) -> Iterator[tuple[int, str, str]]:
         after_hyphen = len(tokens[-1]) > 1 and tokens[-1][-1] in HYPHENS and tokens[-1][-2].isalpha()
 
 
+def training_rows(labelled: DataFrame, *keys: str) -> pd.DataFrame:
+    """Up to TRAINING_ROWS labelled rows, half of either label, chosen by hash, in an order that is always the same."""
+    halves = [bounded_sample(labelled.where(F.col("label") == v), TRAINING_ROWS // 2, *keys) for v in (1.0, 0.0)]
+    return halves[0].unionByName(halves[1]).toPandas().sort_values([*keys, "label"], kind="stable").reset_index(drop=True)
+
+
 ZONE_SHAPE = "page_id {0}, item_key string, page_num int, line_no int, place int, foot boolean, key string, value int, beside boolean, blank boolean, ends boolean, upper double, length double"
 
 
@@ -157,8 +163,8 @@ def furniture(pages: DataFrame) -> DataFrame:
     heads = zone.where("key <> ''").join(again, ["item_key", "key", "foot"]).join(sizes, "item_key").withColumn("share", F.col("repeats") / F.col("pages"))
     sure = (F.col("repeats") >= 3) & (F.col("share") >= 0.5)
     label = F.when(sure, 1.0).when((F.col("repeats") == 1) & (F.col("pages") >= 4), 0.0)
-    pool = heads.withColumn("label", label).where(F.col("label").isNotNull()).select(*[F.col(c).cast("double").alias(c) for c in SHAPE], "label", F.xxhash64("page_id", "line_no").alias("h"))
-    train = pool.where("label = 1").orderBy("h").limit(TRAINING_ROWS // 2).unionByName(pool.where("label = 0").orderBy("h").limit(TRAINING_ROWS // 2)).toPandas()
+    pool = heads.withColumn("label", label).where(F.col("label").isNotNull()).select(*[F.col(c).cast("double").alias(c) for c in SHAPE], "label", "page_id", "line_no")
+    train = training_rows(pool, "page_id", "line_no")
     model = BoostedTrees(rounds=25).fit(train[list(SHAPE[:6])].to_numpy(), train["label"].to_numpy())
     trained = bool(len(train)) and train["label"].nunique() == 2
 
@@ -262,9 +268,9 @@ def misreadings(rare: DataFrame, counts: DataFrame) -> DataFrame:
     odd = F.length("word") - F.length(F.regexp_replace("word", r"[^\p{L}\-'’]", ""))
     pairs = written(pairs.withColumn("alike", alike).withColumn("odd", odd), "pairs")
     features = ("times", "n", "edits", "alike", "odd", "length")
-    table_ = pairs.select("word", "right", F.log1p("times").alias("times"), F.log1p("n").alias("n"), "edits", "alike", "odd", F.length("word").alias("length"), F.xxhash64("word", "right").alias("h"))
+    table_ = pairs.select("word", "right", F.log1p("times").alias("times"), F.log1p("n").alias("n"), "edits", "alike", "odd", F.length("word").alias("length"))
     labelled = table_.withColumn("label", F.when((F.col("alike") == 1) & (F.col("odd") > 0), 1.0).when((F.col("alike") == 0) & (F.col("odd") == 0), 0.0).when((F.col("alike") == 1) & (F.col("times") < 3), 1.0)).where("label is not null")
-    train = labelled.where("label = 1").orderBy("h").limit(TRAINING_ROWS // 2).unionByName(labelled.where("label = 0").orderBy("h").limit(TRAINING_ROWS // 2)).toPandas()
+    train = training_rows(labelled, "word", "right")
     trained = train["label"].nunique() == 2
     model = BoostedTrees(rounds=30).fit(train[list(features)].to_numpy(), train["label"].to_numpy())
 
