@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstack.functions import text as tx
-from quillstack.operators import captions, chunking, citations, completeness, geometry, indexing, journals, library, reference, search, stats, tables
+from quillstack.operators import captions, chunking, citations, completeness, geometry, indexing, journals, layout, library, reference, search, stats, tables
 from quillstack.plans import adapters as ad
 from quillstack.plans.adapters import INDEX_SQL, QUERY_CHUNK
 from quillstack.runtime import table
@@ -412,3 +412,65 @@ def crop_boxes(spark: SparkSession, d: str) -> DataFrame:
     y = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")).cast("double")
     caps = table(spark, d, "lineitem").select("l_orderkey", y.alias("y0"), F.when(F.col("l_returnflag") == "N", "table").otherwise("figure").alias("kind")).withColumn("y_center", F.col("y0")).withColumn("page_x0", F.lit(0.0)).withColumn("page_x1", F.lit(50.0)).withColumn("page_y1", F.lit(100.0))
     return geometry.crop_boxes(caps, ["l_orderkey"]).select("l_orderkey", "y0", "crop_y1")
+
+
+@query("abstract_spans")
+def abstract_spans(spark: SparkSession, d: str) -> DataFrame:
+    return layout.abstract_spans(ad.pages(spark, d), "item_key")
+
+
+@query("pages_in_references")
+def pages_in_references(spark: SparkSession, d: str) -> DataFrame:
+    spans = chunking.section_spans(ad.documents(spark, d), "item_key", "full_markdown")
+    return layout.pages_in(ad.pages(spark, d).select("page_id", "item_key", "page_num", "char_start"), spans, "item_key")
+
+
+@query("completeness")
+def completeness_of_documents(spark: SparkSession, d: str) -> DataFrame:
+    pages = ad.pages(spark, d)
+    spans = chunking.section_spans(ad.documents(spark, d), "item_key", "full_markdown")
+    found = tables.markdown_tables(pages, ["item_key", "page_num"]).select("item_key", "caption")
+    figures = pages.where("images_on_page > 0").select("item_key", F.lit(None).cast("string").alias("caption"))
+    rows = layout.completeness_rows(pages, captions.captions(pages, ["item_key", "page_num"]), found, figures, spans, "item_key")
+    return rows.withColumn("grade", completeness.grade())
+
+
+@query("heading_strip", r"SELECT DISTINCT line, trim(regexp_replace(regexp_replace(line, '^#{1,6}\s*', ''), '[*_]+', '', 'g')) AS heading FROM (SELECT unnest(string_split(full_markdown, chr(10))) AS line FROM document_extractions) WHERE regexp_matches(line, '^#{1,6} [A-Z][a-z]+$')")
+def heading_strip(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "document_extractions").select(F.explode(F.split("full_markdown", "\n", -1)).alias("line"))
+    return lines.where(F.col("line").rlike("^#{1,6} [A-Z][a-z]+$")).distinct().select("line", tx.heading_text(F.col("line")).alias("heading"))
+
+
+@query("section_labels", r"""SELECT DISTINCT line, CASE lower(trim(regexp_replace(line, '^#+\s*', ''))) WHEN 'results' THEN 'results' WHEN 'conclusion' THEN 'conclusion' WHEN 'methods' THEN 'methods' WHEN 'abstract' THEN 'abstract' WHEN 'background' THEN 'background' WHEN 'discussion' THEN 'discussion' WHEN 'introduction' THEN 'introduction' WHEN 'appendix' THEN 'appendix' WHEN 'references' THEN 'references' END AS label
+    FROM (SELECT unnest(string_split(full_markdown, chr(10))) AS line FROM document_extractions) WHERE regexp_matches(line, '^#{1,6} [A-Z][a-z]+$')""")
+def section_labels(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "document_extractions").select(F.explode(F.split("full_markdown", "\n", -1)).alias("line"))
+    return lines.where(F.col("line").rlike("^#{1,6} [A-Z][a-z]+$")).distinct().select("line", tx.section_of(tx.heading_text(F.col("line"))).alias("label"))
+
+
+@query("doi_normalise", "SELECT DISTINCT doi, regexp_replace('https://doi.org/' || doi, '^https?://(dx\\.)?doi\\.org/', '') AS bare FROM library_items WHERE doi IS NOT NULL")
+def doi_normalise(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "library_items").where("doi is not null").select("doi", tx.bare_doi(F.concat(F.lit("https://doi.org/"), "doi")).alias("bare")).distinct()
+
+
+@query("title_expansions", "SELECT title, 2 ** (CASE WHEN contains(title, 'sci.') THEN 1 ELSE 0 END) AS n FROM (VALUES ('j. sci.'), ('proc. int. conf.'), ('nature')) t(title)")
+def title_expansions(spark: SparkSession, d: str) -> DataFrame:
+    names = spark.createDataFrame([("j. sci.",), ("proc. int. conf.",), ("nature",)], "title string")
+    return names.select("title", F.size(tx.title_expansions(F.col("title"))).cast("double").alias("n"))
+
+
+@query("upsert_latest", "SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY 1")
+def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("o_orderkey"))
+
+
+@query("content_hash", "SELECT doc_id, sha256(substring(text, 1, 65536)) AS hash FROM documents WHERE text IS NOT NULL AND length(text) = strlen(text)")
+def content_hash(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").where("text is not null and length(text) = octet_length(text)")
+    return docs.select("doc_id", indexing.content_hash(F.encode("text", "UTF-8")).alias("hash"))
+
+
+@query("hashed_embedding")
+def hashed_embedding(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return indexing.embedded(docs, "text", indexing.HashedWords(32)).select("doc_id", "embedding")
