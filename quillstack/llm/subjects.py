@@ -33,7 +33,7 @@ FUNCTION_WORDS = {
 }
 LANGUAGES = tuple(FUNCTION_WORDS)
 SHARE = 0.25  # of the units a subject must have
-RANK, EXTRA, POWER_ROUNDS = 16, 12, 3
+RANK, EXTRA, POWER_ROUNDS = 16, 16, 2
 REFINE_ROUNDS = 3
 LEAST_DOCS, LEAST_SHARE = 5, 0.0005  # a word counts from so many documents, and so large a share, of its language
 MOST_SHARE = 0.8  # words in a larger share of the documents tell nothing about subjects
@@ -179,26 +179,49 @@ def lists_of(part: pa.RecordBatch, names: tuple[str, ...]) -> Iterator[tuple[int
         yield int(lang), len(rows), lists, rows
 
 
-def places(words: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """Places of the words in the sorted vocabulary, -1 for others."""
-    at = np.searchsorted(vocabulary, words)
-    at[at == len(vocabulary)] = 0
-    return np.where(vocabulary[at] == words, at, -1)
+class Places:
+    """Places of words in a sorted vocabulary, -1 for others. The low bits of a number lead to its place; shared ones are searched."""
 
+    BITS = 20
 
-def blocks(doc: np.ndarray, at: np.ndarray, values: np.ndarray, docs: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-    """(documents, words that occur in them, dense matrix of the values) in blocks of a bounded number of cells. ``doc`` is sorted."""
-    step, first = 256, 0
+    def __init__(self, vocabulary: np.ndarray):
+        self.vocabulary = vocabulary
+        low = vocabulary & ((1 << self.BITS) - 1)
+        self.table = np.zeros(1 << self.BITS, np.int32)
+        self.table[low] = np.arange(len(vocabulary), dtype=np.int32)
+        self.shared = np.zeros(1 << self.BITS, bool)
+        self.shared[low[self.table[low] != np.arange(len(vocabulary))]] = True
+        self.any_shared = bool(self.shared.any())
+
+    def __call__(self, words: np.ndarray) -> np.ndarray:
+        low = words & ((1 << self.BITS) - 1)
+        at = self.table[low]
+        if self.any_shared:
+            again = np.flatnonzero(self.shared[low])
+            at[again] = np.minimum(np.searchsorted(self.vocabulary, words[again]), len(self.vocabulary) - 1)
+        at[self.vocabulary[at] != words] = -1
+        return at
+
+
+def blocks(doc: np.ndarray, at: np.ndarray, values: np.ndarray, docs: int, n_words: int) -> Iterator[tuple[slice, np.ndarray | slice, np.ndarray]]:
+    """(documents, words, dense matrix of the values) in blocks of a bounded number of cells. ``doc`` is sorted, its pairs with ``at`` are unique.
+
+    A small vocabulary is taken whole; of a large one only the words that occur in the block.
+    """
+    values = values.astype(np.float32)
+    step, whole, first = 256, n_words * 256 <= DENSE_CELLS, 0
     while first < docs:
         last = min(docs, first + step)
         lo, hi = np.searchsorted(doc, (first, last))
-        local, where = np.unique(at[lo:hi], return_inverse=True)
-        if len(local) * (last - first) > DENSE_CELLS and last - first > 1:
+        local, where = (slice(0, n_words), at[lo:hi]) if whole else np.unique(at[lo:hi], return_inverse=True)
+        width = n_words if whole else len(local)
+        if not whole and width * (last - first) > DENSE_CELLS and last - first > 1:
             step = max(1, (last - first) // 2)
             continue
-        if len(local):
-            n = last - first
-            yield slice(first, last), local, np.bincount((doc[lo:hi] - first) * len(local) + where, values[lo:hi], n * len(local)).reshape(n, len(local)).astype(np.float32)
+        if hi > lo:
+            dense = np.zeros((last - first, width), np.float32)
+            dense[doc[lo:hi] - first, where] = values[lo:hi]
+            yield slice(first, last), local, dense
         first = last
 
 
@@ -244,11 +267,20 @@ class Model:
         self.vectors: dict[int, np.ndarray] = {}
         self.weights: dict[int, np.ndarray] = {}
         self.centroids: dict[int, np.ndarray] = {}
+        self._places: dict[int, Places] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_places": {}}  # built anew in each worker
+
+    def places(self, lang: int, words: np.ndarray) -> np.ndarray:
+        if lang not in self._places:
+            self._places[lang] = Places(self.vocabulary[lang])
+        return self._places[lang](words)
 
     def embed(self, lang: int, words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Weighted sums of the word vectors of each unit."""
         weighted = (self.vectors[lang] * self.weights[lang][:, None]).astype(np.float32)
-        at = places(words, self.vocabulary[lang])
+        at = self.places(lang, words)
         says = (at >= 0) & (self.weights[lang][at] > 0)
         unit = np.repeat(np.arange(len(sizes)), sizes)[says]
         out = np.zeros((len(sizes), weighted.shape[1]), np.float32)
@@ -286,7 +318,7 @@ def fit(coded: DataFrame, examples: list[tuple[str, int]], n_subjects: int) -> M
     def known(lang: int, docs: int, lists: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(documents, places, times) of the terms in the vocabulary."""
         (terms, sizes), (times, _) = lists
-        at = places(terms, model.vocabulary[lang])
+        at = model.places(lang, terms)
         hit = at >= 0
         return np.repeat(np.arange(docs), sizes)[hit], at[hit], times[hit]
 
@@ -296,7 +328,7 @@ def fit(coded: DataFrame, examples: list[tuple[str, int]], n_subjects: int) -> M
         weight = np.log1p(times) * model.idf[lang][at]
         weight = weight / np.maximum(np.sqrt(np.bincount(doc, weight**2, docs))[doc], 1e-12)
         q = basis[lang].astype(np.float32)
-        for _, local, a in blocks(doc, at, weight, docs):
+        for _, local, a in blocks(doc, at, weight, docs, len(q)):
             total[local, :-1] += a.T @ (a @ q[local])
             total[local, -1] += a.sum(axis=0)
 
@@ -342,7 +374,7 @@ def fit(coded: DataFrame, examples: list[tuple[str, int]], n_subjects: int) -> M
             whole = np.bincount(unit_doc[clear] * n_subjects + best[clear], length[clear], docs * n_subjects).reshape(docs, n_subjects)
             whole = (whole / np.maximum(whole.sum(axis=1, keepdims=True), 1e-12)).astype(np.float32)
             doc, at, times = known(lang, docs, lists[2:])
-            for rows_, local, a in blocks(doc, at, times, docs):
+            for rows_, local, a in blocks(doc, at, times, docs, n):
                 total[local, :n_subjects] += a.T @ whole[rows_]
             for subject in range(n_subjects):
                 mine = clear[best[clear] == subject]
