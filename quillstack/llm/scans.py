@@ -295,11 +295,27 @@ def divided_words(candidates: DataFrame, counts: DataFrame) -> DataFrame:
     seen = found.groupBy("at").agg(*[F.max(F.when(F.col("role") == r, F.col("n"))).alias(f"n_{r}") for r in ("joined", "compound", "word", "tail")])
     c = c.join(seen, "at", "left").fillna(0, [f"n_{r}" for r in ("joined", "compound", "word", "tail")])
     lower = F.substring("rest", 1, 1) == F.lower(F.substring("rest", 1, 1))
-    special = F.col("hyphen") != "-"
+    c = c.withColumn("lower", lower).withColumn("special", (F.col("hyphen") != "-").cast("int"))
+    # what the corpus settles teaches the classifier, which decides the rest: words met neither whole nor as a compound
+    only_whole = (F.col("n_joined") > 0) & (F.col("n_compound") == 0)
+    only_compound = (F.col("n_joined") == 0) & (F.col("n_compound") > 0)
+    features = ("left", "right", "left_length", "right_length", "special")
+    shaped = c.select("*", F.log1p("n_word").alias("left"), F.log1p("n_tail").alias("right"), F.length("word").alias("left_length"), F.length("tail").alias("right_length"))
+    labelled = shaped.withColumn("label", F.when(only_whole, 1.0).when(only_compound, 0.0)).where("label is not null").select(*[F.col(f).cast("double").alias(f) for f in features], "label", "page_id", "line_no", "joined")
+    train = training_rows(labelled, "page_id", "line_no", "joined")
+    trained = train["label"].nunique() == 2
+    model = BoostedTrees(rounds=25).fit(train[list(features)].to_numpy(), train["label"].to_numpy())
+
+    @F.pandas_udf("double")
+    def whole_word(left: pd.Series, right: pd.Series, left_length: pd.Series, right_length: pd.Series, special: pd.Series) -> pd.Series:
+        x = np.stack([v.astype(float).to_numpy() for v in (left, right, left_length, right_length, special)], axis=1)
+        return pd.Series(model.probability(x) if trained else np.where((x[:, 4] > 0) | (x[:, 0] == 0) | (x[:, 1] == 0), 1.0, 0.0))
+
+    rated = shaped.withColumn("p", whole_word(*features))
+    unmet = (F.col("n_joined") == 0) & (F.col("n_compound") == 0)
     hanging = F.col("tail").isin(*JOINING) & (F.col("n_joined") == 0)
-    words_apart = (F.col("n_word") > 0) & (F.col("n_tail") > 0)
-    whole = (F.col("n_joined") > F.col("n_compound")) | ((F.col("n_joined") == 0) & (F.col("n_compound") == 0) & lower & (special | ~words_apart)) | (special & (F.col("n_compound") == 0))
-    return c.where(whole & ~hanging & (lower | (F.col("n_joined") > F.col("n_compound"))))
+    whole = (F.col("n_joined") > F.col("n_compound")) | (unmet & F.col("lower") & ((F.col("p") >= 0.5) | (F.col("special") == 1)))
+    return rated.where(whole & ~hanging & (F.col("lower") | (F.col("n_joined") > F.col("n_compound")))).drop(*features[:4], "p", "lower")
 
 
 def distinct_pages(page_extractions: DataFrame) -> DataFrame:
