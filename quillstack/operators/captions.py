@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quillstack.runtime import by_group
 
 # Numbers and labels of captions.
 NUMBER = r"(?:\d+|[IVXLCDM]+|[A-Z]\.\d+|S\d+)"
@@ -76,56 +78,63 @@ def match_boxes(boxes: list[tuple], found: list[tuple]) -> list[str | None]:
     return out
 
 
+def with_captions(objects: DataFrame, found: DataFrame, keys: list[str], work) -> DataFrame:
+    """``caption`` of each object by ``work(objects, captions)`` of its group, a list aligned with the objects."""
+    done = by_group(objects, found, keys, work, T.ArrayType(T.StringType()))
+    rest = [c for c in objects.columns if c not in keys]
+    each = done.select(*keys, F.explode(F.zip_with("_rows", "_out", lambda r, c: F.struct(r.alias("r"), c.alias("c")))).alias("x"))
+    return each.select(*keys, *[F.col(f"x.r.{c}") for c in rest], F.col("x.c").alias("caption")).select(*objects.columns, "caption")
+
+
 def assign_captions(objects: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     """``caption`` of each object (keys, object_id, x0..y1) from the captions (keys, y, caption, x0..y1) of its page."""
 
-    def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("object_id", kind="stable")
-        right = right.sort_values(["y", "caption"], kind="stable")
-        boxes = list(left[["x0", "y0", "x1", "y1"]].itertuples(index=False, name=None))
-        caps = [(r.y, r.caption, (r.x0, r.y0, r.x1, r.y1) if pd.notna(r.x0) else None) for r in right.itertuples()]
-        return left.assign(caption=match_boxes(boxes, caps))
+    def match(rows: list, others: list) -> list:
+        order = sorted(range(len(rows)), key=lambda i: rows[i]["object_id"])
+        caps = sorted(others, key=lambda c: (c["y"], c["caption"]))
+        found_ = match_boxes([tuple(rows[i][k] for k in ("x0", "y0", "x1", "y1")) for i in order], [(c["y"], c["caption"], None if c["x0"] is None else (c["x0"], c["y0"], c["x1"], c["y1"])) for c in caps])
+        out: list[str | None] = [None] * len(rows)
+        for i, c in zip(order, found_):
+            out[i] = c
+        return out
 
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in objects.schema) + ", caption string"
-    return objects.groupBy(*keys).cogroup(found.groupBy(*keys)).applyInPandas(match, shape)
+    return with_captions(objects, found, keys, match)
 
 
 def captions_above(regions: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     """Recognised tables (keys, region_id, y0, page_height) with the nearest free caption above; heights are compared as shares of the page.
 
-    Regions choose from top to bottom and each caption serves once, so a page is walked in order; a group is one page.
+    Regions choose from top to bottom and each caption serves once.
     """
 
-    def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def match(rows: list, others: list) -> list:
         share = lambda y, h: y / h if h else y
-        pool = sorted((share(y, h), c) for y, h, c in zip(right["y"], right["page_height"], right["caption"]))
-        left = left.assign(_s=[share(y, h) for y, h in zip(left["y0"], left["page_height"])]).sort_values(["_s", "region_id"], kind="stable")
-        out = []
-        for s in left["_s"]:
-            at = max((i for i, (y, _) in enumerate(pool) if y <= s), default=None)
-            out.append(None if at is None else pool.pop(at)[1])
-        return left.assign(caption=out).drop(columns="_s")
+        pool = sorted((share(c["y"], c["page_height"]), c["caption"]) for c in others)
+        out: list[str | None] = [None] * len(rows)
+        for i in sorted(range(len(rows)), key=lambda i: (share(rows[i]["y0"], rows[i]["page_height"]), rows[i]["region_id"])):
+            top = share(rows[i]["y0"], rows[i]["page_height"])
+            at = max((j for j, (y, _) in enumerate(pool) if y <= top), default=None)
+            if at is not None:
+                out[i] = pool.pop(at)[1]
+        return out
 
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in regions.schema) + ", caption string"
-    return regions.groupBy(*keys).cogroup(found.groupBy(*keys)).applyInPandas(match, shape)
+    return with_captions(regions, found, keys, match)
 
 
 def recover_orphans(objects: DataFrame, floating: DataFrame, key: str) -> DataFrame:
     """Objects without a caption (key, page_num, object_id, y) take the nearest floating caption (key, page_num, caption, y) of their page.
 
-    Pairs are taken by growing distance, each object and caption once; a group is one page of one document.
+    Pairs are taken by growing distance, each object and caption once.
     """
 
-    def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.reset_index(drop=True)
-        right = right.reset_index(drop=True)
-        pairs = sorted((abs(a - b), i, j) for i, a in enumerate(left["y"]) for j, b in enumerate(right["y"]))
-        out, used = [None] * len(left), set()
-        for _, i, j in pairs:
+    def match(rows: list, others: list) -> list:
+        pairs = sorted((abs(a["y"] - b["y"]), a["object_id"], b["caption"], i, j) for i, a in enumerate(rows) for j, b in enumerate(others))
+        out: list[str | None] = [None] * len(rows)
+        used = set()
+        for _, _, caption, i, j in pairs:
             if out[i] is None and j not in used:
-                out[i] = right["caption"][j]
+                out[i] = caption
                 used.add(j)
-        return left.assign(caption=out)
+        return out
 
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in objects.schema) + ", caption string"
-    return objects.groupBy(key, "page_num").cogroup(floating.groupBy(key, "page_num")).applyInPandas(match, shape)
+    return with_captions(objects, floating, [key, "page_num"], match)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quillstack.runtime import by_group
 
 SYNTHETIC = "Uncaptioned"
 CONTINUATION_PAGES = 2
@@ -94,25 +96,27 @@ def continue_captions(tables: DataFrame, key: str) -> DataFrame:
     tables of one document.
     """
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["page_num", "table_index"], kind="stable").reset_index(drop=True)
-        heads = [tuple(h) if h is not None else () for h in pdf["headers"]]
-        captions = [c if isinstance(c, str) and c else None for c in pdf["caption"]]
+    def walk(rows: list, _: list) -> list:
+        order = sorted(range(len(rows)), key=lambda i: (rows[i]["page_num"], rows[i]["table_index"]))
+        captions: list[str | None] = [rows[i]["caption"] or None for i in range(len(rows))]
         captioned: dict[tuple, list[int]] = {}
-        for i, c in enumerate(captions):
-            if c:
-                captioned.setdefault(heads[i], []).append(i)
-        pages = pdf["page_num"].tolist()
-        for i, c in enumerate(captions):
-            if c or not heads[i]:
+        for i in order:
+            if captions[i]:
+                captioned.setdefault(tuple(rows[i]["headers"]), []).append(i)
+        for i in order:
+            head = tuple(rows[i]["headers"]) if rows[i]["headers"] is not None else ()
+            if captions[i] or not head:
                 continue
-            donor = next((j for j in sorted(captioned.get(heads[i], ())) if abs(pages[j] - pages[i]) <= CONTINUATION_PAGES), None)
-            if donor is not None:
+            near = [j for j in captioned.get(head, ()) if abs(rows[j]["page_num"] - rows[i]["page_num"]) <= CONTINUATION_PAGES]
+            if near:
+                donor = min(near, key=lambda j: (rows[j]["page_num"], rows[j]["table_index"]))
                 captions[i] = f"{captions[donor]} (continued)"
-                captioned.setdefault(heads[i], []).append(i)
-        return pdf.assign(caption=captions)
+                captioned[head].append(i)
+        return captions
 
-    return tables.groupBy(key).applyInPandas(walk, tables.schema)
+    done = by_group(tables, None, [key], walk, T.ArrayType(T.StringType()))
+    each = done.select(key, F.explode(F.zip_with("_rows", "_out", lambda r, c: F.struct(r.alias("r"), c.alias("c")))).alias("x"))
+    return each.select(*[F.col(key) if c == key else F.col("x.c").alias(c) if c == "caption" else F.col(f"x.r.{c}").alias(c) for c in tables.columns])
 
 
 def number_of(caption: Column) -> Column:

@@ -6,8 +6,10 @@ import atexit
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Broadcast bound in rows. Sides that may grow are only broadcast after a count proves them below it.
 BROADCAST_ROWS = 20_000
@@ -46,6 +48,22 @@ def written(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_group(left: DataFrame, right: DataFrame | None, keys: list[str], work, result: T.DataType) -> DataFrame:
+    """keys, ``_rows`` (the left rows of each group) and ``_out``: what ``work(left rows, right rows)`` makes of the group.
+
+    Groups are packed into arrays in the JVM and go to Python many to an Arrow batch, so many small groups (pages)
+    cost little. ``work`` gets lists of dict-like rows; groups without left rows are left out.
+    """
+    pack = lambda df, name: df.groupBy(*keys).agg(F.collect_list(F.struct(*[c for c in df.columns if c not in keys])).alias(name))
+    both = pack(left, "_rows")
+    both = both.join(pack(right, "_others"), keys, "left") if right is not None else both.withColumn("_others", F.lit(None).cast("array<int>"))
+
+    def run(rows: pd.Series, others: pd.Series) -> pd.Series:
+        return pd.Series([work(list(a), [] if b is None else list(b)) for a, b in zip(rows, others)])
+
+    return both.select(*keys, "_rows", F.pandas_udf(run, result)("_rows", "_others").alias("_out"))
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

@@ -4,9 +4,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from quillstack.plans import pipeline, reference
+from quillstack.plans import objects, pipeline, reference
 
-CORE = {**reference.QUERIES, **pipeline.QUERIES}
+CORE = {**reference.QUERIES, **objects.QUERIES, **pipeline.QUERIES}
 
 
 @pytest.fixture(scope="module")
@@ -34,7 +34,7 @@ def plain(v):
 def test_query(spark, sf, duck, name):
     df = CORE[name](spark, sf)
     rows = df.collect()
-    sql = {**reference.SQL, **pipeline.SQL}.get(name)
+    sql = {**reference.SQL, **objects.SQL, **pipeline.SQL}.get(name)
     if sql:
         out = duck.execute(sql)
         names = [d[0] for d in out.description]
