@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.runtime import small_side, written
+from quillstack.runtime import lookup_join, small_side, written
 
 # Words that titles lose or exchange when typed, letters that are written in several ways, words before a title.
 SMALL_WORDS = ("of", "the", "and", "for", "in", "on", "de", "des", "der", "die", "das", "und", "et", "fur", "fuer", "la", "le", "du", "an", "a")
@@ -157,10 +157,13 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
 def map_publications(library_items: DataFrame, quartiles: DataFrame) -> DataFrame:
     """(item_key, publication, title_normalized) of every row with a non-blank publication; unmatched ones have a null title."""
     rows = library_items.select("item_key", "publication").where(F.col("publication").isNotNull() & (F.regexp_replace("publication", r"(?U)\s+", "") != "")).distinct()
-    mapped = written(map_values(rows.select(F.col("publication").alias("typed")), quartiles.select(F.col("title_normalized").alias("title"))), "mapped")
-    hit = rows.join(mapped.select(F.col("typed").alias("publication"), F.col("title").alias("title_normalized")), "publication")
-    missed = rows.join(mapped.select(F.col("typed").alias("publication")), "publication", "left_anti").withColumn("title_normalized", F.lit(None).cast("string"))
-    return hit.select("item_key", "publication", "title_normalized").unionByName(missed.select("item_key", "publication", "title_normalized"))
+    rows = written(rows, "publications")
+    names = rows.select("publication").distinct()
+    mapped = written(map_values(names.select(F.col("publication").alias("typed")), quartiles.select(F.col("title_normalized").alias("title"))), "mapped")
+    mapped = mapped.select(F.col("typed").alias("publication"), F.col("title").alias("title_normalized"))
+    missed = names.join(mapped.select("publication"), "publication", "left_anti").withColumn("title_normalized", F.lit(None).cast("string"))
+    # one publication may hold much of the rows
+    return lookup_join(rows, mapped.unionByName(missed), "publication").select("item_key", "publication", "title_normalized")
 
 
 def found_titles(library_items: DataFrame, quartiles: DataFrame) -> DataFrame:

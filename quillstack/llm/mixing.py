@@ -152,6 +152,19 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     return placed.join(packed(sized, block_tokens), ["source", "block"]).select("shard", "slot", "source", "repetition", "block", "n_tokens", "parts")
 
 
+def tokens_of(mixed: DataFrame, documents: DataFrame, folder: str = bpe.TOKENIZERS, name: str = bpe.VOCABULARY) -> DataFrame:
+    """(shard, slot, ids): the token ids of every slot. Each document is encoded once and cut to the parts that blocks need.
+
+    A block is assembled once, however often it is used; slots then join it by number.
+    """
+    used = mixed.select("source", "block", "parts").dropDuplicates(["source", "block"])
+    parts = used.select("source", "block", F.posexplode("parts").alias("n", "p")).select("source", "block", "n", "p.*")
+    encoded = bpe.encode_texts(documents, "text", ("doc_id",), folder, name)
+    cut = parts.join(encoded, "doc_id").select("source", "block", "n", F.slice("ids", F.col("token_from").cast("int") + 1, (F.col("token_to") - F.col("token_from")).cast("int")).alias("ids"))
+    whole = cut.groupBy("source", "block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "ids"))), lambda x: x["ids"])).alias("ids"))
+    return mixed.select("shard", "slot", "source", "block").join(whole, ["source", "block"]).select("shard", "slot", "ids")
+
+
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """source, target_share, tokens, reached_share, most_uses (of one block); a source that gives nothing has 0."""
     got = mixed.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.max("repetition").alias("most_uses"))

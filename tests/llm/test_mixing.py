@@ -51,6 +51,8 @@ def test_mix(spark):
     n = m.groupBy("source", "block", "repetition").count().where("count > 1").count()
     assert n == 0 and m.select("shard", "slot").distinct().count() == m.count()
     again = mixing.mix(d, t, block_tokens=32, shard_slots=16)
+    ids = {(r["shard"], r["slot"]): r["ids"] for r in mixing.tokens_of(m, d).collect()}
+    assert len(ids) == m.count() and all(len(ids[r["shard"], r["slot"]]) == r["n_tokens"] for r in m.collect())
     key = lambda df: sorted((r["shard"], r["slot"], r["source"], r["block"]) for r in df.collect())
     assert key(m) == key(again)
     m.unpersist()
