@@ -158,7 +158,8 @@ def recrop_boxes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", box.alias("b")).select("p_partkey", F.round("b.x0", 6).alias("x0"), F.round("b.y1", 6).alias("y1"))
 
 
-@query("gap_captions")
+@query("gap_captions", """WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber AS n FROM lineitem), k AS (SELECT l_orderkey, min(n) FILTER (n <> 2) < 2 AND max(n) FILTER (n <> 2) > 2 AS inner_gap FROM l GROUP BY 1)
+    SELECT l_orderkey, n AS object_id, n AS page_num, CASE WHEN n <> 2 OR inner_gap THEN n END AS number, CASE WHEN n <> 2 OR inner_gap THEN 'Table ' || n END AS caption FROM l JOIN k USING (l_orderkey)""")
 def gap_captions(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").distinct()
     keep = F.col("l_linenumber") != 2

@@ -122,12 +122,26 @@ def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunks(docs, "item_key", "full_markdown").select("item_key", "chunk_index", "char_start", "char_end")
 
 
-@query("section_spans")
+_TOLD = "CASE " + " ".join(f"WHEN {' OR '.join(f"contains(h, '{w}')" for w in words)} THEN '{label}'" for label, words in tx.SECTION_WORDS) + f" WHEN contains(h, 'summary') AND ({' OR '.join(f"contains(h, '{w}')" for w in tx.SUMMARY_OF_RESULTS)}) THEN 'results' WHEN contains(h, 'summary') THEN 'conclusion' END"
+_SPANS = f"""e AS (SELECT DISTINCT item_key, full_markdown AS t, length(full_markdown) AS total FROM document_extractions WHERE length(full_markdown) > 0),
+    p AS (SELECT item_key, total, string_split(t, chr(10)) AS ls FROM e), l AS (SELECT item_key, total, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM p),
+    o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY item_key ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM l),
+    hd AS (SELECT *, trim(regexp_replace(line, '^#+\\s*', '')) AS heading_text, lower(line) AS h FROM o WHERE regexp_matches(line, '^#{{1,2}}\\s+\\S')), tl AS (SELECT *, {_TOLD} AS told FROM hd),
+    ct AS (SELECT *, last_value(told IGNORE NULLS) OVER (PARTITION BY item_key ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried, coalesce(lead(s) OVER (PARTITION BY item_key ORDER BY s), total) AS e1, row_number() OVER (PARTITION BY item_key ORDER BY s) AS r FROM tl),
+    sp AS (SELECT item_key, s::INT AS char_start, e1::INT AS char_end, coalesce(carried, 'unknown') AS label, heading_text, CASE WHEN told IS NOT NULL THEN 1.0 WHEN carried IS NOT NULL THEN 0.7 ELSE 0.5 END::DOUBLE AS confidence FROM ct
+        UNION ALL SELECT item_key, 0, s::INT, 'preamble', '', 1.0 FROM ct WHERE r = 1 AND s > 0
+        UNION ALL SELECT item_key, 0, total::INT, 'unknown', '', 0.5 FROM e WHERE item_key NOT IN (SELECT item_key FROM hd)),
+    spans AS (SELECT *, (row_number() OVER (PARTITION BY item_key ORDER BY char_start) - 1)::INT AS span_index FROM sp)"""
+
+
+@query("section_spans", f"WITH {_SPANS} SELECT * FROM spans")
 def section_spans(spark: SparkSession, d: str) -> DataFrame:
     return chunking.section_spans(ad.documents(spark, d), "item_key", "full_markdown")
 
 
-@query("section_assign")
+@query("section_assign", f"""WITH {_SPANS}, c AS (SELECT DISTINCT chunk_id, item_key, char_start FROM chunks)
+    SELECT c.chunk_id, coalesce(arg_min(label, span_index), 'unknown') AS section, coalesce(arg_min(confidence, span_index), 0.5) AS section_confidence
+    FROM c LEFT JOIN spans ON spans.item_key = c.item_key AND spans.char_start <= c.char_start AND c.char_start < spans.char_end GROUP BY 1""")
 def section_assign(spark: SparkSession, d: str) -> DataFrame:
     spans = chunking.section_spans(ad.documents(spark, d), "item_key", "full_markdown")
     return chunking.with_section(ad.passages(spark, d).select("chunk_id", "item_key", "char_start"), spans, "item_key").select("chunk_id", "section", "section_confidence")
@@ -419,7 +433,8 @@ def abstract_spans(spark: SparkSession, d: str) -> DataFrame:
     return layout.abstract_spans(ad.pages(spark, d), "item_key")
 
 
-@query("pages_in_references")
+@query("pages_in_references", f"""WITH {_SPANS}, pg AS (SELECT DISTINCT page_id, item_key, page_num, char_start FROM page_extractions WHERE page_id IS NOT NULL)
+    SELECT DISTINCT pg.* FROM pg JOIN spans ON spans.item_key = pg.item_key AND label IN ('references', 'appendix') AND spans.char_start <= pg.char_start AND pg.char_start < spans.char_end""")
 def pages_in_references(spark: SparkSession, d: str) -> DataFrame:
     spans = chunking.section_spans(ad.documents(spark, d), "item_key", "full_markdown")
     return layout.pages_in(ad.pages(spark, d).select("page_id", "item_key", "page_num", "char_start"), spans, "item_key")
@@ -453,10 +468,13 @@ def doi_normalise(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "library_items").where("doi is not null").select("doi", tx.bare_doi(F.concat(F.lit("https://doi.org/"), "doi")).alias("bare")).distinct()
 
 
-@query("title_expansions", "SELECT title, 2 ** (CASE WHEN contains(title, 'sci.') THEN 1 ELSE 0 END) AS n FROM (VALUES ('j. sci.'), ('proc. int. conf.'), ('nature')) t(title)")
+_OPTIONS = " * ".join(f"CASE WHEN contains(lower(publication), '{short}') THEN {len(fulls)} ELSE 1 END" for short, fulls in tx.ABBREVIATIONS if len(fulls) > 1)
+
+
+@query("title_expansions", f"SELECT DISTINCT publication, {_OPTIONS} AS n FROM library_items WHERE publication IS NOT NULL")
 def title_expansions(spark: SparkSession, d: str) -> DataFrame:
-    names = spark.createDataFrame([("j. sci.",), ("proc. int. conf.",), ("nature",)], "title string")
-    return names.select("title", F.size(tx.title_expansions(F.col("title"))).cast("double").alias("n"))
+    names = table(spark, d, "library_items").where("publication is not null").select("publication").distinct()
+    return names.select("publication", F.size(tx.title_expansions(F.col("publication"))).alias("n"))
 
 
 @query("upsert_latest", "SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY 1")
