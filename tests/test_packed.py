@@ -61,3 +61,39 @@ def test_lattice_against_all_splits():
     post = packed.posteriors(3, edges, cut, keep)
     for e in w:
         assert abs(post[e] - sum(math.exp(score(c)) for c in chains if e in c) / total) < 1e-9
+
+
+def plain_split(text):
+    """Entries by hand-written rules, without anything learned: tight slashes never separate, commas only without semicolons."""
+    import json
+    import re
+
+    if text.strip().startswith("["):
+        return [x.strip() for x in json.loads(text)]
+    bare = re.sub(r'"(?:[^"]|"")*"|“[^”]*”|\\.|(?:^|(?<=[;|,；\n\t])|(?<=[;|,；] ))\'[^\']*\'', "", text)
+    marks = ";；|\n\t" + ("" if ";" in bare or "；" in bare else ",")
+    out, buffer, i = [], "", 0
+    while i < len(text):
+        ch = text[i]
+        if ch == "\\" and i + 1 < len(text):
+            buffer, i = buffer + text[i + 1], i + 2
+        elif ch in "\"'“" and not buffer.strip() and (m := re.match(r'"((?:[^"]|"")*)"' if ch == '"' else r"'([^']*)'" if ch == "'" else r"“([^”]*)”", text[i:])):
+            buffer, i = m.group(1).replace('""', '"') if ch == '"' else m.group(1), i + m.end()
+        elif ch in marks or (ch == "/" and text[i - 1 : i] == " " and text[i + 1 : i + 2] in (" ", "")):
+            out.append(buffer)
+            buffer, i = "", i + 1
+        else:
+            buffer, i = buffer + ch, i + 1
+    return [x.strip() for x in [*out, buffer]]
+
+
+def test_against_a_plain_splitter(spark):
+    items = spark.read.parquet("/root/testdata/sf0.01/library_items.parquet")
+    want = set()
+    for r in items.select("item_key", "tags", "collections").distinct().collect():
+        for field in ("tags", "collections"):
+            if r[field] is not None:
+                entries_ = [e for e in plain_split(r[field]) if e]
+                want |= {(r["item_key"], field, n, e) for n, e in enumerate(entries_, 1)}
+    got = {tuple(r) for r in packed.unpack_library(items).collect()}
+    assert got == want
