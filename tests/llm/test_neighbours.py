@@ -54,3 +54,17 @@ def test_graph_round_trip():
     assert (a[0] == b[0]).all()
     true = np.argsort(-(x @ x.T), axis=1)[:, :6]
     assert np.mean([len(set(t) & set(f)) / 6 for t, f in zip(true, a[0])]) > 0.95
+
+
+def test_recall_on_the_test_table(spark):
+    chunks = spark.read.parquet("/root/testdata/sf0.01/chunks.parquet")
+    usable = {}
+    for r in chunks.select("chunk_id", "embeddings").collect():
+        v = r["embeddings"]
+        if v is not None and len(v) == 96 and any(v):
+            usable[r["chunk_id"]] = v
+    ids = sorted(usable)
+    want = exact(ids, np.array([usable[i] for i in ids], np.float32), 5)
+    for rows in (128, neighbours.SHARD_ROWS):
+        got = {tuple(r) for r in neighbours.neighbour_pairs(chunks, shard_rows=rows).collect()}
+        assert len(got & want) / len(want) > 0.95 and len(got & want) / len(got) > 0.95
