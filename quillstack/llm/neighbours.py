@@ -19,12 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillstack.runtime import bounded_sample, lookup_join, written
+from quillstack.runtime import bounded_sample, cut_lineage, lookup_join, small_side, written
 
 DIMENSION = 96
 NEIGHBOURS = 5
 SHARD_ROWS = 2048  # points a shard aims at
 PROBES = 6  # pivots a point asks
+MAX_PIVOTS = 8192  # with more points the pivots get several shards each
 PIVOT_SAMPLE = 20_000  # documented bound: points the pivots are fitted on
 BREADTH = 40  # beam of the graph search
 KEPT = 2  # times k + 1 hits of a point that are kept of all shards
@@ -200,7 +201,7 @@ def top_neighbours(chunks: DataFrame, k: int = NEIGHBOURS, dimension: int = DIME
     if total == 0:
         return spark.createDataFrame([], "chunk_id string, rank int, neighbour string, cosine double")
     sample = bounded_sample(members.select("point", "vector"), PIVOT_SAMPLE, "point").select("vector").collect()  # bounded by PIVOT_SAMPLE
-    pivots = fit_pivots(unit(np.frombuffer(b"".join(bytes(r[0]) for r in sample), np.float32).reshape(-1, dimension)), max(1, math.ceil(total / shard_rows)))
+    pivots = fit_pivots(unit(np.frombuffer(b"".join(bytes(r[0]) for r in sample), np.float32).reshape(-1, dimension)), max(1, min(MAX_PIVOTS, math.ceil(total / shard_rows))))
     asked = min(probes, len(pivots))
 
     def route(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,13 +213,11 @@ def top_neighbours(chunks: DataFrame, k: int = NEIGHBOURS, dimension: int = DIME
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["point", "vector", "pivots"])
 
     routed = written(members.select("point", "vector").mapInArrow(route, "point binary, vector binary, pivots array<int>"), "routed")
-    crowds = routed.groupBy(F.col("pivots")[0].alias("pivot")).count().collect()  # one row per pivot
-    parts_of = {r["pivot"]: max(1, math.ceil(r["count"] / (2 * shard_rows))) for r in crowds}
-    split = F.create_map(*[F.lit(x) for kv in sorted(parts_of.items()) for x in kv])
-    part = F.pmod(F.xxhash64("point"), F.element_at(split, F.col("pivots")[0])).cast("int")
-    homes = routed.select("point", "vector", F.col("pivots")[0].alias("pivot"), part.alias("part"))
+    crowds = routed.groupBy(F.col("pivots")[0].alias("pivot")).count().collect()  # one row per pivot, MAX_PIVOTS at most
+    parts_of = F.broadcast(spark.createDataFrame([(r["pivot"], max(1, math.ceil(r["count"] / (2 * shard_rows)))) for r in crowds], "pivot int, parts int"))
+    homes = routed.select("point", "vector", F.col("pivots")[0].alias("pivot")).join(parts_of, "pivot").select("point", "vector", "pivot", F.pmod(F.xxhash64("point"), F.col("parts")).cast("int").alias("part"))
 
-    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def build(key, pdf):
         pdf = pdf.iloc[np.argsort(pdf["point"].to_numpy(), kind="stable")]
         graph = Graph.build(unit(np.frombuffer(b"".join(pdf["vector"]), np.float32).reshape(-1, dimension)))
         vectors, links, sizes = graph.pack()
@@ -227,16 +226,15 @@ def top_neighbours(chunks: DataFrame, k: int = NEIGHBOURS, dimension: int = DIME
     shape = "pivot int, part int, points array<binary>, raw binary, vectors binary, links binary, sizes array<int>"
     shards = written(homes.groupBy("pivot", "part").applyInPandas(build, shape), "shards")
     # every point asks all shards of its pivots; questions to one shard are cut into blocks of bounded size
-    wanted = routed.select("point", "vector", F.explode("pivots").alias("pivot"))
-    wanted = wanted.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.element_at(split, F.col("pivot")), F.lit(0)) - 1)) if parts_of else F.lit(0))
-    wanted = wanted.where(F.col("part") >= 0)
-    loads = {(r["pivot"], r["part"]): r["count"] for r in wanted.groupBy("pivot", "part").count().collect()}  # one row per shard
-    blocks = spark.createDataFrame([(p, q, max(1, math.ceil(n / (4 * shard_rows)))) for (p, q), n in sorted(loads.items())], "pivot int, part int, blocks int")
-    wanted = wanted.join(F.broadcast(blocks), ["pivot", "part"]) if len(loads) <= 100_000 else wanted.join(blocks, ["pivot", "part"])
+    wanted = routed.select("point", "vector", F.explode("pivots").alias("pivot")).join(parts_of, "pivot")
+    wanted = wanted.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    loads = wanted.groupBy("pivot", "part").agg(F.ceil(F.count("*") / (4 * shard_rows)).cast("int").alias("blocks"))
+    loads = small_side(cut_lineage(loads), 100_000)
+    wanted = wanted.join(loads, ["pivot", "part"])
     wanted = wanted.select("pivot", "part", F.pmod(F.xxhash64("point", F.lit(3)), F.col("blocks")).cast("int").alias("block"), "point", "vector")
-    sent = shards.join(blocks, ["pivot", "part"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    sent = shards.join(loads, ["pivot", "part"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
-    def ask(key, asking: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
+    def ask(key, asking, shard):
         if not len(asking) or not len(shard):
             return pd.DataFrame({"point": [], "other": [], "cosine": []}).astype({"point": object, "other": object, "cosine": float})
         s = shard.iloc[0]
