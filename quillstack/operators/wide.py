@@ -104,14 +104,12 @@ def with_ordinals(ids: DataFrame, key: str) -> DataFrame:
     local = cut_lineage(local.withColumn("_local", F.monotonically_increasing_id()))  # partition in the upper bits, row in the lower 33
     local = local.select(key, F.shiftright("_local", 33).cast("int").alias("_part"), F.col("_local").bitwiseAND(F.lit((1 << 33) - 1)).alias("_row"))
     sizes = local.groupBy("_part").count().collect()  # one row per partition
-    start, offsets = 0, {}
+    start, offsets = 0, []
     for r in sorted(sizes):
-        offsets[r["_part"]] = start
+        offsets.append((r["_part"], start))
         start += r["count"]
-    if not offsets:
-        return local.select(key, F.lit(0).cast("long").alias("ordinal"))
-    shift = F.create_map(*[F.lit(x).cast("long") for kv in offsets.items() for x in kv])
-    return local.select(key, (F.element_at(shift, F.col("_part").cast("long")) + F.col("_row")).alias("ordinal"))
+    shift = F.broadcast(ids.sparkSession.createDataFrame(offsets, "_part int, _shift bigint"))
+    return local.join(shift, "_part").select(key, (F.col("_shift") + F.col("_row")).alias("ordinal"))
 
 
 KINDS = {"integer": T.LongType(), "date": T.IntegerType()}
