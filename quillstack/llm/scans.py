@@ -203,7 +203,7 @@ def word_counts(pages: DataFrame) -> DataFrame:
     return pages.select("markdown").mapInPandas(batches, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-BODY_SHAPE = "page_id {0}, item_key string, page_num int, line_no int, what string, word string, hyphen string, rest string"
+BODY_SHAPE = "page_id {0}, item_key string, page_num int, line_no int, what string, word string, hyphen string, rest string, rest_line int"
 
 
 def body_words(pages: DataFrame, furniture_lines: DataFrame, common: set[str]) -> DataFrame:
@@ -220,31 +220,32 @@ def body_words(pages: DataFrame, furniture_lines: DataFrame, common: set[str]) -
                 full = [(i, tokens) for i, line in enumerate(lines) if (tokens := line.split())]
                 if not full:
                     continue
-                rows.append((pid, key, num, full[0][0] + 1, "first", full[0][1][0], None, None))
+                rows.append((pid, key, num, full[0][0] + 1, "first", full[0][1][0], None, None, None))
                 for at, (i, tokens) in enumerate(full):
                     last = tokens[-1]
                     if len(last) > 1 and last[-1] in HYPHENS and last[-2].isalpha() and not lines[i].lstrip().startswith("|"):
-                        rest = full[at + 1][1][0] if at + 1 < len(full) else None
-                        rows.append((pid, key, num, i + 1, "divided", last[:-1].lstrip("([{\"'“„«‘").lower(), last[-1], rest))
+                        after = full[at + 1] if at + 1 < len(full) else None
+                        rows.append((pid, key, num, i + 1, "divided", last[:-1].lstrip("([{\"'“„«‘").lower(), last[-1], *((after[1][0], after[0] + 1) if after else (None, None))))
                 for i, token, word in line_words(lines):
                     if word not in common:
-                        rows.append((pid, key, num, i + 1, "word", word, None, None))
+                        rows.append((pid, key, num, i + 1, "word", word, None, None, None))
                         if token[0] == "(" and ")" not in token:
-                            rows.append((pid, key, num, i + 1, "word", "(" + word, None, None))
-            yield pd.DataFrame(rows, columns=["page_id", "item_key", "page_num", "line_no", "what", "word", "hyphen", "rest"])
+                            rows.append((pid, key, num, i + 1, "word", "(" + word, None, None, None))
+            yield pd.DataFrame(rows, columns=["page_id", "item_key", "page_num", "line_no", "what", "word", "hyphen", "rest", "rest_line"]).astype({"rest_line": "Int32"})
 
     return joined.mapInPandas(batches, BODY_SHAPE.format(pages.schema["page_id"].dataType.simpleString()))
 
 
 def next_first_words(firsts: DataFrame) -> DataFrame:
-    """(item_key, page_num, following): first body word of the next page of the paper that has text.
+    """(item_key, page_num, following): first body word, page and line of the next page of the paper that has text.
 
     Pages are ordered within buckets of page numbers and the buckets among themselves, so a paper of any length is
     never sorted in one task.
     """
-    rows = firsts.select("item_key", "page_num", "word").groupBy("item_key", "page_num").agg(F.min("word").alias("word")).withColumn("bucket", F.floor(F.col("page_num") / PAGES_PER_BUCKET))
-    rows = rows.withColumn("near", F.lead("word").over(W.partitionBy("item_key", "bucket").orderBy("page_num")))
-    heads = rows.groupBy("item_key", "bucket").agg(F.min_by("word", "page_num").alias("head"))
+    at = F.min(F.struct("word", "page_id", "line_no")).alias("at")
+    rows = firsts.groupBy("item_key", "page_num").agg(at).withColumn("bucket", F.floor(F.col("page_num") / PAGES_PER_BUCKET))
+    rows = rows.withColumn("near", F.lead("at").over(W.partitionBy("item_key", "bucket").orderBy("page_num")))
+    heads = rows.groupBy("item_key", "bucket").agg(F.min_by("at", "page_num").alias("head"))
     after = heads.withColumn("far", F.lead("head").over(W.partitionBy("item_key").orderBy("bucket"))).select("item_key", "bucket", "far")
     return rows.join(after, ["item_key", "bucket"]).select("item_key", "page_num", F.coalesce("near", "far").alias("following"))
 
@@ -335,13 +336,19 @@ def noisy_lines(page_extractions: DataFrame) -> DataFrame:
     common = {r["word"] for r in counts.where(F.col("n") > COMMON_SHARE * total + 5).select("word").collect()}  # at most 1 / COMMON_SHARE words
     body = written(body_words(pages, marks, common), "body")
     after = next_first_words(body.where("what = 'first'"))
-    cut = body.where("what = 'divided'").join(after, ["item_key", "page_num"], "left").withColumn("rest", F.coalesce("rest", "following"))
-    divided = written(divided_words(cut.select("page_id", "line_no", "word", "hyphen", "rest"), counts), "hyphens")
+    cut = body.where("what = 'divided'").join(after, ["item_key", "page_num"], "left")
+    here = F.col("rest_line").isNotNull()
+    cut = cut.select("page_id", "line_no", "word", "hyphen", F.coalesce("rest", "following.word").alias("rest"), F.when(here, F.col("page_id")).otherwise(F.col("following.page_id")).alias("rest_page"), F.coalesce("rest_line", "following.line_no").alias("rest_line"))
+    divided = written(divided_words(cut, counts), "hyphens")
     rare = body.where("what = 'word'").select("page_id", "line_no", "word")
-    halves = divided.where("n_joined = 0").select("page_id", "line_no", F.col("joined").alias("word"))
-    asked = written(rare.unionByName(halves), "asked")
+    halves = divided.where("n_joined = 0").select("page_id", "line_no", F.col("joined").alias("word"), F.col("word").alias("half"), "rest_page", "rest_line")
+    asked = written(rare.unionByName(halves, allowMissingColumns=True), "asked")
     wrong = written(misreadings(asked.groupBy("word").agg(F.count("*").alias("times")), counts), "misreadings")
-    hit = asked.join(F.broadcast(wrong) if is_small(wrong) else wrong, "word").groupBy("page_id", "line_no").agg(F.min("right").alias("right"))
+    hit = asked.join(F.broadcast(wrong) if is_small(wrong) else wrong, "word")
+    # of a divided word the line with the wrong character counts
+    below = F.col("half").isNotNull() & F.startswith("right", F.col("half")) & F.col("rest_line").isNotNull()
+    hit = hit.select(F.when(below, F.col("rest_page")).otherwise(F.col("page_id")).alias("page_id"), F.when(below, F.col("rest_line")).otherwise(F.col("line_no")).alias("line_no"), "right")
+    hit = hit.groupBy("page_id", "line_no").agg(F.min("right").alias("right"))
     misread = hit.select("page_id", "line_no", F.lit("misread").alias("kind"), "right")
     hyphenation = divided.select("page_id", "line_no", F.lit("hyphenation").alias("kind"), F.col("joined").alias("right"))
     heads = marks.select("page_id", "line_no", "kind", F.lit(None).cast("string").alias("right"))

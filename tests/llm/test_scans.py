@@ -45,7 +45,7 @@ def noise(spark):
     rng = random.Random(9)
     pages = []
     for n in range(1, 7):
-        lines = [f"ON THE DELTA OF OLDMERE    {n}" if n % 2 else "ON THE DELTA OF OLDMERE", "", body(rng), body(rng) + " sur-", "vey " + body(rng) + " cross-", "sectional pattern near the glac1er " + body(rng, 3), body(rng), body(rng) + ".", "", f"— {n + 40} —"]
+        lines = [f"ON THE DELTA OF OLDMERE    {n}" if n % 2 else "ON THE DELTA OF OLDMERE", "", body(rng), body(rng) + " sur-", ("v" + ("cy" if n == 2 else "ey") + " ") + body(rng) + " cross-", "sectional pattern near the glac1er " + body(rng, 3), body(rng), body(rng) + ".", "", f"— {n + 40} —"]
         pages.append([n, "SCAN", n, lines])
     pages[2][3][7] = body(rng) + " gla-"
     pages[3][3][2] = "cier " + body(rng)
@@ -73,6 +73,10 @@ def test_misread(noise):
     assert {(n, 6, "misread") for n in range(1, 7)} <= noise
 
 
+def test_misread_half_counts_on_its_line(noise):
+    assert (2, 5, "misread") in noise and (2, 4, "misread") not in noise and (2, 4, "hyphenation") in noise
+
+
 def test_clean_pages_stay(noise):
     assert not [x for x in noise if x[0] and x[0] >= 100]
 
