@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstack.llm.boosting import BoostedTrees
-from quillstack.runtime import bounded_sample, is_small, lookup_join, written
+from quillstack.runtime import is_small, lookup_join, written
 
 ZONE = 3  # non-blank lines at either end of a page that may be furniture
 LONGEST_LINE = 300  # no line of a printed page is longer; longer ones don't count as head or foot
@@ -109,9 +109,13 @@ def line_words(lines: list[str]) -> Iterator[tuple[int, str, str]]:
 
 
 def training_rows(labelled: DataFrame, *keys: str) -> pd.DataFrame:
-    """Up to TRAINING_ROWS labelled rows, half of either label, chosen by hash, in an order that is always the same."""
-    halves = [bounded_sample(labelled.where(F.col("label") == v), TRAINING_ROWS // 2, *keys) for v in (1.0, 0.0)]
-    return halves[0].unionByName(halves[1]).toPandas().sort_values([*keys, "label"], kind="stable").reset_index(drop=True)
+    """Up to about TRAINING_ROWS labelled rows, half of either label, chosen by hash, in an order that is always the same."""
+    labelled = written(labelled, "labelled")
+    n = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
+    grain, half = 1 << 30, TRAINING_ROWS // 2
+    share = [int(grain * min(1.0, half / n[v])) if n.get(v) else 0 for v in (1.0, 0.0)]
+    chosen = labelled.where(F.pmod(F.xxhash64(*keys), F.lit(grain)) < F.when(F.col("label") == 1, share[0]).otherwise(share[1]))
+    return chosen.toPandas().sort_values([*keys, "label"], kind="stable").reset_index(drop=True)
 
 
 ZONE_SHAPE = "page_id {0}, item_key string, page_num int, line_no int, place int, foot boolean, key string, value int, beside boolean, blank boolean, ends boolean, upper double, length double"
@@ -161,6 +165,7 @@ def furniture(pages: DataFrame) -> DataFrame:
     sizes = pages.groupBy("item_key").agg(F.count("*").alias("pages"))
     again = zone.where("key <> ''").groupBy("item_key", "key", "foot").agg(F.count_distinct("page_id").alias("repeats"))
     heads = zone.where("key <> ''").join(again, ["item_key", "key", "foot"]).join(sizes, "item_key").withColumn("share", F.col("repeats") / F.col("pages"))
+    heads = written(heads, "heads")
     sure = (F.col("repeats") >= 3) & (F.col("share") >= 0.5)
     label = F.when(sure, 1.0).when((F.col("repeats") == 1) & (F.col("pages") >= 4), 0.0)
     pool = heads.withColumn("label", label).where(F.col("label").isNotNull()).select(*[F.col(c).cast("double").alias(c) for c in SHAPE], "label", "page_id", "line_no")
