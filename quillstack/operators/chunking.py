@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillstack.config import CONFIDENCE_FALLBACK, CONFIDENCE_SCHEME
 from quillstack.functions.text import heading_text, section_of
@@ -13,40 +15,47 @@ from quillstack.functions.text import heading_text, section_of
 SENTENCE_ENDS = (". ", ".\n", "? ", "?\n", "! ", "!\n")
 
 
+BOUNDS = T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())]))
+
+
+def bounds_of(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
+    """(start, end) of the passages of a text, in one pass."""
+    out, start, n = [], 0, len(text)
+    while start < n:
+        end = start + size
+        if end < n:
+            low = start + int(size * 0.8)
+            ends = (text.rfind(mark, low, end) for mark in SENTENCE_ENDS)
+            end = next((at + len(mark) for mark, at in zip(SENTENCE_ENDS, ends) if at >= 0), end)
+        else:
+            end = n
+        out.append((start, end))
+        start = end - overlap if end - overlap > start else end
+    return out
+
+
 def chunk_bounds(text: Column, size: int, overlap: int) -> Column:
-    """Array of (start, end) of the passages, in characters from 0.
+    """Array of (s, e), start and end of the passages in characters from 0; null for a null text.
 
     A passage ends after the last sentence end in the last fifth of its window, by the first kind that occurs there;
-    else at the window's end. The next starts ``overlap`` before, or at the end where that would not move on.
+    else at the window's end. The next starts ``overlap`` before, or at the end where that would not move on. The walk
+    is linear in the text, which a fold over substrings of UTF-8 is not, so it runs in Arrow batches.
     """
-    n = F.length(text)
-    # every step moves on by at least this many characters
-    least = max(1, int(size * 0.8) - overlap)
-    rounds = F.sequence(F.lit(0), F.ceil(n / least).cast("int") + 1)
-    empty = F.array().cast("array<struct<s:int,e:int>>")
-
-    def end_of(start: Column) -> Column:
-        low, high = start + int(size * 0.8), start + size
-        window = F.substring(text, low + 1, high - low)
-        end = None
-        for mark in SENTENCE_ENDS:
-            at = F.locate(mark[::-1], F.reverse(window))
-            hit = F.when(at > 0, low + F.length(window) - at + 1)
-            end = hit if end is None else F.coalesce(end, hit)
-        return F.when(high >= n, n).otherwise(F.coalesce(end, high))
 
-    def step(acc: Column, _: Column) -> Column:
-        nxt = F.transform(F.array(end_of(acc["at"])), lambda e: F.struct(F.when(e - overlap > acc["at"], e - overlap).otherwise(e).cast("int").alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("s"), e.cast("int").alias("e")))).alias("out")))[0]
-        return F.when(acc["at"] < n, nxt).otherwise(acc)
+    def walk(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else [{"s": s, "e": e} for s, e in bounds_of(t, size, overlap)] for t in texts])
 
-    return F.aggregate(rounds, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
+    return F.pandas_udf(walk, BOUNDS)(text)
 
 
 def chunks(docs: DataFrame, key: str, text: str, size_tokens: int = 400, overlap_tokens: int = 100) -> DataFrame:
     """(key, chunk_index, char_start, char_end, passage): passages stripped of outer blanks, empty ones left out."""
     size, overlap = size_tokens * 4, overlap_tokens * 4
-    cut = docs.where(F.length(text) > 0).select(key, F.col(text).alias("_text"), F.explode(chunk_bounds(F.col(text), size, overlap)).alias("b"))
-    cut = cut.select(key, F.col("b.s").alias("char_start"), F.col("b.e").alias("char_end"), F.regexp_replace(F.substring(F.col("_text"), F.col("b.s") + 1, F.col("b.e") - F.col("b.s")), r"(?U)^\s+|\s+$", "").alias("passage"))
+    def cut_up(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"char_start": s, "char_end": e, "passage": t[s:e].strip()} for s, e in bounds_of(t, size, overlap)] for t in texts])
+
+    shape = T.ArrayType(T.StructType([T.StructField("char_start", T.IntegerType()), T.StructField("char_end", T.IntegerType()), T.StructField("passage", T.StringType())]))
+    cut = docs.where(F.length(text) > 0).select(key, F.explode(F.pandas_udf(cut_up, shape)(text)).alias("b")).select(key, "b.*")
     kept = cut.where("passage <> ''")
     order = F.row_number().over(W.partitionBy(key).orderBy("char_start", "char_end")) - 1
     return kept.withColumn("chunk_index", order).select(key, "chunk_index", "char_start", "char_end", "passage")

@@ -112,6 +112,8 @@ def test_chunks_against_a_loop(spark):
     for r in df.select("k", chunking.chunk_bounds(F.col("t"), 100, 20).alias("b")).collect():
         got[r["k"]] = [(x["s"], x["e"]) for x in r["b"] or []]
     assert got == {i: plain_chunks(t, 100, 20) for i, t in enumerate(texts)}
+    rows = chunking.chunks(df, "k", "t", 25, 5).where("k = 5").orderBy("chunk_index").collect()
+    assert [(r["char_start"], r["char_end"]) for r in rows] == got[5] and rows[0]["passage"] == texts[5][:100].strip()
 
 
 def test_spans(spark):
