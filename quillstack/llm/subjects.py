@@ -42,6 +42,7 @@ EXAMPLE_ROWS = 20_000  # documented bound of labelled rows that seed the centroi
 LEAN = 0.15  # least leaning of a word that says anything
 SURE = 0.5  # least length of a unit's weighted vector to deal with something
 LEAST_IDF = 1.5  # a word that leans to a subject counts at least so much, however common it is
+MARGIN = 0.02  # by which a unit's subject must lead
 CONTEXT = 0.5  # say of the document in a unit's subject
 BLOCK_WORDS = 2048
 
@@ -423,7 +424,12 @@ def assign(coded: DataFrame, model: Model, subjects: list[str], share: float = S
                     starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
                     whole[of[starts]] = np.add.reduceat(np.clip(near, 0, 1) ** 4, starts, axis=0)
                 whole /= np.maximum(whole.sum(axis=1, keepdims=True), 1e-12)
-                best = (near + CONTEXT * whole[of]).argmax(axis=1) if len(of) else np.empty(0, int)
+                rated = near + CONTEXT * whole[of]
+                best = rated.argmax(axis=1) if len(of) else np.empty(0, int)
+                if len(of) and len(subjects) > 1:  # a word that subjects share, and nothing in the document to tell them apart, is no case
+                    two = np.partition(rated, -2, axis=1)[:, -2:]
+                    told = two[:, 1] - two[:, 0] > MARGIN
+                    best, of = best[told], of[told]
                 hits = np.bincount(of * len(subjects) + best, minlength=docs * len(subjects)).reshape(docs, len(subjects))
                 part_of = hits / np.maximum(n_units, 1)[:, None]
                 doc, subject = np.nonzero((part_of >= share) & (hits > 0))
