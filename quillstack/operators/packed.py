@@ -22,6 +22,7 @@ from quillstack.runtime import lookup_join, written
 STRONG = ";；|\n\t\r"
 SEMICOLONS = ";；"
 QUOTES = {'"': '"', "'": "'", "“": "”", "„": "“", "«": "»", "‘": "’"}
+ESCAPED = frozenset(STRONG + ",/\\" + "".join(QUOTES) + "".join(QUOTES.values()))  # what a backslash before it makes literal
 UNSEEN = 0.1  # pseudo-count of a value never met
 ROUNDS = 3
 #: How often each kind of gap is taken to separate before anything is learned.
@@ -35,7 +36,7 @@ def _quoted(text: str, start: int) -> tuple[str, int] | None:
     close, i, out = QUOTES[text[start]], start + 1, []
     while i < len(text):
         ch = text[i]
-        if ch == "\\" and i + 1 < len(text):
+        if ch == "\\" and text[i + 1 : i + 2] in ESCAPED:
             out.append(text[i + 1])
             i += 2
         elif ch == close:
@@ -76,7 +77,7 @@ def lex(text: str) -> list[tuple[list[str], list[str], list[str]]]:
     i = 0
     while i < len(text):
         ch = text[i]
-        if ch == "\\" and i + 1 < len(text):
+        if ch == "\\" and text[i + 1 : i + 2] in ESCAPED:
             buffer.append(text[i + 1])
             i += 2
             continue

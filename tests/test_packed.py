@@ -18,6 +18,7 @@ def entries(text):
         (r"north\; upper;b", [["north; upper"], ["b"]]),
         ("'soil, alpine' | to-read", [["soil, alpine"], ["to-read"]]),
         ("l’Atlas|x", [["l’Atlas"], ["x"]]),
+        (r"C:\path;b", [[r"C:\path"], ["b"]]),
         (" ;; ", []),
         ("", []),
     ],
