@@ -20,6 +20,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return scans.found_noise(table(spark, d, "page_extractions"))
 
 
+def p3_text(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired_pages(table(spark, d, "page_extractions"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.neighbour_pairs(table(spark, d, "chunks"))
 
@@ -53,7 +57,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return subjects.document_subjects(table(spark, d, "documents"), table(spark, d, "subject_areas"), table(spark, d, "subject_examples"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p5_found": p5_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shares": p10_shares}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_text": p3_text, "p5_found": p5_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shares": p10_shares}
 
 SQL = {
     "p7_found": r"""

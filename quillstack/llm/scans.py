@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -42,6 +43,9 @@ DIGITS = str.maketrans({"l": "1", "I": "1", "i": "1", "!": "1", "O": "0", "o": "
 JOINING = {"and", "or", "und", "oder", "et", "ou", "y", "o", "to", "bis"}
 OUTER = " \t.,;:?)]}\"'’”»…"
 WORD_CHARS = re.compile(r"[^\W\d_]")
+ROOM_LEFT = 3  # characters by which a line may fall short of the width: misreadings change its length
+WIDEST_PRINT = 120  # characters in the lines of a printed page
+STANDING = re.compile(r"\d{1,2}(?:\.\d{1,2})*\.? [^\W\d_][^.!?;]{0,60}$")  # a numbered heading
 CJK = re.compile(r"[⺀-鿿가-힯]")
 
 
@@ -329,12 +333,12 @@ def distinct_pages(page_extractions: DataFrame) -> DataFrame:
     return page_extractions.select("page_id", "item_key", "page_num", "markdown").where(F.col("page_id").isNotNull() & (F.length("markdown") > 0)).dropDuplicates(["page_id"])
 
 
-def noisy_lines(page_extractions: DataFrame) -> DataFrame:
-    """(page_id, line_no, kind, right): every line with noise; ``right`` is the whole or corrected word, null for furniture.
+def noise(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(furniture lines, divided words, misread words) of distinct pages.
 
-    Null and empty pages have no lines. Repeated page_ids count once. Lines count from 1 over all lines of a page.
+    Of a misread word there is every (page_id, line_no, word, right); of a divided one also the half, and the line and
+    page it goes on in.
     """
-    pages = written(distinct_pages(page_extractions), "pages")
     marks = written(furniture(pages), "furniture")
     counts = written(word_counts(pages), "counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
@@ -349,16 +353,180 @@ def noisy_lines(page_extractions: DataFrame) -> DataFrame:
     halves = divided.where("n_joined = 0").select("page_id", "line_no", F.col("joined").alias("word"), F.col("word").alias("half"), "rest_page", "rest_line")
     asked = written(rare.unionByName(halves, allowMissingColumns=True), "asked")
     wrong = written(misreadings(asked.groupBy("word").agg(F.count("*").alias("times")), counts), "misreadings")
-    hit = asked.join(F.broadcast(wrong) if is_small(wrong) else wrong, "word")
+    return marks, divided, asked.join(F.broadcast(wrong) if is_small(wrong) else wrong, "word")
+
+
+def noisy_lines(page_extractions: DataFrame) -> DataFrame:
+    """(page_id, line_no, kind, wrong, right): every line with noise, once for each wrong word on it.
+
+    ``right`` is the whole or corrected word; both are null for furniture. Null and empty pages have no lines. Repeated
+    page_ids count once. Lines count from 1 over all lines of a page.
+    """
+    marks, divided, hit = noise(written(distinct_pages(page_extractions), "pages"))
     # of a divided word the line with the wrong character counts
     below = F.col("half").isNotNull() & F.startswith("right", F.col("half")) & F.col("rest_line").isNotNull()
-    hit = hit.select(F.when(below, F.col("rest_page")).otherwise(F.col("page_id")).alias("page_id"), F.when(below, F.col("rest_line")).otherwise(F.col("line_no")).alias("line_no"), "right")
-    hit = hit.groupBy("page_id", "line_no").agg(F.min("right").alias("right"))
-    misread = hit.select("page_id", "line_no", F.lit("misread").alias("kind"), "right")
-    hyphenation = divided.select("page_id", "line_no", F.lit("hyphenation").alias("kind"), F.col("joined").alias("right"))
-    heads = marks.select("page_id", "line_no", "kind", F.lit(None).cast("string").alias("right"))
+    misread = hit.select(F.when(below, F.col("rest_page")).otherwise(F.col("page_id")).alias("page_id"), F.when(below, F.col("rest_line")).otherwise(F.col("line_no")).alias("line_no"), F.lit("misread").alias("kind"), F.col("word").alias("wrong"), "right").distinct()
+    hyphenation = divided.select("page_id", "line_no", F.lit("hyphenation").alias("kind"), F.concat("word", "hyphen").alias("wrong"), F.col("joined").alias("right"))
+    none = F.lit(None).cast("string")
+    heads = marks.select("page_id", "line_no", "kind", none.alias("wrong"), none.alias("right"))
     return heads.unionByName(hyphenation).unionByName(misread)
 
 
 def found_noise(page_extractions: DataFrame) -> DataFrame:
     return noisy_lines(page_extractions).select("page_id", "line_no", "kind").distinct()
+
+
+def recased(old: str, new: str, starts: bool) -> str:
+    """``new`` (in lower case) with the capitals of ``old``, the misread word it replaces."""
+    letters = [ch for ch in old if ch.isalpha()]
+    if len(letters) > 1 and all(ch.isupper() for ch in letters):
+        return new.upper()
+    out = [new[j1:j2] if op != "equal" else old[i1:i2] for op, i1, i2, j1, j2 in SequenceMatcher(None, old.lower(), new, autojunk=False).get_opcodes()] if len(old.lower()) == len(old) else [new]
+    word = "".join(out)
+    return word[:1].upper() + word[1:] if old[:1].isupper() or (starts and not old[:1].isalpha()) else word
+
+
+def corrected(token: str, right: dict[str, str], starts: bool) -> str:
+    """The token with its misread word replaced, what stands around the word kept."""
+    word = bare(token)
+    open_ = "(" + word
+    if open_ in right and token[0] == "(" and ")" not in token:  # the bracket is a misread letter
+        return recased(token[: len(open_)], right[open_], starts) + token[len(open_) :]
+    if word not in right:
+        return token
+    at = len(token) - len(token.lstrip("([{\"'“„«‘*_"))
+    return token[:at] + recased(token[at : at + len(word)], right[word], starts) + token[at + len(word) :]
+
+
+def is_wrapped(text: str) -> bool:
+    """Whether the lines of a text are broken at a width of print: none is longer, and few words had room on the line before."""
+    lines = [line.rstrip() for line in text.split("\n")]
+    body = [line for line in lines if line and line[0] not in "#|"]
+    width = max(map(len, body), default=0)
+    if not 0 < width <= WIDEST_PRINT:
+        return False
+    pairs = [(a, b) for a, b in zip(lines, lines[1:]) if a and b and a[0] not in "#|-*>" and b[0].isalpha()]
+    full = sum(len(a) + 1 + len(b.split()[0]) > width - ROOM_LEFT for a, b in pairs)
+    return full >= 2 and full >= 0.7 * len(pairs)
+
+
+def paragraphs(text: str, skip: set[int], divided: dict[int, str | None], right: dict[str, str], drop_first: bool, width: int) -> tuple[list[str], bool, bool]:
+    """(paragraphs, whether the first may go on from the page before, whether the last goes on on the next one) of a scanned page.
+
+    ``skip``: furniture lines; ``divided``: lines that end in a divided word, with its rest if that stands on the next
+    page; ``right``: misread words; ``drop_first``: the page's first word belongs to the page before. A paragraph ends
+    at a blank line, a heading, a table row or a line of numbers, and where the next word would have had room on the
+    line (``width``).
+    """
+    out: list[tuple[str, list[str]]] = []  # (text, head or rows, tokens)
+    glue, fresh, room = "", True, 0
+    for n, line in enumerate(text.split("\n"), 1):
+        if n in skip:
+            continue
+        tokens = line.split()
+        if not tokens:
+            fresh = True
+            continue
+        if drop_first:
+            tokens, drop_first = tokens[1:], False
+            if not tokens:
+                fresh = False  # the rest of this page goes on after the word
+                continue
+        stripped = line.strip()
+        kind = "head" if stripped[0] == "#" or STANDING.match(stripped) else "rows" if stripped[0] == "|" or not WORD_CHARS.search(stripped) else "text"
+        if glue and out:
+            whole = out[-1][1]
+            if glue == "whole":
+                whole[-1] = whole[-1][:-1] + tokens[0]
+            elif glue == "compound" and tokens[0].strip(OUTER).lower() not in JOINING:
+                whole[-1] += tokens[0]
+            else:
+                whole.append(tokens[0])
+            whole += tokens[1:]
+        elif kind == "rows" and not fresh and out and out[-1][0] == kind:
+            out[-1][1].append("\n" + stripped)  # the rows of a table stay together
+        elif fresh or kind != "text" or not out or out[-1][0] != kind or len(tokens[0]) < room:
+            out.append((kind, tokens if kind == "text" else [stripped]))
+        else:
+            out[-1][1].extend(tokens)
+        last = tokens[-1]
+        glue, fresh, room = "", False, width - ROOM_LEFT - len(line.rstrip())
+        if n in divided:
+            rest = divided[n]
+            if rest is None:
+                glue = "whole"
+            else:
+                out[-1][1][-1] = out[-1][1][-1][:-1] + rest
+        elif kind == "text" and len(last) > 1 and last[-1] in HYPHENS and last[-2].isalpha():
+            glue = "compound"
+    done = []
+    for kind, tokens in out:
+        starts = [True, *(t[-1] in ".!?" for t in tokens)]
+        done.append(" ".join(corrected(t, right, s) for t, s in zip(tokens, starts)) if kind == "text" else "".join(tokens))
+    goes_on = bool(out) and out[-1][0] == "text" and done[-1].rstrip("\"'”’»)]*_")[-1:] not in tuple(".!?:")
+    return done, bool(out) and out[0][0] == "text", goes_on
+
+
+def with_capitals(hit: DataFrame, pages: DataFrame) -> DataFrame:
+    """``hit`` with a capital where the first letter is misread and the corpus mostly writes the right word with one (nouns, names)."""
+    lost = ~F.col("word").rlike(r"^\p{L}")
+    asked = hit.where(lost).select("right").distinct()
+    token = F.explode(F.split("markdown", r"[^\p{L}\-'’]+")).alias("token")
+    met = pages.select(token).withColumn("right", F.lower("token")).join(F.broadcast(asked) if is_small(asked) else asked, "right")
+    high = met.groupBy("right").agg(F.avg((F.substring("token", 1, 1) != F.substring("right", 1, 1)).cast("int")).alias("high")).where("high > 0.5").select("right", F.lit(True).alias("high"))
+    first = F.concat(F.upper(F.substring("right", 1, 1)), F.expr("substring(right, 2)"))
+    return hit.join(high, "right", "left").select("page_id", "word", F.when(lost & F.col("high"), first).otherwise(F.col("right")).alias("right"))
+
+
+def repaired_pages(page_extractions: DataFrame) -> DataFrame:
+    """(page_id, item_key, page_num, text): every page, those of scanned papers as continuous paragraphs set apart by blank lines.
+
+    Divided words are joined, misread ones replaced, running heads and page numbers dropped. A paragraph that goes on
+    over pages stands whole on the page it begins on. A paper without any noise and without lines broken at a width of
+    print was not scanned: its pages stay as they are, as do null and empty ones. Each page_id counts once; pages without one are left out.
+    """
+    pages = written(distinct_pages(page_extractions), "pages")
+    marks, divided, hit = noise(pages)
+    own = F.coalesce("item_key", F.concat(F.lit("page "), F.col("page_id").cast("string"))).alias("paper")
+    keyed = pages.select("*", own)
+
+    @F.pandas_udf("boolean")
+    def printed(texts: pd.Series) -> pd.Series:
+        return texts.map(is_wrapped)
+
+    wrapped = pages.where(printed("markdown"))
+    noisy = marks.select("page_id").union(divided.select("page_id")).union(hit.select("page_id")).union(wrapped.select("page_id")).distinct()
+    scanned = written(keyed.join(noisy, "page_id", "left_semi").select("paper").distinct(), "scanned")
+    hit = with_capitals(written(hit.select("page_id", "word", "right").distinct(), "hit"), pages)
+    skip = marks.groupBy("page_id").agg(F.collect_set("line_no").alias("skip"))
+    over = F.col("rest_page") != F.col("page_id")
+    cuts = divided.groupBy("page_id").agg(F.collect_list(F.struct("line_no", F.when(over, F.col("rest")).alias("rest"))).alias("cuts"))
+    words = hit.groupBy("page_id").agg(F.collect_set(F.struct("word", "right")).alias("words"))
+    drop = divided.where(over).select(F.col("rest_page").alias("page_id"), F.lit(True).alias("drop_first")).distinct()
+    longest = F.array_max(F.transform(F.filter(F.split("markdown", "\n"), lambda x: ~F.startswith(x, F.lit("|")) & (F.length(x) <= LONGEST_LINE)), lambda x: F.length(F.rtrim(x))))
+    widths = keyed.join(scanned, "paper", "left_semi").select("paper", longest.alias("longest")).groupBy("paper").agg(F.percentile_approx("longest", 0.5).alias("width"))
+    work = keyed.join(widths, "paper").join(skip, "page_id", "left").join(cuts, "page_id", "left").join(words, "page_id", "left").join(drop, "page_id", "left")
+
+    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        none = lambda x: [] if x is None else x
+        for pdf in parts:
+            rows = []
+            for pid, paper, num, text, lines, cut, wrong, first, width in zip(pdf["page_id"], pdf["paper"], pdf["page_num"], pdf["markdown"], pdf["skip"], pdf["cuts"], pdf["words"], pdf["drop_first"], pdf["width"]):
+                found = paragraphs(text, set(none(lines)), {c["line_no"]: c["rest"] for c in none(cut)}, {w["word"]: w["right"] for w in none(wrong)}, first is True, int(width or 0))
+                rows.append((pid, paper, num, *found))
+            yield pd.DataFrame(rows, columns=["page_id", "paper", "page_num", "parts", "joins", "open"])
+
+    shape = f"page_id {pages.schema['page_id'].dataType.simpleString()}, paper string, page_num int, parts array<string>, joins boolean, open boolean"
+    done = written(work.select("page_id", "paper", "page_num", "markdown", "skip", "cuts", "words", F.coalesce("drop_first", F.lit(False)).alias("drop_first"), "width").mapInPandas(batches, shape), "paragraphs")
+    # pages without text of their own don't end a paragraph
+    order = W.partitionBy("paper").orderBy("page_num", "page_id")
+    text = done.where(F.size("parts") > 0).withColumn("goes_on", F.coalesce(F.lag("open").over(order), F.lit(False)) & F.col("joins"))
+    begins = ~F.col("goes_on") | (F.size("parts") > 1)
+    text = text.withColumn("last_begun", F.last(F.when(begins, F.col("page_id")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)))
+    moved = text.where("goes_on").groupBy(F.col("last_begun").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("page_num", F.col("page_id").alias("at"), F.col("parts")[0].alias("part")))).alias("moved"))
+    kept = text.select("page_id", F.when(F.col("goes_on"), F.slice("parts", 2, F.size("parts"))).otherwise(F.col("parts")).alias("kept"))
+    kept = kept.join(moved, "page_id", "left").select("page_id", F.concat_ws(" ", F.array_join("kept", "\n\n"), F.array_join(F.transform("moved", lambda m: m["part"]), " ")).alias("new"))
+    kept = done.select("page_id", F.lit(True).alias("scan")).join(kept, "page_id", "left")
+    repaired = pages.join(kept, "page_id", "left").select("page_id", "item_key", "page_num", F.when(F.col("scan"), F.coalesce("new", F.lit(""))).otherwise(F.col("markdown")).alias("text"))
+    empty = page_extractions.where(F.col("page_id").isNotNull()).select("page_id", "item_key", "page_num", F.col("markdown").alias("text")).dropDuplicates(["page_id"]).join(pages.select("page_id"), "page_id", "left_anti")
+    return repaired.unionByName(empty)
