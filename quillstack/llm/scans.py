@@ -2,17 +2,19 @@
 
 Lines at the head and foot of a page are candidates for furniture; a boosted classifier over pairs of neighbouring
 lines tells running heads and page numbers from text. Divided words are found by a classifier over the line and the
-next line of text, which may stand on the next page. Misread words are rare words with a much more frequent word
-within few edits: candidates come from an inverted join on the rarest character bigrams, are verified with
-levenshtein, and a boosted ranking chooses the replacement.
+next line of text, which may stand on the next page. Misread words are rare words with a more frequent word within few
+edits: candidates come from an inverted join on the rarest character bigrams, are verified with levenshtein, and a
+boosted ranking over frequencies and known and learned confusions chooses the replacement.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
@@ -26,7 +28,9 @@ from quillstack.runtime import is_small, lookup_join, written
 ZONE = 3  # non-blank lines at either end of a page that may be furniture
 LONGEST_LINE = 300  # no line of a printed page is longer; longer ones don't count as head or foot
 EDITS, GRAM = 2, 2
-OFTEN = 20  # how many times more frequent a word must be than its misreading
+OFTEN, EVEN = 20, 3  # a rare word is a likely misreading of a word so many times as frequent; of one hardly more frequent it is none
+LEAST_ODD, LEAST_MET, ONE_WAY = 3, 10, 8  # words that teach a confusion, with an impossible character or of letters; times its reverse
+ODD = r"(?:^\(|\p{L}[^\p{L}\-'’./&]+|^[^\p{L}\-'’./&])\p{L}|\p{L}[!|$(]"
 COMMON_SHARE = 0.0002  # words above this share of all words are never misreadings (at most 1 / share of them)
 TRAINING_ROWS = 20_000  # documented bound of the labelled rows a classifier is fitted on
 PAGES_PER_BUCKET = 512
@@ -266,31 +270,69 @@ def misreadings(rare: DataFrame, counts: DataFrame) -> DataFrame:
     within EDITS edits shares at least one of them.
     """
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) + 1), lambda i: F.substring(F.concat(F.lit("^"), c, F.lit("$")), i, F.lit(GRAM))))
-    known = written(counts.where((F.col("n") >= 5) & ~F.col("word").rlike(r"[^\p{L}\-'’]")), "known")
+    known = written(counts.where((F.col("n") >= 2) & ~F.col("word").rlike(r"[^\p{L}\-'’]")), "known")
     postings = written(known.select(F.col("word").alias("right"), "n", F.explode(grams(F.col("word"))).alias("gram")), "postings")
     spread = postings.groupBy("gram").agg(F.count("*").alias("df"))
     asked = rare.select("word", "times", F.explode(grams(F.col("word"))).alias("gram")).join(spread, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     rank = F.row_number().over(W.partitionBy("word").orderBy("df", "gram"))
     asked = asked.withColumn("rank", rank).where((F.col("rank") <= EDITS * GRAM + 1) & (F.col("df") > 0)).select("word", "times", "gram")
-    met = asked.join(postings, "gram").where((F.col("n") >= OFTEN * F.col("times")) & (F.abs(F.length("word") - F.length("right")) <= EDITS) & (F.col("word") != F.col("right")))
+    met = asked.join(postings, "gram").where((F.abs(F.length("word") - F.length("right")) <= EDITS) & (F.col("word") != F.col("right")))
     pairs = met.select("word", "times", "right", "n").distinct().withColumn("edits", F.levenshtein("word", "right", EDITS)).where("edits > 0")
     alike = F.greatest(*[(skeleton_column(F.col("word"), p) == skeleton_column(F.col("right"), p)).cast("int") for p in (PAIRS, PAIRS_TURNED)])
-    odd = F.length("word") - F.length(F.regexp_replace("word", r"[^\p{L}\-'’]", ""))
-    pairs = written(pairs.withColumn("alike", alike).withColumn("odd", odd), "pairs")
-    features = ("times", "n", "edits", "alike", "odd", "length")
-    table_ = pairs.select("word", "right", F.log1p("times").alias("times"), F.log1p("n").alias("n"), "edits", "alike", "odd", F.length("word").alias("length"))
-    labelled = table_.withColumn("label", F.when((F.col("alike") == 1) & (F.col("odd") > 0), 1.0).when((F.col("alike") == 0) & (F.col("odd") == 0), 0.0).when((F.col("alike") == 1) & (F.col("times") < 3), 1.0)).where("label is not null")
-    train = training_rows(labelled, "word", "right")
+    # a sign or digit between letters or before them can't be part of a word
+    odd = F.when(F.col("word").rlike(ODD), 1).otherwise(0)
+    pairs = written(differing(pairs.withColumn("alike", alike).withColumn("odd", odd).where((F.col("odd") > 0) | (F.col("n") > F.col("times")))), "pairs")
+    learned = confusions(pairs)
+    pairs = pairs.join(F.broadcast(learned) if is_small(learned) else learned, ["got", "meant"], "left").withColumn("met", F.coalesce("met", F.lit(0.0)))
+    features = ("times", "ratio", "edits", "alike", "met", "odd", "length")
+    table_ = written(pairs.select("word", "right", "n", F.log1p("times").alias("times"), F.log(F.col("n") / F.col("times")).alias("ratio"), "edits", "alike", "met", "odd", F.length("word").alias("length")), "features")
+    often, even = F.col("ratio") >= math.log(OFTEN), F.col("ratio") < math.log(EVEN)
+    label = F.when((F.col("alike") == 1) & (F.col("odd") > 0), 1.0).when((F.col("alike") == 0) & (F.col("odd") == 0), 0.0).when((F.col("alike") == 1) & even, 0.0).when((F.col("alike") == 1) & often & (F.col("times") < math.log(4)), 1.0)
+    train = training_rows(table_.withColumn("label", label).where("label is not null"), "word", "right")
     trained = train["label"].nunique() == 2
     model = BoostedTrees(rounds=30).fit(train[list(features)].to_numpy(), train["label"].to_numpy())
 
     @F.pandas_udf("double")
-    def rate(times: pd.Series, n: pd.Series, edits: pd.Series, alike: pd.Series, odd: pd.Series, length: pd.Series) -> pd.Series:
-        x = np.stack([c.astype(float).to_numpy() for c in (times, n, edits, alike, odd, length)], axis=1)
+    def rate(times: pd.Series, ratio: pd.Series, edits: pd.Series, alike: pd.Series, met: pd.Series, odd: pd.Series, length: pd.Series) -> pd.Series:
+        x = np.stack([c.astype(float).to_numpy() for c in (times, ratio, edits, alike, met, odd, length)], axis=1)
         return pd.Series(model.probability(x) if trained else x[:, 3])
 
-    rated = table_.withColumn("p", rate(*features)).where((F.col("p") >= 0.5) & (F.col("alike") == 1))
-    return rated.groupBy("word").agg(F.max_by("right", F.struct("p", "n", "right")).alias("right"))
+    # an impossible character needs no model to tell that the word is misread, only a right word to be read for it
+    sure = (F.col("odd") > 0) & ((F.col("alike") == 1) | (F.col("met") > 0))
+    rated = table_.withColumn("p", rate(*features)).where(sure | ((F.col("p") >= 0.5) & ((F.col("alike") == 1) | (F.col("met") > 0))))
+    return rated.groupBy("word").agg(F.max_by("right", F.struct("alike", "p", "n", "right")).alias("right"))
+
+
+def differing(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with what was read (``got``) and what was meant (``meant``): the words without their common beginning and end."""
+
+    @F.pandas_udf("got string, meant string")
+    def cut(word: pd.Series, right: pd.Series) -> pd.DataFrame:
+        rows = []
+        for a, b in zip(word, right):
+            head = len(commonprefix((a, b)))
+            tail = len(commonprefix((a[head:][::-1], b[head:][::-1])))
+            rows.append((a[head : len(a) - tail], b[head : len(b) - tail]))
+        return pd.DataFrame(rows, columns=["got", "meant"])
+
+    return pairs.withColumn("cut", cut("word", "right")).select("*", "cut.got", "cut.meant").drop("cut")
+
+
+def confusions(pairs: DataFrame) -> DataFrame:
+    """(got, meant, met): characters the corpus shows to be read for others, met in ``exp(met)`` words or so.
+
+    They are learned from words with an impossible character that are near to one known word only, and from rare words
+    near to one much more frequent word only. Names and forms of a word differ either way, misreadings one way: a
+    confusion of letters counts only if it is met many times as often as its reverse.
+    """
+    alone = W.partitionBy("word")
+    near = pairs.withColumn("least", F.min("edits").over(alone)).where(F.col("edits") == F.col("least")).withColumn("near", F.count("*").over(alone))
+    near = near.where((F.col("near") == 1) & (F.length("meant") <= 2) & (F.length("got") <= 2) & (F.length("got") > 0) & (F.length("meant") > 0) & ((F.col("odd") > 0) | (F.col("n") >= OFTEN * F.col("times"))))
+    seen = written(near.groupBy("got", "meant").agg(F.count_distinct("word").alias("words"), F.count_distinct("right").alias("rights"), F.max("odd").alias("odd")), "seen")
+    back = seen.select(F.col("got").alias("meant"), F.col("meant").alias("got"), F.col("words").alias("reverse"))
+    least = F.when(F.col("got").rlike(r"[^\p{L}\-'’]"), F.lit(LEAST_ODD)).otherwise(F.lit(LEAST_MET))
+    rows = seen.join(back, ["got", "meant"], "left").where((F.col("rights") >= least) & (F.col("words") >= ONE_WAY * F.coalesce("reverse", F.lit(0))))
+    return rows.select("got", "meant", F.log1p("words").alias("met"))
 
 
 def divided_words(candidates: DataFrame, counts: DataFrame) -> DataFrame:
