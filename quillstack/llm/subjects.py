@@ -33,7 +33,7 @@ FUNCTION_WORDS = {
 }
 LANGUAGES = tuple(FUNCTION_WORDS)
 SHARE = 0.25  # of the units a subject must have
-RANK, EXTRA, POWER_ROUNDS = 16, 16, 2
+RANK, EXTRA, POWER_ROUNDS = 16, 16, 3
 REFINE_ROUNDS = 3
 LEAST_DOCS, LEAST_SHARE = 5, 0.0005  # a word counts from so many documents, and so large a share, of its language
 MOST_SHARE = 0.8  # words in a larger share of the documents tell nothing about subjects

@@ -56,3 +56,12 @@ def test_units():
     text = "# Head\n\nOne sentence is\nwrapped here. Another (2004) follows it. Fig. 3 shows more things.\n\n- an entry. with two parts\n- second entry\n\n| a | b |\n|---|---|\n| 1 | 2 |\nFigure 1. An entry of its own. Really so."
     assert subjects.units(text) == ["One sentence is wrapped here.", "Another (2004) follows it.", "Fig. 3 shows more things.", "- an entry. with two parts", "- second entry", "| 1 | 2 |", "Figure 1. An entry of its own. Really so."]
     assert subjects.units("") == [] and subjects.units("\r\n\r\n") == []
+
+
+def test_word_vectors_take_three_passes(tables, monkeypatch):
+    passes = []
+    gathered = subjects.gathered
+    monkeypatch.setattr(subjects, "gathered", lambda coded, columns, work, widths: passes.append(columns) or gathered(coded, columns, work, widths))
+    docs, _, _, _ = tables
+    subjects.fit(subjects.written(subjects.coded_documents(docs)), [(" ".join(words), i) for i, words in enumerate(WORDS.values())], len(WORDS))
+    assert passes.count(("terms", "times")) == 3  # two of them turn the basis, the last one is for Rayleigh-Ritz
