@@ -155,16 +155,38 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
 def tokens_of(mixed: DataFrame, documents: DataFrame, folder: str = bpe.TOKENIZERS, name: str = bpe.VOCABULARY) -> DataFrame:
     """(shard, slot, ids): the token ids of every slot. Each document is encoded once and cut to the parts that blocks need.
 
-    A block is assembled once, however often it is used; slots then join it by number.
+    A block is assembled once, however often it is used; slots then join it by number. Documents of no block are not encoded.
     """
     used = mixed.select("source", "block", "parts").dropDuplicates(["source", "block"])
     parts = used.select("source", "block", F.posexplode("parts").alias("n", "p")).select("source", "block", "n", "p.*")
-    encoded = bpe.encode_texts(documents, "text", ("doc_id",), folder, name)
+    needed = documents.join(parts.select("doc_id").distinct(), "doc_id", "left_semi")
+    encoded = bpe.encode_texts(needed, "text", ("doc_id",), folder, name)
     cut = parts.join(encoded, "doc_id").select("source", "block", "n", F.slice("ids", F.col("token_from").cast("int") + 1, (F.col("token_to") - F.col("token_from")).cast("int")).alias("ids"))
     whole = cut.groupBy("source", "block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "ids"))), lambda x: x["ids"])).alias("ids"))
     return mixed.select("shard", "slot", "source", "block").join(whole, ["source", "block"]).select("shard", "slot", "ids")
 
 
+def mixed_corpus(documents: DataFrame, targets: DataFrame, **options) -> DataFrame:
+    """The mixed corpus itself: the slots of ``mix`` with the token ids of each."""
+    mixed = written(mix(documents, targets, **options), "mix")
+    return mixed.join(tokens_of(mixed, documents), ["shard", "slot"]).select("shard", "slot", "source", "repetition", "block", "n_tokens", "ids")
+
+
+def used_shares(mixed: DataFrame, documents: DataFrame, targets: DataFrame, folder: str = bpe.TOKENIZERS, name: str = bpe.VOCABULARY) -> DataFrame:
+    """``shares`` with corpus_tokens (all tokens of the source) and used_share (how much of them is in the mix at least once).
+
+    The source whose used_share is 1 and that is repeated as often as it may be sets the size of the mix.
+    """
+    mixed = written(mixed, "mix")
+    named = targets.where(F.col("source").isNotNull()).select("source").distinct()
+    sized = bpe.count_tokens(documents.select("doc_id", "source", "text").join(small_side(named), "source", "left_semi"), "text", ("doc_id", "source"), folder, name)
+    has = sized.groupBy("source").agg(F.sum("n_tokens").alias("corpus_tokens"))
+    used = mixed.dropDuplicates(["source", "block"]).groupBy("source").agg(F.sum("n_tokens").alias("used"))
+    rows = shares(mixed, targets).join(has, "source", "left").join(used, "source", "left")
+    corpus = F.coalesce("corpus_tokens", F.lit(0))
+    return rows.withColumn("corpus_tokens", corpus).withColumn("used_share", F.when(F.col("corpus_tokens") > 0, F.coalesce("used", F.lit(0)) / F.col("corpus_tokens")).otherwise(0.0)).drop("used")
+
+
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """source, target_share, tokens, reached_share, most_uses (of one block); a source that gives nothing has 0."""
     got = mixed.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.max("repetition").alias("most_uses"))

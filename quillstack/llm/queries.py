@@ -41,12 +41,12 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.mixed_corpus(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    targets = table(spark, d, "mix_targets")
-    return mixing.shares(mixing.mix(table(spark, d, "documents"), targets), targets)
+    documents, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
+    return mixing.used_shares(mixing.mix(documents, targets), documents, targets)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
