@@ -488,6 +488,12 @@ def content_hash(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", indexing.content_hash(F.encode("text", "UTF-8")).alias("hash"))
 
 
+@query("content_hashes")
+def content_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """Of every text; ``content_hash`` holds the pure ASCII ones, on which DuckDB's cut by characters agrees."""
+    return table(spark, d, "documents").where("text is not null").select("doc_id", indexing.content_hash(F.encode("text", "UTF-8")).alias("hash"))
+
+
 @query("hashed_embedding")
 def hashed_embedding(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
