@@ -140,10 +140,25 @@ def orphan_recovery(spark: SparkSession, d: str) -> DataFrame:
 @query("figure_boxes", "SELECT l_orderkey, count(*) AS n, min(l_linenumber) * 100.0 AS top FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_linenumber - dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS g FROM lineitem) GROUP BY l_orderkey, g")
 def figure_boxes(spark: SparkSession, d: str) -> DataFrame:
     """Boxes 40 apart run together, those of missing lines part them."""
-    merged = geometry.figure_boxes(boxes(spark, d).drop("object_id"), boxes(spark, d).limit(0).select("l_orderkey", F.col("y0").alias("y"), "x0", "y0", "x1", "y1"), ["l_orderkey"])
+    merged = geometry.figure_boxes(boxes(spark, d).drop("object_id"), boxes(spark, d).limit(0).select("l_orderkey", F.col("y0").alias("y"), "x0", "x1"), ["l_orderkey"])
     return merged.select("l_orderkey", F.round((F.col("y1") - F.col("y0") + 40) / 100).cast("long").alias("n"), F.col("y0").alias("top"))
 
 
+@query("figure_splits", """WITH c AS (SELECT p_partkey, p_size * 30.0::DOUBLE AS h, [150.0::DOUBLE, 2000.0::DOUBLE, 2015.0::DOUBLE, 2300.0::DOUBLE] AS ys FROM part),
+    i AS (SELECT p_partkey, h, list_filter(ys, lambda y: y < h) AS cuts FROM c),
+    b AS (SELECT p_partkey, h, unnest(list_zip([0.0::DOUBLE] || list_transform(cuts, lambda y: y + 40), cuts || [h])) AS z, len(cuts) AS n FROM i),
+    k AS (SELECT p_partkey, h, z[1] AS y0, z[2] AS y1 FROM b WHERE n = 0 OR z[2] - z[1] > 100),
+    t AS (SELECT p_partkey, max(h) AS h, count(*) AS n, sum(y1 - y0) AS high FROM k GROUP BY 1),
+    s AS (SELECT p_partkey, unnest([2000.0::DOUBLE, 2300.0::DOUBLE]) AS y FROM t WHERE n < 4 AND high >= 1000)
+    SELECT p_partkey, y0, y1 FROM k UNION ALL SELECT p_partkey, 0.0, h FROM i WHERE p_partkey NOT IN (SELECT p_partkey FROM k) UNION ALL SELECT p_partkey, y - 200, y - 10 FROM s""")
+def figure_splits(spark: SparkSession, d: str) -> DataFrame:
+    """One tall box a part and four captions: one in the box, three below it, two of these near to each other."""
+    part = table(spark, d, "part")
+    tall = part.select("p_partkey", F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(100.0).alias("x1"), (F.col("p_size") * 30.0).alias("y1"))
+    found = part.select("p_partkey", F.explode(F.array(*map(F.lit, (150.0, 2000.0, 2015.0, 2300.0)))).alias("y"), F.lit(10.0).alias("x0"), F.lit(90.0).alias("x1"))
+    return geometry.figure_boxes(tall, found, ["p_partkey"]).select("p_partkey", "y0", "y1")
+
+
 @query("figure_data_tables", "SELECT DISTINCT l_orderkey, l_linenumber AS object_id FROM lineitem WHERE l_linenumber % 2 = 0")
 def figure_data_tables(spark: SparkSession, d: str) -> DataFrame:
     found = boxes(spark, d).withColumn("caption", F.lit(None).cast("string"))

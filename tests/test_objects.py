@@ -60,11 +60,46 @@ def test_geometry(spark):
     assert one.select(geometry.render_dpi(F.lit(0.0), F.lit(0.0), F.lit(720.0), F.lit(72.0))).first()[0] == 156
     r = one.select(geometry.recrop(F.lit(0.0), F.lit(0.0), F.lit(100.0), F.lit(200.0), F.array(F.lit(-5.0), F.lit(10.0), F.lit(50.0), F.lit(300.0))).alias("r")).first()["r"]
     assert tuple(r) == (0.0, 20.0, 50.0, 200.0)
-    assert geometry.merge_boxes([(0, 0, 10, 10), (0, 30, 10, 40), (200, 0, 210, 10)]) == [(0, 0, 10, 40), (200, 0, 210, 10)] or geometry.merge_boxes([(0, 0, 10, 10), (0, 30, 10, 40)]) == [(0, 0, 10, 40)]
-    assert geometry.split_boxes([(0, 0, 100, 400)], [(200, None), (390, None)]) == [(0, 0, 100, 200), (0, 240, 100, 390)]
-    o = spark.createDataFrame([("d", 0.0, 0.0, 100.0, 400.0)], "k string, x0 double, y0 double, x1 double, y1 double")
-    c = spark.createDataFrame([("d", 200.0, None, None, None, None), ("d", 390.0, None, None, None, None)], "k string, y double, x0 double, y0 double, x1 double, y1 double")
-    assert geometry.figure_boxes(o, c, ["k"]).count() == 2
+
+
+def box_rows(spark, rows, schema="k string, x0 double, y0 double, x1 double, y1 double"):
+    return spark.createDataFrame(rows, schema)
+
+
+CAPTIONS = "k string, y double, x0 double, x1 double"
+
+
+def figures(spark, objects, found, schema="k string, x0 double, y0 double, x1 double, y1 double"):
+    done = geometry.figure_boxes(box_rows(spark, objects, schema), spark.createDataFrame(found, CAPTIONS), ["k"])
+    return [tuple(r)[2:] for r in sorted(done.collect())]
+
+
+def test_boxes_merge(spark):
+    near = [("d", 0.0, 0.0, 10.0, 10.0), ("d", 0.0, 30.0, 10.0, 40.0)]
+    assert figures(spark, near, []) == [(0, 0, 10, 40)]
+    assert figures(spark, [*near, ("d", 200.0, 0.0, 210.0, 10.0)], []) == [(0, 0, 10, 10), (200, 0, 210, 10), (0, 30, 10, 40)]  # the one beside comes between them
+    assert figures(spark, [("d", 0.0, 0.0, 100.0, 50.0), ("d", 90.0, 20.0, 190.0, 70.0)], []) == [(0, 0, 100, 50), (90, 20, 190, 70)]
+    assert figures(spark, [("d", 0.0, 0.0, 10.0, 10.0), ("d", 0.0, 60.0, 10.0, 70.0)], []) == [(0, 0, 10, 10), (0, 60, 10, 70)]
+    assert figures(spark, [("d", None, 0.0, 10.0, 10.0), ("d", 5.0, 5.0, 5.0, 9.0)], []) == [] and figures(spark, [], [("d", 1.0, None, None)]) == []
+
+
+def test_boxes_fit_captions(spark):
+    tall = [("d", 0.0, 0.0, 100.0, 400.0)]
+    assert figures(spark, tall, [("d", 200.0, None, None)]) == [(0, 0, 100, 400)]
+    assert figures(spark, tall, [("d", 200.0, None, None), ("d", 390.0, None, None)]) == [(0, 0, 100, 200), (0, 240, 100, 390)]
+    assert figures(spark, tall, [("d", 200.0, 95.0, 300.0), ("d", 390.0, None, None)]) == [(0, 0, 100, 390)]
+    page = [("d", 0.0, 0.0, 100.0, 1000.0)]
+    far = [("d", y, None, None) for y in (150.0, 1500.0, 1515.0, 1700.0)]
+    assert figures(spark, page, far[:2]) == [(0, 0, 100, 150), (0, 190, 100, 1000)]
+    assert figures(spark, page, [far[0], far[1], far[3]]) == [(0, 0, 100, 150), (0, 190, 100, 1000), (0, 1300, 100, 1490), (0, 1500, 100, 1690)]
+    assert figures(spark, [("d", 0.0, 0.0, 100.0, 1500.0)], [("d", y, None, None) for y in (2000.0, 2015.0, 2100.0)])[1:] == [(0, 1800, 100, 1990), (0, 1900, 100, 2090)]
+
+
+def test_box_sources(spark):
+    schema = "k string, source string, x0 double, y0 double, x1 double, y1 double, page_x1 double, page_y1 double"
+    rows = [("a", "table", 0.0, 0.0, 50.0, 50.0), ("a", "image", 0.0, 0.0, 60.0, 50.0), ("b", "image", 0.0, 0.0, 100.0, 100.0), ("b", "image", -20.0, 0.0, 60.0, 50.0), ("c", "drawing", 0.0, 0.0, 50.0, 50.0), ("d", "picture", 0.0, 0.0, 1.0, 1.0), ("d", "drawing", 0.0, 0.0, 40.0, 40.0)]
+    done = geometry.figure_boxes(box_rows(spark, [(*r, 100.0, 100.0) for r in rows], schema), spark.createDataFrame([("b", 80.0, None, None), ("d", 80.0, None, None)], CAPTIONS), ["k"])
+    assert sorted((r["k"], r["x0"], r["x1"]) for r in done.collect()) == [("a", 0, 50), ("b", 0, 60), ("d", 0, 40)]
 
 
 class Scripted:
