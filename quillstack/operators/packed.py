@@ -1,13 +1,18 @@
 """Several values packed in one field, split into one value per row.
 
 Quoted spans and escaped characters are atomic. Semicolons, bars, tabs and line ends always separate; commas and
-slashes may belong to a value. What they do is learned from the whole column: expectation-maximisation estimates how
-often each value occurs and how often each kind of gap separates, and a Viterbi pass picks the likeliest split of
-each run of pieces. In a field with unquoted semicolons a comma belongs to the entry.
+slashes may belong to a value. What they do is learned from the whole column, each column for itself:
+expectation-maximisation estimates how often each value occurs and how often each kind of gap separates, and a Viterbi
+pass picks the likeliest split of each run of pieces. In a field with unquoted semicolons a comma belongs to the entry.
+
+A run of n pieces has n x n spans, but a value never met weighs as much as its pieces and gaps do one by one, so all
+unmet spans together are one chain of n steps. Only the spans of values that were met are edges of their own. Everything
+is summed as logarithms, so runs of any length neither underflow nor fill the memory.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 from collections.abc import Iterator
@@ -17,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillstack.functions.text import stripped
 from quillstack.runtime import lookup_join, written
 
 STRONG = ";；|\n\t\r"
@@ -24,7 +30,8 @@ SEMICOLONS = ";；"
 QUOTES = {'"': '"', "'": "'", "“": "”", "„": "“", "«": "»", "‘": "’"}
 ESCAPED = frozenset(STRONG + ",/\\" + "".join(QUOTES) + "".join(QUOTES.values()))  # what a backslash before it makes literal
 UNSEEN = 0.1  # pseudo-count of a value never met
-ROUNDS = 3
+ROUNDS, STILL = 12, 0.005  # most rounds of the expectation-maximisation; it ends before when no share of a gap moves by more than STILL
+LOST = 0.01  # occurrences by which the count of a value may fall short, as spans of tiny probability are not passed on
 #: How often each kind of gap is taken to separate before anything is learned.
 FIRST_CUTS = {",": 0.9, "/": 0.2, " / ": 0.95}
 
@@ -74,6 +81,9 @@ def lex(text: str) -> list[tuple[list[str], list[str], list[str]]]:
             tokens.append(("text", "".join(buffer)))
             buffer.clear()
 
+    def filled() -> bool:
+        return len(buffer) > 64 or bool("".join(buffer).strip())
+
     i = 0
     while i < len(text):
         ch = text[i]
@@ -81,7 +91,7 @@ def lex(text: str) -> list[tuple[list[str], list[str], list[str]]]:
             buffer.append(text[i + 1])
             i += 2
             continue
-        if ch in QUOTES and not "".join(buffer).strip() and (not tokens or tokens[-1][0] not in ("text", "quoted")):
+        if ch in QUOTES and not filled() and (not tokens or tokens[-1][0] not in ("text", "quoted")):
             span = _quoted(text, i)
             if span:
                 buffer.clear()
@@ -176,131 +186,198 @@ def joined(pieces: list[str], gaps: list[str], i: int, j: int) -> str:
     return "".join(out).strip()
 
 
-def posteriors(n: int, edges: list[tuple[int, int, float]], log_cut: list[float], log_keep: list[float]) -> dict[tuple[int, int], float]:
-    """Probability of each edge (i, j, log weight) of a run of n pieces, by forward-backward sums."""
-    into: dict[int, list] = {}
-    weight = {}
-    for i, j, w in edges:
-        weight[i, j] = w + sum(log_keep[i:j]) + (log_cut[j] if j < n - 1 else 0.0)
-        into.setdefault(j + 1, []).append(i)
-
-    def total(xs: list[float]) -> float:
-        top = max(xs)
-        return top + math.log(sum(math.exp(x - top) for x in xs))
-
-    forward = [0.0] + [-math.inf] * n
-    for e in range(1, n + 1):
-        forward[e] = total([forward[i] + weight[i, e - 1] for i in into[e]])
-    backward = [-math.inf] * n + [0.0]
-    outof: dict[int, list] = {}
-    for i, j, _ in edges:
-        outof.setdefault(i, []).append(j)
-    for s in range(n - 1, -1, -1):
-        backward[s] = total([weight[s, j] + backward[j + 1] for j in outof[s]])
-    return {(i, j): math.exp(forward[i] + w + backward[j + 1] - forward[n]) for (i, j), w in weight.items()}
-
-
-def viterbi(n: int, edges: list[tuple[int, int, float]], log_cut: list[float], log_keep: list[float]) -> list[tuple[int, int]]:
-    """The likeliest chain of edges; of equal ones the one with more entries."""
-    best: list[tuple[float, int, int]] = [(0.0, 0, -1)] + [(-math.inf, 0, -1)] * n
-    by_end: dict[int, list] = {}
-    for i, j, w in edges:
-        by_end.setdefault(j + 1, []).append((i, j, w))
-    for e in range(1, n + 1):
-        for i, j, w in by_end[e]:
-            score = best[i][0] + w + sum(log_keep[i:j]) + (log_cut[j] if j < n - 1 else 0.0)
-            if (score, best[i][1] + 1) > (best[e][0], best[e][1]):
-                best[e] = (score, best[i][1] + 1, i)
-    chain, e = [], n
-    while e:
-        chain.append((best[e][2], e - 1))
-        e = best[e][2]
-    return chain[::-1]
-
-
-def log_weight(i: int, j: int, seen: float, size: float) -> float:
-    """Log share of a value; one never met counts less with every gap inside it."""
-    return math.log((seen + UNSEEN * (UNSEEN / size) ** (j - i)) / size)
+class Lattice:
+    """The splits of a run of n pieces: a chain for the values never met, an edge for each span whose value was.
+
+    edges: (i, j) -> how often the value of pieces i..j was met. A value of g gaps never met counts
+    UNSEEN x (UNSEEN / size) ** g, a met one that much more. log_cut and log_keep: of each gap.
+    """
+
+    def __init__(self, n: int, edges: dict[tuple[int, int], float], log_cut: list[float], log_keep: list[float], size: float):
+        self.n, self.log_cut, self.log_keep = n, [*log_cut, 0.0], log_keep
+        self.piece = math.log(UNSEEN / size)
+        self.keeps = [0.0]  # running sums of the gaps kept
+        for w in log_keep:
+            self.keeps.append(self.keeps[-1] + w)
+        self.edges = {(i, j): math.log(seen / size) + self.keeps[j] - self.keeps[i] for (i, j), seen in edges.items() if seen > 0}
+        self.ends: dict[int, list[tuple[int, float]]] = {}
+        self.starts: dict[int, list[tuple[int, float]]] = {}
+        for (i, j), w in self.edges.items():
+            self.ends.setdefault(j, []).append((i, w))
+            self.starts.setdefault(i, []).append((j, w))
+
+    def sums(self) -> None:
+        """forward[e], backward[e]: all splits before and after a boundary before piece e; inside[e]: all ends of an unmet value that holds piece e."""
+        n, cut, keep, piece = self.n, self.log_cut, self.log_keep, self.piece
+        self.forward = [0.0] + [-math.inf] * n
+        open_ = -math.inf
+        for e in range(n):
+            open_ = piece + (_add(self.forward[e], open_ + keep[e - 1]) if e else self.forward[e])
+            self.forward[e + 1] = cut[e] + _add(open_, *[self.forward[i] + w for i, w in self.ends.get(e, ())])
+        self.backward = [-math.inf] * n + [0.0]
+        self.inside = [-math.inf] * n
+        for e in range(n - 1, -1, -1):
+            self.inside[e] = _add(cut[e] + self.backward[e + 1], keep[e] + piece + self.inside[e + 1]) if e < n - 1 else 0.0
+            self.backward[e] = _add(piece + self.inside[e], *[w + cut[j] + self.backward[j + 1] for j, w in self.starts.get(e, ())])
+
+    def boundary(self, gap: int) -> float:
+        """Probability that the gap separates."""
+        return math.exp(min(0.0, self.forward[gap + 1] + self.backward[gap + 1] - self.forward[self.n]))
+
+    def spans(self, least: float) -> dict[tuple[int, int], float]:
+        """Probability of each span being one entry, for all above ``least``."""
+        out: dict[tuple[int, int], float] = {}
+        whole, floor = self.forward[self.n], math.log(least)
+        for i in range(self.n):
+            lead = self.forward[i] - whole
+            for j, w in self.starts.get(i, ()):
+                out[i, j] = math.exp(min(0.0, lead + w + self.log_cut[j] + self.backward[j + 1]))
+            for j in range(i, self.n):
+                lead += self.piece + (self.log_keep[j - 1] if j > i else 0.0)
+                if lead + self.inside[j] < floor:  # no unmet value from i through j is likelier
+                    break
+                p = lead + self.log_cut[j] + self.backward[j + 1]
+                if p >= floor:
+                    out[i, j] = out.get((i, j), 0.0) + math.exp(min(0.0, p))
+        return {e: p for e, p in out.items() if p >= least}
+
+    def best(self) -> list[tuple[int, int]]:
+        """The likeliest split; of equal ones the one with more entries."""
+        n, cut, keep, piece = self.n, self.log_cut, self.log_keep, self.piece
+        done: list[tuple[float, int, int]] = [(0.0, 0, -1)]  # (score, entries, start of the last one) of the boundaries
+        chain = (-math.inf, 0, -1)
+        for e in range(n):
+            fresh = (done[e][0] + piece, done[e][1] + 1, e)
+            longer = (chain[0] + keep[e - 1] + piece, chain[1], chain[2]) if e else fresh
+            chain = max(fresh, longer)
+            options = [chain]
+            for i, w in self.ends.get(e, ()):
+                unmet = piece * (e - i + 1) + self.keeps[e] - self.keeps[i]
+                options.append((done[i][0] + _add(w, unmet), done[i][1] + 1, i))
+            top = max(options)
+            done.append((top[0] + cut[e], top[1], top[2]))
+        split, e = [], n
+        while e:
+            split.append((done[e][2], e - 1))
+            e = done[e][2]
+        return split[::-1]
+
+
+def _add(*logs: float) -> float:
+    """Logarithm of a sum, from the logarithms of its terms."""
+    top = max(logs)
+    return top if top == -math.inf or len(logs) == 1 else top + math.log(sum(math.exp(x - top) for x in logs))
 
 
 def _gap_logs(kinds: list[str], cut: dict[str, float]) -> tuple[list[float], list[float]]:
-    share = [min(0.999, max(0.001, cut.get(k, 0.5))) for k in kinds]
+    share = [min(0.999, max(0.001, cut.get(k, FIRST_CUTS.get(k, 0.5)))) for k in kinds]
     return [math.log(s) for s in share], [math.log(1 - s) for s in share]
 
 
-def split_runs(runs: DataFrame, certain: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Segment each distinct ambiguous run. ``runs``: run_id, pieces, gaps, kinds, times; ``certain``: value, seen. Returns run_id, entries."""
-    spark = runs.sparkSession
-    widest = certain.agg(F.max(F.length("value") - F.length(F.translate("value", ",/", "")))).first()[0]
-    reach = 1 + int(widest or 1)  # an entry has no more such characters inside than the entries known for certain
-    certain_total = certain.agg(F.sum("seen")).first()[0] or 0.0
-    shape = T.StructType([T.StructField("run_id", T.StringType()), T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("value", T.StringType())])
+def value_key(model: str, value: str) -> bytes:
+    """What stands for a value of a model in tables: 16 bytes, however long the value is."""
+    return hashlib.md5(f"{model}\u0001{value}".encode("utf-8", "surrogatepass")).digest()
+
+
+def met_spans(runs: DataFrame, certain: DataFrame) -> DataFrame:
+    """(run_id, i, j, value): all single pieces, and the spans as long as some value known for certain, which may be it."""
+    lengths: dict[str, set[int]] = {}
+    for r in certain.where("gaps").select("model", "length").distinct().collect():  # different lengths of such values, one row each
+        lengths.setdefault(r["model"], set()).add(r["length"])
+    shape = "run_id string, i int, j int, value binary"
 
     def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for rid, pieces, gaps in zip(b["run_id"], b["pieces"], b["gaps"]):
-                n = len(pieces)
-                for i in range(n):
-                    for j in range(i, min(n, i + reach)):
-                        rows.append((rid, i, j, joined(pieces, gaps, i, j)))
+            for rid, model, pieces, gaps in zip(b["run_id"], b["model"], b["pieces"], b["gaps"]):
+                wanted = lengths.get(model, set())
+                longest = max(wanted, default=0)
+                heads, tails = [len(p) - len(p.lstrip()) for p in pieces], [len(p) - len(p.rstrip()) for p in pieces]
+                for i, piece in enumerate(pieces):
+                    rows.append((rid, i, i, value_key(model, piece.strip())))
+                    size = len(piece) - heads[i]
+                    for j in range(i + 1, len(pieces)):
+                        size += len(gaps[j - 1]) + len(pieces[j])
+                        if size - tails[j] in wanted:
+                            rows.append((rid, i, j, value_key(model, joined(pieces, gaps, i, j))))
+                        if size - len(pieces[j]) > longest:
+                            break
             yield pd.DataFrame(rows, columns=["run_id", "i", "j", "value"])
 
-    edges = written(runs.mapInPandas(spans, shape), "spans")
-    learned = certain
-    total = certain_total + (runs.agg(F.sum(F.size("pieces") * F.col("times"))).first()[0] or 0.0)
-    cut = dict(FIRST_CUTS)
+    return runs.select("run_id", "model", "pieces", "gaps").mapInPandas(spans, shape)
+
 
-    def lattices(model: DataFrame) -> DataFrame:
-        scored = lookup_join(edges, model, "value")
-        grouped = scored.groupBy("run_id").agg(F.collect_list(F.struct("i", "j", "value", F.coalesce("seen", F.lit(0.0)).alias("seen"))).alias("edges"))
-        return runs.select("run_id", "kinds", "times").join(grouped, "run_id")
+def split_runs(runs: DataFrame, certain: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """Segment each distinct ambiguous run, each model (column) by its own frequencies.
 
+    ``runs``: run_id, model, pieces, gaps, kinds, times; ``certain``: model, value (key), seen, length, gaps (whether the
+    value holds a character that may separate). Returns run_id, entries.
+    """
+    spans = written(met_spans(runs, certain), "spans")
+    start = certain.groupBy("model").agg(F.sum("seen").alias("n")).unionByName(runs.groupBy("model").agg(F.sum(F.size("pieces") * F.col("times")).cast("double").alias("n")))
+    sizes = {r["model"]: r["n"] for r in start.groupBy("model").agg(F.sum("n").alias("n")).collect()}  # one row per column
+    places = runs.agg(F.sum(F.size("pieces"))).first()[0] or 0
+    least = min(1e-6, LOST / max(1, places))
+    certain = certain.select("model", "value", "seen")
+    learned, cuts, more = certain, {}, None
+
+    def lattices(values: DataFrame, found: DataFrame | None) -> DataFrame:
+        asked = spans if found is None else written(spans.unionByName(found).distinct(), "asked")
+        met = lookup_join(asked, values.select("value", "seen"), "value", "inner")
+        grouped = met.groupBy("run_id").agg(F.collect_list(F.struct("i", "j", "seen")).alias("edges"))
+        return runs.join(grouped, "run_id", "left")
+
+    def lattice(model: str, kinds: list[str], edges: list | None, cuts: dict, sizes: dict) -> Lattice:
+        found = {} if edges is None else {(e["i"], e["j"]): e["seen"] for e in edges}
+        return Lattice(len(kinds) + 1, found, *_gap_logs(kinds, cuts.get(model, {})), max(1.0, sizes.get(model, 1.0)))
+
+    shape = "run_id string, model string, i int, j int, value binary, seen double, kind string, cut double, gaps double"
     for _ in range(rounds):
-        share, size = dict(cut), float(total)
-
-        @F.pandas_udf("array<struct<value:string,inner:boolean,seen:double,kind:string,cut:double,gaps:double>>")
-        def expected(kinds: pd.Series, found: pd.Series, times: pd.Series) -> pd.Series:
-            out = []
-            for k, es, t in zip(kinds, found, times):
-                k, n = list(k), len(k) + 1
-                log_cut, log_keep = _gap_logs(k, share)
-                post = posteriors(n, [(e["i"], e["j"], log_weight(e["i"], e["j"], e["seen"], size)) for e in es], log_cut, log_keep)
-                rows = [{"value": e["value"], "inner": e["j"] > e["i"], "seen": post[e["i"], e["j"]] * (1 if e["j"] > e["i"] else t), "kind": None, "cut": None, "gaps": None} for e in es if post[e["i"], e["j"]] > 1e-6]
-                for g, kind in enumerate(k):
-                    rows.append({"value": None, "inner": None, "seen": None, "kind": kind, "cut": t * sum(p for (i, j), p in post.items() if j == g), "gaps": float(t)})
-                out.append(rows)
-            return pd.Series(out)
-
-        counted = written(lattices(learned).select(F.explode(expected("kinds", "edges", "times")).alias("x")).select("x.*"), "expected")
-        cut |= {r["kind"]: r["share"] for r in counted.where("kind is not null").groupBy("kind").agg(((F.sum("cut") + 0.5) / (F.sum("gaps") + 1.0)).alias("share")).collect()}  # one row per kind of gap
+        now_cuts, now_sizes = {m: dict(c) for m, c in cuts.items()}, dict(sizes)
+
+        def expected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                rows = []
+                for rid, model, pieces, gaps, kinds, times, edges in zip(b["run_id"], b["model"], b["pieces"], b["gaps"], b["kinds"], b["times"], b["edges"]):
+                    kinds = list(kinds)
+                    net = lattice(model, kinds, edges, now_cuts, now_sizes)
+                    net.sums()
+                    for (i, j), p in net.spans(least).items():
+                        rows.append((rid, model, i, j, value_key(model, joined(pieces, gaps, i, j)), p * (1 if j > i else times), None, None, None))
+                    for g, kind in enumerate(kinds):
+                        rows.append((rid, model, None, None, None, None, kind, times * net.boundary(g), float(times)))
+                yield pd.DataFrame(rows, columns=["run_id", "model", "i", "j", "value", "seen", "kind", "cut", "gaps"]).astype({"i": "Int32", "j": "Int32"})
+
+        counted = written(lattices(learned, more).mapInPandas(expected, shape), "expected")
+        shares = counted.where("kind is not null").groupBy("model", "kind").agg(((F.sum("cut") + 0.5) / (F.sum("gaps") + 1.0)).alias("share")).collect()  # one row per column and kind of gap
+        moved = max((abs(r["share"] - cuts.get(r["model"], {}).get(r["kind"], FIRST_CUTS.get(r["kind"], 0.5))) for r in shares), default=0.0)
+        for r in shares:
+            cuts.setdefault(r["model"], {})[r["kind"]] = r["share"]
         # a value with gaps inside is only borne out by other runs than its own: one occurrence is taken off
-        met = counted.where("value is not null").groupBy("value", "inner").agg(F.sum("seen").alias("seen"))
-        met = met.select("value", F.when(F.col("inner"), F.greatest(F.col("seen") - 1, F.lit(0.0))).otherwise(F.col("seen")).alias("seen"))
-        learned = certain.unionByName(met).groupBy("value").agg(F.sum("seen").alias("seen"))
-        learned = written(learned, "values")
-        total = learned.agg(F.sum("seen")).first()[0] or 1.0
-
-    share, size = dict(cut), float(total)
+        met = counted.where("value is not null").groupBy("model", "value", (F.col("j") > F.col("i")).alias("inner")).agg(F.sum("seen").alias("seen"))
+        met = met.select("model", "value", F.when(F.col("inner"), F.col("seen") - 1).otherwise(F.col("seen")).alias("seen")).where("seen > 0")
+        learned = written(certain.unionByName(met).groupBy("model", "value").agg(F.sum("seen").alias("seen")), "values")
+        more = counted.where("j > i").select("run_id", "i", "j", "value")
+        sizes = {r["model"]: r["n"] for r in learned.groupBy("model").agg(F.sum("seen").alias("n")).collect()}  # one row per column
+        if moved <= STILL:
+            break
 
     @F.pandas_udf("array<string>")
-    def decode(kinds: pd.Series, found: pd.Series) -> pd.Series:
+    def decode(model: pd.Series, pieces: pd.Series, gaps: pd.Series, kinds: pd.Series, edges: pd.Series) -> pd.Series:
         out = []
-        for k, es in zip(kinds, found):
-            k = list(k)
-            log_cut, log_keep = _gap_logs(k, share)
-            name = {(e["i"], e["j"]): e["value"] for e in es}
-            out.append([name[e] for e in viterbi(len(k) + 1, [(e["i"], e["j"], log_weight(e["i"], e["j"], e["seen"], size)) for e in es], log_cut, log_keep)])
+        for m, p, g, k, es in zip(model, pieces, gaps, kinds, edges):
+            out.append([joined(p, g, i, j) for i, j in lattice(m, list(k), es, cuts, sizes).best()])
         return pd.Series(out)
 
-    return lattices(learned).select("run_id", decode("kinds", "edges").alias("entries"))
+    return lattices(learned, more).select("run_id", decode("model", "pieces", "gaps", "kinds", "edges").alias("entries"))
 
 
 def unpack(rows: DataFrame, keys: list[str], field: str, packed: str) -> DataFrame:
     """One row per entry of the packed column: ``keys``, ``field``, pos (from 1), entry.
 
-    Entries are trimmed and freed of quoting and escapes, empty ones dropped and not counted, repeated ones kept.
-    Null, empty and blank fields give no row. Equal input rows count once. Other columns are ignored.
+    ``field`` names the column a value comes from; each learns for itself. Entries are trimmed and freed of quoting and
+    escapes, empty ones dropped and not counted, repeated ones kept. Null, empty and blank fields give no row. Equal
+    input rows count once. Other columns are ignored. An entry may have any number of separators inside.
     """
     lead = [*keys, field]
     base = rows.select(*lead, F.col(packed).alias("packed")).where(F.col("packed").isNotNull()).distinct()
@@ -308,19 +385,19 @@ def unpack(rows: DataFrame, keys: list[str], field: str, packed: str) -> DataFra
     schema = T.StructType([*base.schema.fields, T.StructField("runs", RUN)])
     lexed = written(base.mapInPandas(_lex_batches, schema).drop("packed"), "lexed")
     sure = ~F.exists("runs", lambda r: F.size(r["pieces"]) > 1)
-    each = lexed.select(*lead, "_row", F.posexplode("runs").alias("at", "run"))
-    certain = each.where(F.size("run.pieces") == 1).select(F.trim(F.col("run.pieces")[0]).alias("value")).groupBy("value").agg(F.count("*").cast("double").alias("seen"))
+    model = F.coalesce(F.col(field).cast("string"), F.lit(""))
+    single = lexed.select(model.alias("model"), F.explode(F.filter("runs", lambda r: F.size(r["pieces"]) == 1)).alias("run")).select("model", stripped(F.col("run.pieces")[0]).alias("text"))
+    key = F.unhex(F.md5(F.concat("model", F.lit("\u0001"), "text")))
+    certain = single.groupBy("model", key.alias("value")).agg(F.count("*").cast("double").alias("seen"), F.max(F.length("text")).alias("length"), F.max(F.col("text").rlike("[,/]")).alias("gaps"))
     certain = written(certain, "certain")
-    open_runs = each.where(F.size("run.pieces") > 1).select(*lead, "_row", "at", "run.*")
-    open_runs = open_runs.withColumn("run_id", F.md5(F.to_json(F.struct("pieces", "gaps", "kinds"))))
-    distinct_runs = written(open_runs.groupBy("run_id").agg(F.first("pieces").alias("pieces"), F.first("gaps").alias("gaps"), F.first("kinds").alias("kinds"), F.count("*").alias("times")), "runs")
-    segmented = written(split_runs(distinct_runs, certain), "segmented")
-    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    run_id = F.md5(F.to_json(F.struct(model.alias("model"), "run.pieces", "run.gaps", "run.kinds")))
+    mixed = written(lexed.where(~sure).select(*lead, "_row", model.alias("_model"), F.posexplode("runs").alias("at", "run")).select(*lead, "_row", "_model", "at", "run.*", run_id.alias("run_id")), "runs")
+    open_runs = mixed.where(F.size("pieces") > 1).groupBy("run_id").agg(F.min("_model").alias("model"), *[F.min(c).alias(c) for c in ("pieces", "gaps", "kinds")], F.count("*").alias("times"))
+    segmented = written(split_runs(written(open_runs, "open"), certain), "segmented")
     plain = lexed.where(sure).select(*lead, F.transform("runs", lambda r: r["pieces"][0]).alias("entries"))
-    mixed = lexed.where(~sure).select(*lead, "_row", F.posexplode("runs").alias("at", "run")).select(*lead, "_row", "at", F.col("run.pieces").alias("pieces"), F.md5(F.to_json(F.struct("run.pieces", "run.gaps", "run.kinds"))).alias("run_id"))
-    mixed = lookup_join(mixed, segmented, "run_id").withColumn("entries", F.coalesce("entries", "pieces"))
+    mixed = lookup_join(mixed.select(*lead, "_row", "at", "pieces", "run_id"), segmented, "run_id").withColumn("entries", F.coalesce("entries", "pieces"))
     mixed = mixed.groupBy(*lead, "_row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "entries"))), lambda r: r["entries"])).alias("entries")).drop("_row")
-    every = plain.unionByName(mixed).select(*lead, F.filter(F.transform("entries", strip), lambda e: e != "").alias("entries"))
+    every = plain.unionByName(mixed).select(*lead, F.filter(F.transform("entries", stripped), lambda e: e != "").alias("entries"))
     return every.select(*lead, F.posexplode("entries").alias("pos", "entry")).withColumn("pos", F.col("pos") + 1)
 
 

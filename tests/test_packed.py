@@ -1,3 +1,6 @@
+import itertools
+import math
+
 import pytest
 
 from quillstack.operators import packed
@@ -49,19 +52,54 @@ def test_empty_and_long(spark):
     assert len([x for x in got if x[1] == "tags"]) == 3000 and len([x for x in got if x[1] == "collections"]) == 300
 
 
+def all_splits(n):
+    for cuts in itertools.product((False, True), repeat=n - 1):
+        ends = [g for g, c in enumerate(cuts) if c] + [n - 1]
+        yield list(zip([0] + [e + 1 for e in ends[:-1]], ends))
+
+
 def test_lattice_against_all_splits():
-    edges = [(0, 0, -1.0), (1, 1, -2.0), (2, 2, -1.5), (0, 1, -2.2), (1, 2, -3.0), (0, 2, -9.0)]
-    cut, keep = [-0.1, -0.3], [-2.0, -1.0]
-    chains = [[(0, 0), (1, 1), (2, 2)], [(0, 1), (2, 2)], [(0, 0), (1, 2)], [(0, 2)]]
-    w = {(i, j): x for i, j, x in edges}
-    score = lambda c: sum(w[e] + sum(keep[e[0] : e[1]]) + (cut[e[1]] if e[1] < 2 else 0) for e in c)
-    assert packed.viterbi(3, edges, cut, keep) == max(chains, key=score)
-    import math
-
-    total = sum(math.exp(score(c)) for c in chains)
-    post = packed.posteriors(3, edges, cut, keep)
-    for e in w:
-        assert abs(post[e] - sum(math.exp(score(c)) for c in chains if e in c) / total) < 1e-9
+    seen = {(0, 0): 3.0, (1, 1): 1.0, (2, 3): 2.5, (0, 1): 0.5, (3, 3): 4.0}
+    shares, size = [0.9, 0.2, 0.95], 20.0
+    cut, keep = [math.log(x) for x in shares], [math.log(1 - x) for x in shares]
+    net = packed.Lattice(4, seen, cut, keep, size)
+    net.sums()
+
+    def weight(split):
+        w = 1.0
+        for i, j in split:
+            w *= (seen.get((i, j), 0.0) + packed.UNSEEN * (packed.UNSEEN / size) ** (j - i)) / size * math.prod(1 - x for x in shares[i:j]) * (shares[j] if j < 3 else 1.0)
+        return w
+
+    splits = list(all_splits(4))
+    total = sum(map(weight, splits))
+    assert math.isclose(math.exp(net.forward[4]), total) and math.isclose(math.exp(net.backward[0]), total)
+    post = net.spans(1e-300)
+    for i in range(4):
+        for j in range(i, 4):
+            assert math.isclose(post[i, j], sum(weight(s) for s in splits if (i, j) in s) / total)
+    for g in range(3):
+        assert math.isclose(net.boundary(g), sum(weight(s) for s in splits if any(j == g for _, j in s)) / total)
+    assert net.best() == max(splits, key=weight)
+
+
+@pytest.mark.parametrize("n", [60, 120, 400, 5000])
+def test_many_separators(spark, n):
+    names = [f"t{i}" for i in range(n)]
+    wide = '"' + ", ".join(names) + '"'
+    rows = [("Q", wide + ", x", "p"), ("P", ", ".join(f"u{x}" for x in names), "q"), ("S", "/".join(names), "r"), *[(f"N{i}", ", ".join(names[i : i + 4]), "s") for i in range(0, 40, 2)]]
+    got = run(spark, rows)
+    assert [x[3] for x in got if x[0] == "Q" and x[1] == "tags"] == [wide[1:-1], "x"]
+    assert [x[3] for x in got if x[0] == "N4" and x[1] == "tags"] == names[4:8]
+    assert [x[3] for x in got if x[0] == "P" and x[1] == "tags"] == [f"u{x}" for x in names]
+    assert "/".join(x[3] for x in got if x[0] == "S" and x[1] == "tags") == "/".join(names)
+
+
+def test_columns_learn_apart(spark):
+    """A slash that separates tags doesn't separate collections."""
+    rows = [(f"K{i}", f"a{i % 7}/b{i % 5}", f"c{i % 7}/d{i % 7}, e{i % 11}") for i in range(77)] + [(f"Z{i}", f"a{i}; b{i}", f"c{i}/d{i}; e{i}") for i in range(7)]
+    got = run(spark, rows)
+    assert [x[3] for x in got if x[0] == "K8"] == ["c1/d1", "e8", "a1", "b3"]
 
 
 def plain_split(text):
