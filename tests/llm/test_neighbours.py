@@ -68,3 +68,33 @@ def test_recall_on_the_test_table(spark):
     for rows in (128, neighbours.SHARD_ROWS):
         got = {tuple(r) for r in neighbours.neighbour_pairs(chunks, shard_rows=rows).collect()}
         assert len(got & want) / len(want) > 0.95 and len(got & want) / len(got) > 0.95
+
+
+def test_rescaled_copies_go_by_id(spark):
+    """Copies of one direction, by powers of two and by any factor, are ties that go by chunk_id."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 24)).astype(np.float32)
+    powers = x[7] * np.float32(2.0) ** rng.integers(-6, 7, 30)[:, None].astype(np.float32)
+    scaled = (x[8].astype(np.float64) * rng.uniform(0.1, 9.0, 30)[:, None]).astype(np.float32)
+    every = np.concatenate([x, powers, scaled])
+    ids = [f"c{i:04d}" for i in rng.permutation(len(every))]
+    got, want = run(spark, ids, every.tolist(), dimension=24), exact(ids, every, 5)
+    groups = [{ids[7], *ids[300:330]}, {ids[8], *ids[330:360]}]
+    for g in groups:
+        mine = lambda pairs: {p for p in pairs if p[0] in g and p[1] in g}  # noqa: B023, E731
+        assert len(mine(got) & mine(want)) >= 0.99 * max(len(mine(got)), len(mine(want)))
+    assert len(got & want) / len(want) > 0.97
+
+
+def test_levels_of_pivots(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(300, 16))
+    x = np.concatenate([c + 0.2 * rng.normal(size=(20, 16)) for c in centres]).astype(np.float32)
+    ids = [f"c{i:05d}" for i in rng.permutation(len(x))]
+    want = exact(ids, x, 5)
+    df = spark.createDataFrame([(i, v, "clash", "clash") for i, v in zip(ids, x.tolist())], SHAPE)
+    points = neighbours.usable(df, 16).select("point", "chunk_id", "vector").withColumnRenamed("chunk_id", "first")
+    leaves = neighbours.dealt(points, 16, 24, 6, fan=6, sample_rows=500)
+    assert leaves.count() == len(x) and leaves.selectExpr("leaves[0].leaf as l").distinct().count() > 6
+    got = run(spark, ids, x.tolist(), dimension=16, shard_rows=24, fan=6, sample_rows=500)
+    assert len(got & want) / len(want) > 0.9 and len(got & want) / len(got) > 0.9
