@@ -33,7 +33,7 @@ CROWDED = 8  # times SHARD_ROWS points of a pivot from which it is parted again
 LEVELS = 6  # of pivots at most: what is crowded still can't be parted by its directions and is dealt by hash
 PIVOT_SAMPLE = 20_000  # documented bound: points the pivots of a level, or of one crowded pivot, are fitted on
 FINE, COARSE = 1e-6, 1e-4  # numbers of unit vectors that agree so far: one direction; met directly
-BREADTH = 40  # beam of the graph search
+BREADTH, AT_ONCE = 40, 4  # beam of the graph search; nodes of it looked into at a time
 KEPT = 2  # times k + 1 hits of a point that are kept of all shards
 LINKS, UPPER_LINKS, BACK_LINKS, CANDIDATES = 16, 10, 16, 40
 
@@ -128,37 +128,40 @@ class Graph:
                 moving = moving[better]
                 at[moving], best[moving] = near[rows, j][better], sims[rows, j][better]
         links = self.levels[0][1]
-        width = links.shape[1]
-        beam = np.full((b, breadth), -1, np.int32)
+        beam = np.zeros((b, breadth), np.int32)
         score = np.full((b, breadth), -np.inf, np.float32)
         open_ = np.zeros((b, breadth), bool)
         beam[:, 0], score[:, 0], open_[:, 0] = at, best, True
-        seen = np.zeros((b, len(x)), bool)
-        seen[np.arange(b), at] = True
+        met = np.zeros((b, len(x)), np.int16)  # 0 while a query has not met a node
+        met[np.arange(b), at] = -1
+        at_once = min(AT_ONCE, breadth)
+        place = np.arange(1, at_once * links.shape[1] + 1, dtype=np.int16)
         live = np.arange(b)
         while len(live):
-            pick = np.argmax(np.where(open_[live], score[live], -np.inf), axis=1)
-            live_open = open_[live, pick]
-            live, pick = live[live_open], pick[live_open]
+            waiting = np.where(open_[live], score[live], -np.inf)
+            pick = np.argpartition(-waiting, at_once - 1, axis=1)[:, :at_once]
+            waits = np.take_along_axis(waiting, pick, 1) > -np.inf
+            going = waits.any(axis=1)
+            live, pick, waits = live[going], pick[going], waits[going]
             if not len(live):
                 break
-            open_[live, pick] = False
-            near = links[beam[live, pick]]
-            fresh = ~seen[live[:, None], near]
-            first_seen = np.ones_like(fresh)
-            ordered = np.argsort(near, axis=1, kind="stable")
-            in_order = np.take_along_axis(near, ordered, 1)
-            np.put_along_axis(first_seen, ordered[:, 1:], in_order[:, 1:] != in_order[:, :-1], 1)
-            fresh &= first_seen
-            seen[live[:, None], near] = True
-            sims = np.where(fresh, np.einsum("bmd,bd->bm", x[near], q[live]), -np.inf)
+            rows = live[:, None]
+            open_[rows, pick] = False
+            from_ = beam[rows, pick]
+            near = np.where(waits[:, :, None], links[from_], from_[:, :, None]).reshape(len(live), -1)
+            r, c = np.nonzero(met[rows, near] == 0)
+            met[live[r], near[r, c]] = place[c]
+            once = met[live[r], near[r, c]] == place[c]  # of a node met twice in one step one place counts
+            r, c = r[once], c[once]
+            sims = np.full(near.shape, -np.inf, np.float32)
+            sims[r, c] = np.einsum("nd,nd->n", x[near[r, c]], q[live[r]])
             all_nodes = np.concatenate([beam[live], near], axis=1)
             all_scores = np.concatenate([score[live], sims], axis=1)
-            all_open = np.concatenate([open_[live], fresh], axis=1)
-            keep = np.argpartition(-all_scores, breadth - 1, axis=1)[:, :breadth] if all_scores.shape[1] > breadth else np.arange(all_scores.shape[1])[None].repeat(len(live), 0)
+            all_open = np.concatenate([open_[live], sims > -np.inf], axis=1)
+            keep = np.argpartition(-all_scores, breadth - 1, axis=1)[:, :breadth]
             beam[live] = np.take_along_axis(all_nodes, keep, 1)
             score[live] = np.take_along_axis(all_scores, keep, 1)
-            open_[live] = np.take_along_axis(all_open, keep, 1) & (score[live] > -np.inf)
+            open_[live] = np.take_along_axis(all_open, keep, 1)
         order = np.argsort(-score, axis=1, kind="stable")[:, :k]
         nodes, sims = np.take_along_axis(beam, order, 1), np.take_along_axis(score, order, 1)
         return np.where(sims > -np.inf, nodes, -1), sims
