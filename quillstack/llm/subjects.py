@@ -17,7 +17,6 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +35,7 @@ SHARE = 0.25  # of the units a subject must have
 RANK, EXTRA, POWER_ROUNDS = 16, 16, 3
 REFINE_ROUNDS = 3
 LEAST_DOCS, LEAST_SHARE = 5, 0.0005  # a word counts from so many documents, and so large a share, of its language
-MOST_SHARE = 0.8  # words in a larger share of the documents tell nothing about subjects
+MOST_SHARE, MOST_ADDED = 0.8, 10  # words in a larger share of the documents, and as many more, tell nothing about subjects
 DENSE_CELLS = 2_000_000  # cells of the dense blocks in which documents meet words
 EXAMPLE_ROWS = 20_000  # documented bound of labelled rows that seed the centroids
 LEAN = 0.15  # least leaning of a word that says anything
@@ -233,9 +232,11 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
 def gathered(coded: DataFrame, columns: tuple[str, ...], work, widths: dict[int, tuple[int, int]]) -> dict[int, np.ndarray]:
     """Sum over the corpus of one matrix per language. ``work(language, documents, lists, sum)`` adds a batch's part to it.
 
-    Each task adds up its own parts and sends blocks of rows; blocks are added by key, so nothing larger than the
-    vocabulary meets in one place.
+    Each task adds up its own parts and passes on the rows it touched, one table row each; these are summed row by row in
+    the JVM as they arrive, so no place ever holds the parts of several tasks.
     """
+    width = max(w for _, w in widths.values())
+    names = [f"c{i}" for i in range(width)]
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -243,19 +244,22 @@ def gathered(coded: DataFrame, columns: tuple[str, ...], work, widths: dict[int,
             for lang, docs, lists, _ in lists_of(part, columns):
                 if lang in widths:
                     work(lang, docs, lists, total.setdefault(lang, np.zeros(widths[lang])))
-        rows = [(lang, b, m[b : b + BLOCK_WORDS].astype(np.float64).tobytes()) for lang, m in total.items() for b in range(0, len(m), BLOCK_WORDS)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["lang", "block", "part"])
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        whole = sum(np.frombuffer(p) for p in pdf["part"])
-        return pd.DataFrame({"lang": pdf["lang"].iloc[:1], "block": pdf["block"].iloc[:1], "part": [whole.tobytes()]})
-
-    shape = "lang int, block int, part binary"
-    found = coded.select("language", *columns).mapInArrow(batches, shape).groupBy("lang", "block").applyInPandas(add, shape).collect()  # vocabulary x rank at most
-    out = {lang: np.zeros(shape_) for lang, shape_ in widths.items()}
-    for r in found:
-        part = np.frombuffer(r["part"]).reshape(-1, widths[r["lang"]][1])
-        out[r["lang"]][r["block"] : r["block"] + len(part)] = part
+        for lang, m in total.items():
+            touched = np.flatnonzero((m != 0).any(axis=1))
+            for at in range(0, len(touched), BLOCK_WORDS):
+                rows = touched[at : at + BLOCK_WORDS]
+                values = np.zeros((len(rows), width))
+                values[:, : m.shape[1]] = m[rows]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), lang, np.int32)), pa.array(rows.astype(np.int32)), *[pa.array(c) for c in np.ascontiguousarray(values.T)]], names=["lang", "row", *names])
+
+    parts_ = coded.select("language", *columns).mapInArrow(batches, ", ".join(["lang int", "row int", *[f"{c} double" for c in names]]))
+    found = parts_.groupBy("lang", "row").agg(*[F.sum(c).alias(c) for c in names]).toArrow()  # vocabulary x rank at most
+    lang, row = found["lang"].to_numpy(), found["row"].to_numpy()
+    values = np.stack([found[c].to_numpy() for c in names], axis=1) if len(row) else np.zeros((0, width))
+    out = {}
+    for language, shape in widths.items():
+        out[language] = np.zeros(shape)
+        out[language][row[lang == language]] = values[lang == language][:, : shape[1]]
     return out
 
 
@@ -306,7 +310,7 @@ def fit(coded: DataFrame, examples: list[tuple[str, int]], n_subjects: int) -> M
     least = F.greatest(F.lit(float(LEAST_DOCS)), F.element_at(F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, n * LEAST_SHARE)]), F.col("lang"))) if totals else F.lit(0.0)
     kept = spread.where(F.col("n") >= least).collect() if totals else []  # at most (words per document) / LEAST_SHARE rows
     for lang in totals:
-        own = sorted((r["word"], r["n"]) for r in kept if r["lang"] == lang and (r["n"] <= MOST_SHARE * totals[lang] or totals[lang] < 50))
+        own = sorted((r["word"], r["n"]) for r in kept if r["lang"] == lang and r["n"] <= MOST_SHARE * (totals[lang] + MOST_ADDED))
         if own:
             model.vocabulary[lang] = np.array([w for w, _ in own], dtype=np.int32)
             model.idf[lang] = np.log((totals[lang] + 1) / np.array([n for _, n in own], dtype=float))
