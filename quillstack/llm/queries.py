@@ -66,4 +66,27 @@ SQL = {
         FROM document_extractions JOIN chunk_config USING (config_id)
         WHERE length(full_markdown) > 4 * chunk_size
     """,
+    # the cuts one after another, each the furthest of the strongest kind of boundary within reach
+    "p7_pieces": r"""
+        WITH RECURSIVE docs AS (
+            SELECT DISTINCT item_key, full_markdown AS t, 4 * chunk_size AS lim, least(4 * coalesce(chunk_overlap, 0), 4 * chunk_size - 1) AS lap
+            FROM document_extractions JOIN chunk_config USING (config_id) WHERE length(full_markdown) > 4 * chunk_size),
+        cuts AS (
+            SELECT item_key, t, lim, lap, 0 AS piece_no, 0 AS c0, 0 AS c1 FROM docs
+            UNION ALL
+            SELECT item_key, t, lim, lap, piece_no + 1, c1, c1 + CASE
+                WHEN length(t) - c1 <= lim - lap THEN length(t) - c1
+                WHEN para >= half THEN para WHEN sent >= half THEN sent WHEN line >= half THEN line WHEN blank >= 1 THEN blank
+                WHEN stretch <= lim THEN stretch ELSE lim - lap END
+            FROM (SELECT *, greatest(1, (lim - lap) // 2) AS half,
+                    length(regexp_extract(w, '(?s)^.*\n[ \t]{0,3}\r?\n')) AS para, length(regexp_extract(w, '(?s)^.*[.!?。][\])"''’”]{0,2}[ \t\n\r]')) AS sent,
+                    length(regexp_extract(w, '(?s)^.*\n')) AS line, length(regexp_extract(w, '(?s)^.*[ \t\n\r]')) AS blank,
+                    length(regexp_extract(v, '^[^ \t\n\r]+')) AS stretch
+                  FROM (SELECT *, t[c1 + 1 : c1 + lim - lap] AS w, t[c1 + 1 : c1 + lim + 1] AS v FROM cuts WHERE c1 < length(t)))),
+        laps AS (SELECT *, least(lap, lim - (c1 - c0), c0) AS l FROM cuts WHERE piece_no > 0)
+        SELECT item_key, piece_no, c0 - l AS char_start, c1 AS char_end,
+            CASE WHEN regexp_matches(t[c1 : c1], '[^ \t\n\r]') AND regexp_matches(t[c1 + 1 : c1 + 1], '[^ \t\n\r]') THEN 'forced' ELSE 'natural' END AS cut,
+            t[c0 - l + 1 : c1] AS piece
+        FROM laps
+    """.replace("\\\\", "\\"),
 }

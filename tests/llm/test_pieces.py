@@ -11,7 +11,8 @@ CONF = "config_id int, chunk_size int, chunk_overlap int, item_key string"
 def check(spark, texts, size, lap):
     df = spark.createDataFrame([(str(i), t, 1, "clash", 7) for i, t in enumerate(texts)], ROW)
     conf = spark.createDataFrame([(1, size, lap, "clash")], CONF)
-    limit, overlap = size * 4, min(lap * 4, size * 2)
+    limit = size * 4
+    overlap = min(lap * 4, limit - 1)
     got: dict = {}
     for r in pieces.split_texts(df, conf).collect():
         got.setdefault(r["item_key"], []).append(r)
@@ -24,7 +25,9 @@ def check(spark, texts, size, lap):
         end = 0
         for r in rows:
             assert len(r["piece"]) <= limit and t[r["char_start"] : r["char_end"]] == r["piece"] and r["char_start"] <= end < r["char_end"]
-            assert end - r["char_start"] <= overlap
+            tile = r["char_end"] - end
+            # the overlap is whole after every cut; only a stretch that fits in the limit alone stands with less of it
+            assert end - r["char_start"] == min(overlap, end) or (end - r["char_start"] == limit - tile and not any(c in t[end : r["char_end"]] for c in " \t\n\r"))
             end = r["char_end"]
         assert end == len(t)
         words = t.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ")
@@ -37,6 +40,10 @@ def test_against_definition(spark, texts, size, lap):
     check(spark, texts, size, lap)
 
 
+def test_many_tiles(spark):
+    check(spark, ["".join(f"w{i} " for i in range(9000)), "z" * 30_000], 5, 3)
+
+
 def test_edges(spark):
     check(spark, [None, "", "x" * 40, "x" * 41, ("y" * 40 + " ") * 3, "y " * 400, "a" * 39 + " " + "b" * 41, "😀" * 41, "\n" * 100, "A sentence here. " * 3000], 10, 2)
 
