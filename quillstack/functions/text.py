@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,7 +27,8 @@ SECTION_WORDS = (
     ("references", ("reference", "bibliography")),
 )
 SUMMARY_OF_RESULTS = ("statistics", "table", "data", "results summary")
-LIGATURES = (("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"))
+# Ligatures by code point.
+LIGATURES = (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"))
 
 
 def stripped(c: Column) -> Column:
@@ -153,6 +152,3 @@ def author_label(count: Column, last: Column, first: Column, lead: Column) -> Co
     initial = F.when(F.coalesce(first, F.lit("")) != "", F.concat(F.lit(", "), F.substring(first, 1, 1), F.lit("."))).otherwise("")
     return F.when(count == 1, F.concat(last, initial)).otherwise(F.concat(lead, F.lit(" et al.")))
 
-
-def quoted(term: str) -> str:
-    return re.escape(term)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -123,6 +121,3 @@ def number_of(caption: Column) -> Column:
     """Whole number of a table or figure caption, null without one."""
     return F.regexp_extract(caption, r"(?i)(?:Figure|Fig\.?|Table|Tab\.?)\s+(\d+)", 1).try_cast("int")
 
-
-def pattern_of(number: str) -> str:
-    return re.escape(number)

@@ -23,11 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach, as the cluster names it in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """Folder all executors can reach, as the cluster names it in spark.checkpoint.dir.
+
+    Where that is unset a session on one machine (as in tests) gets a temporary folder; on a cluster, whose executors
+    could not read it, this raises.
+    """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
-        named = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="quillstack-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="quillstack-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named
@@ -39,15 +45,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
 def written(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Compute ``df`` once as a Parquet table in the shared folder (smaller than a checkpoint, columns can be pruned)."""
+    """Compute ``df`` once as a Parquet table in the shared folder (smaller than a checkpoint, columns can be pruned).
+
+    The table stands until ``drop_written`` or the end of the program.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quillstack-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    if not _WRITTEN:
+        atexit.register(drop_written)
+    _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_written() -> None:
+    """Remove all tables written so far. Only for when no result that reads them is still to be computed."""
+    while _WRITTEN:
+        _remove(*_WRITTEN.pop())
+
+
 def by_group(left: DataFrame, right: DataFrame | None, keys: list[str], work, result: T.DataType) -> DataFrame:
     """keys, ``_rows`` (the left rows of each group) and ``_out``: what ``work(left rows, right rows)`` makes of the group.
 
@@ -83,22 +103,23 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def bounded_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
-    """About ``n`` rows at most, the same ones every time: those whose hash of ``keys`` falls below the share that gives ``n``.
+    """``n`` rows at most, the same ones every time: those with the lowest hashes of ``keys``.
 
-    Each task passes on its share only, so the driver never meets more than about ``n`` rows, whatever the number of tasks.
+    Each task passes on only rows below a hash that gives a quarter more than ``n``, so hardly more than ``n`` rows meet.
     """
     total = df.count()
     if total <= n:
         return df
     grain = 1 << 30
-    return df.where(F.pmod(F.xxhash64(*keys, F.lit(17)), F.lit(grain)) < int(grain * n / total)).limit(n)
+    place = F.pmod(F.xxhash64(*keys, F.lit(17)), F.lit(grain))
+    return df.where(place < int(grain * min(1.0, 1.25 * n / total + 1e-6))).orderBy(place, *keys).limit(n)
 
 
 def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
     """Equi-join of ``left`` to ``right`` (unique on ``key``) that stays balanced when one key holds much of ``left``.
 
     Keys above 1/HOT_SHARE of the rows (at most HOT_SHARE of them) are broadcast with their right-hand rows; all
-    others take the ordinary shuffle join. ``left`` is read twice, so pass a cheap or materialised one. Null keys
+    others take the ordinary shuffle join. ``left`` is read four times, so pass a written table or a plain scan. Null keys
     match nothing. ``how`` is 'left' or 'inner'.
     """
     total = left.count()
