@@ -87,6 +87,7 @@ def cells(item_data: DataFrame, item_fields: DataFrame, item_data_values: DataFr
     """
     names = small_side(attribute_names(item_fields))
     rows = item_data.select("itemid", "fieldid", "valueid").where(F.col("itemid").isNotNull()).join(names, "fieldid").select("itemid", "fieldname", "valuetype", "valueid")
+    rows = written(rows, "rows")
     values = item_data_values.select("valueid", "value").where(F.col("valueid").isNotNull() & ~is_blank(F.col("value")))
     number, year = integer_reading(F.col("value")), year_reading(F.col("value"))
     values = values.select("valueid", "value", number.alias("_number"), year.cast("long").alias("_year"), squeezed(F.col("value")).alias("_text"))
