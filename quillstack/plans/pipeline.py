@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstack.operators import incremental, packed, wide
-from quillstack.runtime import table
+from quillstack.runtime import shared_dir, table
 
 
 def p2_wide(spark: SparkSession, d: str) -> DataFrame:
@@ -21,8 +23,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    runs = table(spark, d, "index_runs")
-    return incremental.pending_keys(table(spark, d, "zotero_items"), table(spark, d, "index_log"), runs, incremental.upper_limit(runs)).select("item_key")
+    """One run over a new store in the shared folder; its committed keys."""
+    store = f"{shared_dir(spark).rstrip('/')}/quillstack-runs-{uuid.uuid4().hex}"
+    runs = incremental.KeyRuns(spark, store)
+    return runs.run(table(spark, d, "zotero_items"), table(spark, d, "index_log"), table(spark, d, "index_runs")).select("item_key")
 
 
 QUERIES = {"p2_found": p2_found, "p2_wide": p2_wide, "p4_found": p4_found, "p6_found": p6_found}
