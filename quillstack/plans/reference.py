@@ -11,6 +11,7 @@ from quillstack.operators import captions, chunking, citations, completeness, ge
 from quillstack.plans import adapters as ad
 from quillstack.plans.adapters import INDEX_SQL, QUERY_CHUNK
 from quillstack.runtime import table
+from quillstack.sources import index_store
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -477,9 +478,12 @@ def title_expansions(spark: SparkSession, d: str) -> DataFrame:
     return names.select("publication", F.size(tx.title_expansions(F.col("publication"))).alias("n"))
 
 
-@query("upsert_latest", "SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY 1")
+@query("upsert_latest", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'changed' ELSE o_orderstatus END AS status FROM orders UNION ALL SELECT -o_orderkey, 'changed' FROM orders WHERE o_orderkey % 3 = 0")
 def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("o_orderkey"))
+    """A third of the orders changed, and as many new ones."""
+    old = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    some = old.where("o_orderkey % 3 = 0").withColumn("status", F.lit("changed"))
+    return index_store.upserted(old, some.unionByName(some.withColumn("o_orderkey", -F.col("o_orderkey"))), ["o_orderkey"])
 
 
 @query("content_hash", "SELECT doc_id, sha256(substring(text, 1, 65536)) AS hash FROM documents WHERE text IS NOT NULL AND length(text) = strlen(text)")

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import json
 import sqlite3
 from collections.abc import Iterator
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +21,11 @@ class RowRange(InputPartition):
         self.low, self.high = low, high
 
 
+class WholeTable(InputPartition):
+    def __init__(self):
+        super().__init__(0)
+
+
 class SqliteReader(DataSourceReader):
     """Reads row-id ranges of one table; the file is opened read-only and as unchanging."""
 
@@ -34,7 +37,10 @@ class SqliteReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         with self._open() as db:
-            low, high = db.execute(f'SELECT min(rowid), max(rowid) FROM "{self.name}"').fetchone()
+            try:
+                low, high = db.execute(f'SELECT min(rowid), max(rowid) FROM "{self.name}"').fetchone()
+            except sqlite3.OperationalError:  # a table without row ids is read as a whole
+                return [WholeTable()]
         if low is None:
             return [RowRange(0, 0)]
         step = max(1, -(-(high - low + 1) // self.ranges))
@@ -42,8 +48,9 @@ class SqliteReader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         columns = ", ".join(f'"{f.name}"' for f in self.schema)
+        part = ("", ()) if isinstance(partition, WholeTable) else (" WHERE rowid >= ? AND rowid < ?", (partition.low, partition.high))
         with self._open() as db:
-            for row in db.execute(f'SELECT {columns} FROM "{self.name}" WHERE rowid >= ? AND rowid < ?', (partition.low, partition.high)):
+            for row in db.execute(f'SELECT {columns} FROM "{self.name}"{part[0]}', part[1]):
                 yield tuple(str(v) if v is not None and isinstance(f.dataType, T.StringType) else v for v, f in zip(row, self.schema))
 
 
@@ -72,9 +79,16 @@ def sqlite_table(spark: SparkSession, path: str, name: str, ranges: int = 8) ->
     return df.toDF(*[c.lower() for c in df.columns])
 
 
+def found(spark: SparkSession, path: str) -> tuple[bool, bool]:
+    """Whether a path of any file system exists, and whether it is a file."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return (True, fs.getFileStatus(p).isFile()) if fs.exists(p) else (False, False)
+
+
 def citation_keys(spark: SparkSession, path: str) -> DataFrame:
     """(item_key, citation_key); empty if the database is absent."""
-    if not Path(path).exists():
+    if not found(spark, path)[0]:
         return spark.createDataFrame([], "item_key string, citation_key string")
     return sqlite_table(spark, path, "citationkey").select(F.col("itemkey").alias("item_key"), F.col("citationkey").alias("citation_key"))
 
@@ -96,9 +110,10 @@ COSTS = "timestamp string, session_id string, table_id string, agent_role string
 
 def cost_log(spark: SparkSession, path: str) -> DataFrame:
     """Entries of a cost log: an array in one JSON file, or a folder of JSON lines."""
-    if not Path(path).exists():
+    there, is_file = found(spark, path)
+    if not there:
         return spark.createDataFrame([], COSTS)
-    return spark.read.schema(COSTS).json(path, multiLine=Path(path).is_file())
+    return spark.read.schema(COSTS).json(path, multiLine=is_file)
 
 
 def append_costs(entries: DataFrame, path: str) -> None:
@@ -121,6 +136,3 @@ def binary_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> Data
     """(path, content, length) of files below a folder."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content", "length")
 
-
-def read_config(path: str) -> dict:
-    return json.loads(Path(path).read_text())

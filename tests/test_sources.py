@@ -1,6 +1,9 @@
 import json
 import sqlite3
 
+import pytest
+from pyspark.sql import functions as F
+
 from quillstack.operators import library
 from quillstack.sources import library as src
 from quillstack.sources.index_store import IndexStore, upserted
@@ -67,12 +70,62 @@ def test_index_store(spark, tmp_path):
     assert {tuple(r) for r in upserted(rows.select("doc_id", "chunk_id"), spark.createDataFrame([("a", "new")], "doc_id string, chunk_id string"), ["doc_id"]).collect()} == {("a", "new"), ("b", "c2")}
 
 
-def test_stream(spark, tmp_path):
-    src_dir, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
-    spark.createDataFrame([("a", 1), ("a", 2)], "k string, t int").write.parquet(src_dir)
-    for _ in range(2):
-        intake.index_stream(intake.new_documents(spark, src_dir, "k string, t int"), lambda df: intake.latest_only(df, "k", "t"), out, check).awaitTermination()
-    assert [r["t"] for r in spark.read.parquet(out).collect()] == [2]
-    spark.createDataFrame([("b", 5)], "k string, t int").write.mode("append").parquet(src_dir)
-    intake.index_stream(intake.new_documents(spark, src_dir, "k string, t int"), lambda df: df, out, check).awaitTermination()
-    assert sorted(r["t"] for r in spark.read.parquet(out).collect()) == [2, 5]
+def test_store_touches_few_buckets(spark, tmp_path):
+    root = tmp_path / "index"
+    store = IndexStore(spark, str(root), 8)
+    rows = spark.range(200).select(F.format_string("d%03d", "id").alias("doc_id"), F.format_string("c%03d", "id").alias("chunk_id"), F.when(F.col("id") % 3 == 0, "table").otherwise("text").alias("chunk_type"), F.lit("old").alias("v"))
+    store.write(rows, {"note": "first"})
+    before = {str(p) for p in root.rglob("*.parquet")}
+    store.delete(rows.where("doc_id = 'd007'"))
+    added = {str(p) for p in root.rglob("*.parquet")} - before
+    assert {p.split("bucket=")[1].split("/")[0] for p in added} == {str(store._touched(rows.where("doc_id = 'd007'"))[0])}
+    assert store.read().count() == 199 and store.state() == {"note": "first"}
+    store.upsert(spark.createDataFrame([("d007", "c007", "text", "new", 1), ("d008", "c008", "text", "new", 2)], "doc_id string, chunk_id string, chunk_type string, v string, extra int"), ["doc_id", "chunk_id"])
+    assert store.read().count() == 200 and {r["doc_id"] for r in store.read().where("v = 'new'").collect()} == {"d007", "d008"}
+    assert store.get("d009", ["table"], ["chunk_id"]).collect()[0]["chunk_id"] == "c009" and store.get("d009", ["text"]).count() == 0
+    assert [r["chunk_id"] for r in store.get(limit=2, columns=["chunk_id"]).collect()] == ["c000", "c001"]
+
+
+def test_store_survives_broken_and_racing_writes(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "index"), 4)
+    rows = spark.createDataFrame([("a", "c1", "text"), ("b", "c2", "text")], "doc_id string, chunk_id string, chunk_type string")
+    store.write(rows)
+    publish = store.log.publish
+
+    def broken(n, manifest):
+        raise OSError("died before the swap")
+
+    store.log.publish = broken
+    with pytest.raises(OSError):
+        store.delete(rows.where("doc_id = 'a'"))
+    assert IndexStore(spark, str(tmp_path / "index"), 4).read().count() == 2
+
+    def late(n, manifest):
+        IndexStore(spark, str(tmp_path / "index"), 4).delete(rows.where("doc_id = 'b'"))
+        publish(n, manifest)
+
+    store.log.publish = late
+    with pytest.raises(RuntimeError, match="taken"):
+        store.delete(rows.where("doc_id = 'a'"))
+    store.log.publish = publish
+    assert [r["doc_id"] for r in store.read().collect()] == ["a"]
+    store.delete(rows)
+    assert store.read() is None or store.read().count() == 0
+    store.write(rows)
+    assert store.remove_old(1) > 0 and store.read().count() == 2
+
+
+def test_tables_without_row_ids(spark, tmp_path):
+    path = str(tmp_path / "w.sqlite")
+    db = sqlite3.connect(path)
+    db.execute("CREATE TABLE pairs (a TEXT PRIMARY KEY, b INT) WITHOUT ROWID")
+    db.executemany("INSERT INTO pairs VALUES (?, ?)", [("x", 1), ("y", 2)])
+    db.commit()
+    assert {tuple(r) for r in src.sqlite_table(spark, path, "pairs").collect()} == {("x", 1), ("y", 2)}
+
+
+def test_absent_files(spark, tmp_path):
+    assert src.cost_log(spark, str(tmp_path / "none.json")).count() == 0 and src.citation_keys(spark, str(tmp_path / "none.db")).count() == 0
+    assert src.cost_log(spark, f"file://{tmp_path}/none.json").count() == 0
+    (tmp_path / "log.json").write_text('[{"timestamp": "t", "session_id": "s", "cost_usd": 1.5}]')
+    assert src.cost_log(spark, f"file://{tmp_path}/log.json").first()["cost_usd"] == 1.5
