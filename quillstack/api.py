@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstack.config import NO_QUARTILE, QUARTILE_WEIGHTS, SECTION_WEIGHTS, Settings, check_search
 from quillstack.operators import citations, library, reference, search, stats
 from quillstack.operators.captions import caption_number
 from quillstack.operators.indexing import Embedder, HashedWords
+from quillstack.operators.library_index import IndexReport, LibraryIndexer
 
 
 @dataclass
@@ -26,6 +27,19 @@ class Engine:
     cites: DataFrame | None = None
     costs: DataFrame | None = None
 
+    @staticmethod
+    def index_library(root: str, library: DataFrame, pages: DataFrame, settings: Settings = Settings(), embedder: Embedder | None = None, titles: DataFrame | None = None, force_reindex: bool = False, limit: int | None = None, item_key: str | None = None, title_pattern: str | None = None) -> IndexReport:
+        """Bring the index below ``root`` up to date with a library; ``Engine.open`` reads it."""
+        return LibraryIndexer(library.sparkSession, root, settings, embedder).run(library, pages, titles, force_reindex, limit, item_key, title_pattern)
+
+    @classmethod
+    def open(cls, spark: SparkSession, root: str, settings: Settings = Settings(), **tables) -> Engine:
+        """An engine over the last version of an index."""
+        index = LibraryIndexer(spark, root, settings).store.read()
+        if index is None:
+            raise ValueError(f"no index below {root}")
+        return cls(index, settings, **tables)
+
     def _vector(self, query: str | list[float]) -> list[float]:
         if not isinstance(query, str):
             return list(query)
@@ -55,18 +69,39 @@ class Engine:
     def search_figures(self, query, top_k: int = 10, **filters) -> DataFrame:
         return search.search_objects(self.index, self._vector(query), "figure", top_k, **{k: v for k, v in filters.items() if k != "journal_weights"})
 
-    def get_passage_context(self, doc_id: str, chunk_index: int, window: int = 2, table_page: int | None = None, table_index: int | None = None) -> DataFrame:
-        """Passages around a position, or around the first mention of a table."""
-        if table_page is not None and table_index is not None:
+    def get_passage_context(self, doc_id: str, chunk_index: int = 0, window: int = 2, table_page: int | None = None, table_index: int | None = None) -> DataFrame:
+        """One row: the document, its passages around a position in order (the centre marked), and their merged text.
+
+        With a table's page and index the position is the first mention of the table; table_caption, table_page,
+        table_index, reference_found_in_chunk and, where there is none, ``note`` tell of it.
+        """
+        caption = note = None
+        about_table = table_page is not None and table_index is not None
+        if about_table:
             at = self.index.where((F.col("doc_id") == doc_id) & (F.col("chunk_type") == "table") & (F.col("page_num") == table_page) & (F.col("table_index") == table_index))
-            row = at.select(caption_number(F.col("table_caption")).alias("n")).first()
-            found = reference.table_mention(self.index, doc_id, row["n"] if row else None).select("chunk_index").first()
-            if found:
-                chunk_index = found["chunk_index"]
-        return search.passage_window(self.index, doc_id, chunk_index, window)
+            row = at.select("table_caption", caption_number(F.col("table_caption")).alias("n")).first()
+            if row is None:
+                raise ValueError(f"no table {table_index} on page {table_page} of {doc_id}")
+            caption = row["table_caption"]
+            found = reference.table_mention(self.index, doc_id, row["n"]).select("chunk_index").first()
+            chunk_index = found["chunk_index"] if found else None
+            if found is None:
+                note = "no text mentions this table"
+        near = search.passage_window(self.index, doc_id, -1 if chunk_index is None else chunk_index, window)
+        if about_table:
+            near = near.where("chunk_type = 'text'") if chunk_index is not None else near.limit(0)
+        of = self.index.where(F.col("doc_id") == doc_id).groupBy("doc_id").agg(F.min("doc_title").alias("doc_title"), F.min("citation_key").alias("citation_key"))
+        passage = F.struct("chunk_index", "chunk_id", F.col("page_num").alias("page"), F.coalesce("section", F.lit("unknown")).alias("section"), F.col("passage").alias("text"), "is_center")
+        passages = near.groupBy("doc_id").agg(F.array_sort(F.collect_list(passage)).alias("passages"))
+        out = of.join(passages, "doc_id", "left").withColumn("merged_text", F.coalesce(F.array_join(F.transform("passages", lambda p: p["text"]), "\n\n"), F.lit("")))
+        if about_table:
+            said = lambda v, kind: F.lit(v).cast(kind)
+            out = out.select("*", said(caption, "string").alias("table_caption"), said(table_page, "int").alias("table_page"), said(table_index, "int").alias("table_index"), said(chunk_index, "int").alias("reference_found_in_chunk"), said(note, "string").alias("note"))
+        return out
 
     def get_index_stats(self) -> DataFrame:
-        return stats.index_totals(self.index)
+        """One row: totals, and the coverage of sections, journals and chunk types as maps, over all rows."""
+        return stats.index_stats(self.index)
 
     def get_reranking_config(self) -> dict:
         s = self.settings
@@ -98,7 +133,13 @@ class Engine:
         return citations.references(self.works, self.cites, self._work(doc_id)["work_id"], limit)
 
     def get_citation_count(self, doc_id: str) -> DataFrame:
-        return citations.citation_counts(self.cites).where(F.col("work_id") == self._work(doc_id)["work_id"])
+        """doc_id, doi, work_id, cited_by_count, reference_count; only edges of the work are counted."""
+        work = self._work(doc_id)
+        edges = self.cites.where((F.col("src") == work["work_id"]) | (F.col("dst") == work["work_id"]))
+        counts = citations.citation_counts(edges).where(F.col("work_id") == work["work_id"])
+        asked = self.index.where(F.col("doc_id") == doc_id).groupBy("doc_id").agg(F.min("doi").alias("doi")).withColumn("work_id", F.lit(work["work_id"]))
+        none = F.lit(0).cast("long")
+        return asked.join(counts, "work_id", "left").select("doc_id", "doi", "work_id", F.coalesce("cited_by_count", none).alias("cited_by_count"), F.coalesce("reference_count", none).alias("reference_count"))
 
     def get_vision_costs(self, last_n: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Totals, sessions and the last entries."""

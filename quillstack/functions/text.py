@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +29,9 @@ SECTION_WORDS = (
     ("references", ("reference", "bibliography")),
 )
 SUMMARY_OF_RESULTS = ("statistics", "table", "data", "results summary")
+# Control characters, and fonts that draw symbols with them.
+CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
+SYMBOL_FONTS = r"(?i)symbol|greek|math|cmsy|cmex|cmmi|msam|msbm"
 # Ligatures by code point.
 LIGATURES = (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"))
 
@@ -66,18 +71,17 @@ def heading_text(c: Column) -> Column:
 
 
 def section_of(heading: Column) -> Column:
-    """Section a heading opens, null if its words tell none."""
-    h = F.lower(heading)
+    """Section a heading opens, null if its words tell none. The heading is worked out once, however many words are looked for."""
+    return F.get(F.transform(F.array(F.lower(heading)), _told), F.lit(0))
+
+
+def _told(h: Column) -> Column:
+    holds = lambda words: functools.reduce(lambda a, b: a | b, [F.contains(h, F.lit(w)) for w in words])
     found = F.when(F.lit(False), F.lit(""))
     for label, words in SECTION_WORDS:
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | F.contains(h, F.lit(w))
-        found = found.when(hit, F.lit(label))
-    data = F.lit(False)
-    for w in SUMMARY_OF_RESULTS:
-        data = data | F.contains(h, F.lit(w))
-    return found.when(F.contains(h, F.lit("summary")) & data, "results").when(F.contains(h, F.lit("summary")), "conclusion")
+        found = found.when(holds(words), F.lit(label))
+    summary = F.contains(h, F.lit("summary"))
+    return found.when(summary & holds(SUMMARY_OF_RESULTS), "results").when(summary, "conclusion")
 
 
 def looks_numeric(c: Column) -> Column:
@@ -90,6 +94,11 @@ def without_ligatures(c: Column) -> Column:
     return c
 
 
+def without_controls(c: Column, font: Column) -> Column:
+    """Control characters dropped, unless the font (of the nearest text) draws symbols with them."""
+    return F.when(F.coalesce(font.rlike(SYMBOL_FONTS), F.lit(False)), c).otherwise(F.regexp_replace(c, CONTROLS, ""))
+
+
 def clean_cell(c: Column) -> Column:
     """A table cell: ligatures resolved, split minus signs and leading zeros of numbers restored, blanks and minus signs unified."""
     c = without_ligatures(c)

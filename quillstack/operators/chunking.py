@@ -70,18 +70,26 @@ def section_spans(docs: DataFrame, key: str, text: str) -> DataFrame:
     lines = docs.where(F.length(text) > 0).select(key, F.length(text).alias("total"), F.posexplode(F.split(text, "\n", -1)).alias("n", "line"))
     by_doc = W.partitionBy(key).orderBy("n")
     start = F.coalesce(F.sum(F.length("line") + 1).over(by_doc.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    heads = lines.withColumn("char_start", start).where(F.col("line").rlike(r"^#{1,2}\s+\S")).select(key, "total", "char_start", heading_text(F.col("line")).alias("heading_text"))
+    heads = lines.withColumn("char_start", start).where(F.col("line").rlike(r"^#{1,2}\s+\S")).select(key, "char_start", heading_text(F.col("line")).alias("heading_text"))
     heads = heads.withColumn("told", section_of(F.col("heading_text")))
     order = W.partitionBy(key).orderBy("char_start")
     carried = F.last("told", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
-    heads = heads.select(
-        key, "char_start", F.lead("char_start").over(order).alias("next"), "total", "heading_text",
-        F.coalesce(carried, F.lit("unknown")).alias("label"), F.when(F.col("told").isNotNull(), 1.0).when(carried.isNotNull(), CONFIDENCE_SCHEME).otherwise(CONFIDENCE_FALLBACK).alias("confidence"), F.row_number().over(order).alias("rank"),
-    )
-    spans = heads.select(key, "char_start", F.coalesce("next", "total").alias("char_end"), "label", "heading_text", "confidence")
-    before = heads.where((F.col("rank") == 1) & (F.col("char_start") > 0)).select(key, F.lit(0).alias("char_start"), F.col("char_start").alias("char_end"), F.lit("preamble").alias("label"), F.lit("").alias("heading_text"), F.lit(1.0).alias("confidence"))
-    bare = docs.where(F.length(text) > 0).select(key, F.length(text).alias("total")).join(heads.select(key).distinct(), key, "left_anti")
-    bare = bare.select(key, F.lit(0).alias("char_start"), F.col("total").alias("char_end"), F.lit("unknown").alias("label"), F.lit("").alias("heading_text"), F.lit(CONFIDENCE_FALLBACK).alias("confidence"))
+    label, sure = F.coalesce(carried, F.lit("unknown")), F.when(F.col("told").isNotNull(), 1.0).when(carried.isNotNull(), CONFIDENCE_SCHEME).otherwise(CONFIDENCE_FALLBACK)
+    heads = heads.select(key, "char_start", "heading_text", label.alias("label"), sure.alias("confidence"))
+    return build_spans(heads, docs.where(F.length(text) > 0).select(key, F.length(text).alias("total")), key)
+
+
+def build_spans(heads: DataFrame, docs: DataFrame, key: str) -> DataFrame:
+    """(key, span_index, char_start, char_end, label, heading_text, confidence): from each heading to the next or the end.
+
+    heads: key, char_start, label, heading_text, confidence; docs: key, total. What stands before the first heading is
+    the preamble; a document without headings is one unknown span.
+    """
+    order = W.partitionBy(key).orderBy("char_start")
+    placed = heads.join(docs, key).withColumn("next", F.lead("char_start").over(order)).withColumn("rank", F.row_number().over(order))
+    spans = placed.select(key, "char_start", F.coalesce("next", "total").alias("char_end"), "label", "heading_text", "confidence")
+    before = placed.where((F.col("rank") == 1) & (F.col("char_start") > 0)).select(key, F.lit(0).alias("char_start"), F.col("char_start").alias("char_end"), F.lit("preamble").alias("label"), F.lit("").alias("heading_text"), F.lit(1.0).alias("confidence"))
+    bare = docs.join(heads.select(key).distinct(), key, "left_anti").select(key, F.lit(0).alias("char_start"), F.col("total").alias("char_end"), F.lit("unknown").alias("label"), F.lit("").alias("heading_text"), F.lit(CONFIDENCE_FALLBACK).alias("confidence"))
     whole = spans.unionByName(before).unionByName(bare)
     whole = whole.select(key, *[F.col(c).cast("int") for c in ("char_start", "char_end")], "label", "heading_text", "confidence")
     return whole.withColumn("span_index", F.row_number().over(order) - 1)

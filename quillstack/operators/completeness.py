@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstack.functions.text import has_ligatures, is_garbled, is_interleaved
@@ -28,9 +29,14 @@ def grade() -> Column:
 
 
 def number_gaps(rows: DataFrame, key: str, number: str) -> DataFrame:
-    """(key, gaps): whole numbers between 1 and the highest that are missing, in order."""
-    seen = rows.where(F.col(number) > 0).groupBy(key).agg(F.collect_set(number).alias("seen"), F.max(number).alias("top"))
-    return seen.select(key, F.array_sort(F.array_except(F.sequence(F.lit(1), F.col("top")), "seen")).alias("gaps"))
+    """(key, gaps): runs (first, last) of whole numbers missing below a number that is there, in order.
+
+    Runs, not the numbers themselves, so a number misread as a huge one costs nothing.
+    """
+    seen = rows.where(F.col(number) > 0).select(key, F.col(number).alias("_n")).distinct()
+    before = F.coalesce(F.lag("_n").over(W.partitionBy(key).orderBy("_n")), F.lit(0))
+    run = F.when(F.col("_n") > before + 1, F.struct((before + 1).cast("long").alias("first"), (F.col("_n") - 1).cast("long").alias("last")))
+    return seen.withColumn("_run", run).groupBy(key).agg(F.array_sort(F.collect_list("_run")).alias("gaps"))
 
 
 def unmatched_captions(captions: DataFrame, objects: DataFrame, keys: list[str]) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import math
+import time
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import numpy as np
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from quillstack.functions.text import stripped
 
 HASHED_BYTES = 65_536
+EMBED_BATCH, EMBED_TRIES, EMBED_WAIT, EMBED_TIMEOUT = 100, 3, 2.0, 120.0  # texts a request, tries, first pause and longest wait in seconds
 
 
 class Embedder(Protocol):
@@ -43,12 +46,32 @@ class HashedWords:
         return out
 
 
+class EmbeddingError(RuntimeError):
+    """A batch could not be embedded after all tries."""
+
+
+def embed_all(embedder: Embedder, texts: list[str], batch: int = EMBED_BATCH, tries: int = EMBED_TRIES, wait: float = EMBED_WAIT, timeout: float = EMBED_TIMEOUT) -> list[list[float]]:
+    """Vectors of texts in batches; a batch that fails or takes too long is tried again after a growing pause."""
+    out: list[list[float]] = []
+    with ThreadPoolExecutor(1) as pool:
+        for at in range(0, len(texts), batch):
+            for turn in range(tries):
+                try:
+                    out += pool.submit(embedder.embed, texts[at : at + batch]).result(timeout)
+                    break
+                except Exception as e:
+                    if turn == tries - 1:
+                        raise EmbeddingError(f"{len(texts[at : at + batch])} texts: {type(e).__name__}: {e}") from e
+                    time.sleep(wait * 2**turn)
+    return out
+
+
 def embedded(rows: DataFrame, text: str, embedder: Embedder, out: str = "embedding") -> DataFrame:
-    """Rows with the vector of a text column, embedded in Arrow batches."""
+    """Rows with the vector of a text column, embedded in Arrow batches, each in requests of EMBED_BATCH texts with retries."""
 
     @F.pandas_udf("array<float>")
     def vectors(texts: pd.Series) -> pd.Series:
-        return pd.Series(embedder.embed(["" if t is None else t for t in texts]))
+        return pd.Series(embed_all(embedder, ["" if t is None else t for t in texts]))
 
     return rows.withColumn(out, vectors(text))
 
@@ -95,7 +118,7 @@ def chunk_id(doc: Column, kind: str, *numbers: Column) -> Column:
     return F.format_string(pattern, doc, *numbers)
 
 
-META = ("doc_title", "authors", "year", "citation_key", "publication", "doi", "tags", "collections", "journal_quartile", "quality_grade")
+META = ("pdf_hash", "doc_title", "authors", "year", "citation_key", "publication", "doi", "tags", "collections", "journal_quartile", "quality_grade")
 
 
 def text_rows(passages: DataFrame, documents: DataFrame, key: str = "item_key") -> DataFrame:
@@ -106,7 +129,7 @@ def text_rows(passages: DataFrame, documents: DataFrame, key: str = "item_key")
 
 def table_rows(tables: DataFrame, documents: DataFrame, key: str = "item_key") -> DataFrame:
     """Index rows of tables; the passage is the table's Markdown."""
-    return tables.join(documents, key).select(chunk_id(F.col(key), "table", F.col("page_num"), F.col("table_index")).alias("chunk_id"), F.lit("table").alias("chunk_type"), F.col(key).alias("doc_id"), "chunk_index", "page_num", F.lit("table").alias("section"), F.lit(1.0).alias("section_confidence"), "table_index", F.col("caption").alias("table_caption"), "n_rows", "n_cols", F.col("markdown").alias("passage"), *META)
+    return tables.join(documents, key).select(chunk_id(F.col(key), "table", F.col("page_num"), F.col("table_index")).alias("chunk_id"), F.lit("table").alias("chunk_type"), F.col(key).alias("doc_id"), "chunk_index", "page_num", F.lit("table").alias("section"), F.lit(1.0).alias("section_confidence"), "table_index", F.col("caption").alias("table_caption"), "n_rows", "n_cols", "reference_context", F.col("markdown").alias("passage"), *META)
 
 
 def figure_text(caption: Column, page: Column, context: Column) -> Column:

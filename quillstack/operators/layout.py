@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillstack.config import CONFIDENCE_FALLBACK, CONFIDENCE_TOC
+from quillstack.config import CONFIDENCE_FALLBACK, CONFIDENCE_TOC, SECTION_WEIGHTS
 from quillstack.functions.text import heading_text, section_of, stripped
+from quillstack.operators.chunking import build_spans
 
 # Fixed value: how an abstract opens.
 ABSTRACT = r"(?im)(?:\A|\n)[ \t]*(?:#{1,3}[ \t]*)?(?:\*\*)?abstract(?:\*\*)?\.?[ \t]*[\n:]?"
 NEXT_HEADING = r"\n\s*(?:#{1,3}\s|\*\*\d)"
+PAGE_ID = r"^R?\d+$"
+LEAST_DEEP_WEIGHT = 0.85
 ABSTRACT_PAGES, LEAST_ABSTRACT = 3, 100
 HEADING_CHARS, HEADING_WORDS, HEADING_LINES = 120, 15, 4
 BATCH_BYTES = 200_000_000
@@ -42,6 +45,27 @@ def toc_sections(matched: DataFrame, key: str) -> DataFrame:
     return out.withColumn("label", label).withColumn("confidence", F.when(F.col("_told").isNotNull(), CONFIDENCE_TOC).otherwise(CONFIDENCE_FALLBACK)).drop("_told")
 
 
+def counted(toc: DataFrame) -> DataFrame:
+    """Entries of contents lists that count: levels 1 and 2, and those of level 3 whose words tell a section that weighs LEAST_DEEP_WEIGHT or more."""
+    weight = F.create_map(*[F.lit(x) for kv in SECTION_WEIGHTS.items() for x in kv])
+    told = section_of(heading_text(F.col("title")))
+    return toc.where((F.col("level") <= 2) | ((F.col("level") == 3) & (F.coalesce(F.try_element_at(weight, told), F.lit(0.0)) >= LEAST_DEEP_WEIGHT)))
+
+
+def document_sections(docs: DataFrame, toc: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
+    """Section spans from contents lists where they match header boxes, else from the header boxes alone.
+
+    docs: key, total (characters); toc and boxes as in ``toc_matches``. Boxes that hold only a page's identifier are no
+    headings. Without a contents list nothing is inherited: a heading that tells no section is unknown. A document
+    without headings is one unknown span.
+    """
+    listed = toc_sections(toc_matches(counted(toc), boxes, key), key).select(key, F.col("char_offset").alias("char_start"), F.col("text").alias("heading_text"), "label", "confidence")
+    free = boxes.where(~heading_text(F.col("text")).rlike(PAGE_ID)).join(listed.select(key).distinct(), key, "left_anti")
+    word = section_of(heading_text(F.col("text")))
+    boxed = free.select(key, F.col("char_offset").alias("char_start"), stripped(F.col("text")).alias("heading_text"), F.coalesce(word, F.lit("unknown")).alias("label"), F.when(word.isNotNull(), CONFIDENCE_TOC).otherwise(CONFIDENCE_FALLBACK).alias("confidence"))
+    return build_spans(listed.unionByName(boxed), docs, key)
+
+
 def abstract_spans(pages: DataFrame, key: str) -> DataFrame:
     """(key, char_start, char_end) of the abstract: from its heading in the first pages to the next heading of that page or the page's end."""
     early = pages.where((F.col("page_num") <= ABSTRACT_PAGES) & F.col("markdown").rlike(ABSTRACT))
@@ -90,11 +114,13 @@ def gap_captions(objects: DataFrame, found: DataFrame, key: str) -> DataFrame:
     its neighbours; the first object without caption on that page takes it.
     """
     have = objects.where("number is not null").select(key, "number", "page_num").distinct()
-    gaps = have.groupBy(key).agg(F.min("number").alias("a"), F.max("number").alias("b"), F.collect_set("number").alias("s"), F.collect_list(F.struct("number", "page_num")).alias("all"))
-    gaps = gaps.select(key, "all", F.explode(F.array_except(F.sequence("a", "b"), "s")).alias("number"))
-    low = F.array_max(F.transform(F.filter("all", lambda x: x["number"] < F.col("number")), lambda x: x["page_num"]))
-    high = F.array_min(F.transform(F.filter("all", lambda x: x["number"] > F.col("number")), lambda x: x["page_num"]))
-    hits = gaps.select(key, "number", low.alias("low"), high.alias("high")).join(found.select(key, "number", F.col("page_num").alias("page_num"), F.col("caption").alias("found")), [key, "number"]).where("page_num between low and high")
+    # only caption lines can fill a gap, so they are looked up among the numbers there are, not the gaps counted out
+    every = have.select(key, "number", "page_num", F.lit(True).alias("held")).unionByName(found.select(key, "number", F.lit(None).cast("int").alias("page_num"), F.lit(False).alias("held")).distinct())
+    by_number = every.groupBy(key, "number").agg(F.max("held").alias("held"), F.min("page_num").alias("p0"), F.max("page_num").alias("p1"))
+    order = W.partitionBy(key).orderBy("number")
+    before, after = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(1, W.unboundedFollowing)
+    gaps = by_number.withColumn("low", F.max("p1").over(before)).withColumn("high", F.min("p0").over(after)).where("not held and low is not null and high is not null")
+    hits = gaps.select(key, "number", "low", "high").join(found.select(key, "number", F.col("page_num").alias("page_num"), F.col("caption").alias("found")), [key, "number"]).where("page_num between low and high")
     hits = hits.groupBy(key, "number").agg(F.min_by(F.struct("page_num", "found"), F.struct("page_num", "found")).alias("h")).select(key, "number", "h.page_num", "h.found")
     rank = lambda *o: F.row_number().over(W.partitionBy(key, "page_num").orderBy(*o))
     free = objects.where("caption is null").withColumn("_n", rank("object_id")).select(key, "page_num", "object_id", "_n")

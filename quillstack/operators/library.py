@@ -15,11 +15,13 @@ LINKED = (0, 1, 2)
 def eav_columns(item_data: DataFrame, fields: DataFrame, values: DataFrame, names: dict[str, str]) -> DataFrame:
     """One row per itemid with a column per wanted field: one pass and one grouping instead of a join per field.
 
-    ``names`` maps columns to field names. Of several values the smallest is taken, so the result is the same every time.
+    ``names`` maps columns to field names, whatever their case and the blanks around them; a name may stand under
+    several ids. Of several values the smallest is taken, so the result is the same every time.
     """
-    wanted = small_side(fields.where(F.col("fieldname").isin(*names.values())).select("fieldid", "fieldname"))
-    rows = item_data.join(wanted, "fieldid").join(values, "valueid")
-    return rows.groupBy("itemid").agg(*[F.min(F.when(F.col("fieldname") == field, F.col("value"))).alias(column) for column, field in names.items()])
+    bare = F.lower(F.trim("fieldname"))
+    wanted = small_side(fields.where(bare.isin(*[n.lower() for n in names.values()])).select("fieldid", bare.alias("_field")))
+    rows = item_data.select("itemid", "fieldid", "valueid").join(wanted, "fieldid").join(values.select("valueid", "value"), "valueid")
+    return rows.groupBy("itemid").agg(*[F.min(F.when(F.col("_field") == field.lower(), F.col("value"))).alias(column) for column, field in names.items()])
 
 
 def base_items(items: DataFrame, deleted: DataFrame | None = None) -> DataFrame:
@@ -98,3 +100,18 @@ def diagnostics(items: DataFrame, attachments: DataFrame, deleted: DataFrame | N
     by_type = other.groupBy(F.concat(F.lit("type:"), F.coalesce("contenttype", F.lit("unknown"))).alias("measure")).agg(F.count_distinct("itemid").alias("n"))
     none = base.join(held.select("itemid").distinct(), "itemid", "left_anti").agg(F.lit("no_attachment").alias("measure"), F.count("*").alias("n"))
     return total.unionByName(with_pdf).unionByName(by_type).unionByName(none)
+
+
+def pdf_resolution(pdfs: DataFrame, files: DataFrame) -> DataFrame:
+    """(item_key, title, path, reason) of each item with a PDF attachment: the first by attachment key; reason is null where its file is there.
+
+    pdfs: item_key, title, attachment_key, linkmode, path; files: path of what the storage folder holds.
+    """
+    first = pdfs.groupBy("item_key").agg(F.min(F.struct("attachment_key", "linkmode", "path", "title")).alias("p")).select("item_key", "p.*")
+    first = first.withColumn("place", pdf_path(F.col("linkmode"), F.col("path"), F.col("attachment_key")))
+    there = files.select(F.col("path").alias("place"), F.lit(True).alias("_there")).distinct()
+    reason = (
+        F.when(F.col("linkmode") == 2, "linked file (not supported)").when(F.col("path").isNull(), "no path on record")
+        .when(F.col("place").isNull(), F.concat(F.lit("unexpected form of path: "), F.substring("path", 1, 50))).when(F.col("_there").isNull(), "file missing from storage")
+    )
+    return first.join(there, "place", "left").select("item_key", F.coalesce("title", F.lit("[No Title]")).alias("title"), F.col("place").alias("path"), reason.alias("reason"))

@@ -45,13 +45,17 @@ def weight(column: Column, weights: dict[str, float], other: float) -> Column:
     return F.coalesce(F.try_element_at(table, column), F.lit(other))
 
 
-def composite(score: Column, section: Column, quartile: Column, alpha: float = 0.7, section_weights: dict | None = None, journal_weights: dict | None = None) -> Column:
-    """max(similarity, 0)^alpha x section weight x journal weight; overrides are clamped to [0, 1]."""
+def composite(score: Column, section: Column, quartile: Column, alpha: float = 0.7, section_weights: dict | None = None, journal_weights: dict | None = None, guard: bool = True) -> Column:
+    """max(similarity, 0)^alpha x section weight x journal weight; overrides are clamped to [0, 1].
+
+    Without ``guard``, for the score of a single row, a negative similarity has no score: null.
+    """
     clamp = lambda given: {k: min(1.0, max(0.0, float(v))) for k, v in (given or {}).items()}
     journals = QUARTILE_WEIGHTS | clamp(journal_weights)
     unknown = journals.pop("unknown", NO_QUARTILE)
     sections = SECTION_WEIGHTS | clamp(section_weights)
-    return F.pow(F.greatest(score, F.lit(0.0)), F.lit(alpha)) * weight(F.coalesce(section, F.lit("unknown")), sections, OTHER_SECTION) * weight(F.coalesce(quartile, F.lit("")), journals, unknown)
+    base = F.greatest(score, F.lit(0.0)) if guard else F.when(score >= 0, score)
+    return F.pow(base, F.lit(alpha)) * weight(F.coalesce(section, F.lit("unknown")), sections, OTHER_SECTION) * weight(F.coalesce(quartile, F.lit("")), journals, unknown)
 
 
 def rerank(hits: DataFrame, top_k: int, alpha: float = 0.7, section_weights: dict | None = None, journal_weights: dict | None = None, enabled: bool = True) -> DataFrame:
@@ -103,7 +107,7 @@ def search_topic(index: DataFrame, query: list[float], num_papers: int = 10, yea
     best = F.max_by(F.struct("passage", "page_num", "section", "section_confidence", "composite_score", "chunk_index"), F.struct("composite_score", -F.col("fetch_rank")))
     papers = ranked.groupBy("doc_id").agg(
         F.round(F.avg("score"), 3).alias("avg_score"), F.round(F.max("score"), 3).alias("best_chunk_score"), F.round(F.avg("composite_score"), 3).alias("avg_composite_score"), F.count("*").alias("num_relevant_chunks"),
-        best.alias("best"), *[F.first(c).alias(c) for c in ("doc_title", "authors", "year", "citation_key", "publication", "journal_quartile")],
+        best.alias("best"), *[F.min(c).alias(c) for c in ("doc_title", "authors", "year", "citation_key", "publication", "journal_quartile")],
     )
     flat = papers.select("doc_id", "doc_title", "authors", "year", "citation_key", "publication", "journal_quartile", "avg_score", "best_chunk_score", "avg_composite_score", F.round("best.composite_score", 3).alias("best_composite_score"), F.col("best.section").alias("best_passage_section"), F.col("best.section_confidence").alias("best_passage_section_confidence"), "num_relevant_chunks", F.col("best.passage").alias("best_passage"), F.col("best.page_num").alias("best_passage_page"), F.col("best.chunk_index").alias("best_chunk_index"))
     return flat.orderBy(F.desc("avg_composite_score"), "doc_id").limit(num_papers)

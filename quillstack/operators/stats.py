@@ -28,6 +28,17 @@ def journal_coverage(index: DataFrame) -> DataFrame:
     return docs.groupBy(F.coalesce("q", F.lit("unknown")).alias("quartile")).agg(F.count("*").alias("n"))
 
 
+def index_stats(index: DataFrame) -> DataFrame:
+    """One row: index_totals, and section_coverage, journal_coverage (documents) and chunk_types as maps from value to number."""
+    tag = lambda df, what, value: df.select(F.lit(what).alias("what"), F.col(value).alias("value"), "n")
+    every = tag(coverage(index, "section"), "section", "value").unionByName(tag(journal_coverage(index), "journal", "quartile")).unionByName(tag(coverage(index, "chunk_type"), "type", "value"))
+    total = lambda what: F.coalesce(F.sum(F.when(F.col("what") == what, F.col("n"))), F.lit(0))
+    as_map = lambda what: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("what") == what, F.struct("value", "n")))))
+    out = every.agg(total("journal").alias("total_documents"), total("type").alias("total_chunks"), as_map("section").alias("section_coverage"), as_map("journal").alias("journal_coverage"), as_map("type").alias("chunk_types"))
+    mean = F.when(F.col("total_documents") > 0, F.round(F.col("total_chunks") / F.col("total_documents"), 1)).otherwise(0.0)
+    return out.select("total_documents", "total_chunks", mean.alias("avg_chunks_per_doc"), "section_coverage", "journal_coverage", "chunk_types")
+
+
 def token_cost():
     """Cost of a call from its four token counts."""
     total = F.lit(0.0)
@@ -91,15 +102,27 @@ def dominant(rows: DataFrame, keys: list[str], by: list[str], weight: str) -> Da
     return sums.groupBy(*keys).agg(F.max_by(F.struct(*by), F.struct("_w", *by)).alias("d")).select(*keys, "d.*")
 
 
-def report(results: DataFrame) -> str:
-    """A Markdown report over index results (item_key, title, status, reason, n_chunks, quality_grade); only counts and failures reach the driver."""
-    counts = {r["status"]: r["n"] for r in results.groupBy("status").agg(F.count("*").alias("n")).collect()}
+def report(results: DataFrame, most: int = 200) -> str:
+    """A Markdown report over index results (item_key, title, status, reason, n_chunks, n_tables, quality_grade).
+
+    Counts by status and grade, then a list for each status. A list shows ``most`` items at most and says how many more
+    there are; ``results`` holds them all.
+    """
+    counts = {r["status"]: r["n"] for r in results.groupBy("status").agg(F.count("*").alias("n")).collect()}  # four statuses
     grades = {r["grade"]: r["n"] for r in grade_histogram(results).collect()}
-    failed = results.where("status = 'failed'").orderBy("item_key").limit(50).collect()
+    rank = F.row_number().over(W.partitionBy("status").orderBy("item_key"))
+    shown = results.withColumn("_n", rank).where(F.col("_n") <= most).orderBy("status", "item_key").collect()  # ``most`` rows a status
+    safe = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
     lines = ["# Index report", "", "| status | items |", "|---|---|", *[f"| {s} | {n} |" for s, n in sorted(counts.items())], "", "| grade | items |", "|---|---|", *[f"| {g} | {grades.get(g, 0)} |" for g in GRADES]]
-    if failed:
-        lines += ["", "| failed | title | reason |", "|---|---|---|"]
-        lines += [f"| {r['item_key']} | {(r['title'] or '')[:40].replace('|', chr(92) + '|')} | {(r['reason'] or '').replace('|', chr(92) + '|')} |" for r in failed]
+    for status in sorted(counts):
+        rows = [r.asDict() for r in shown if r["status"] == status]
+        last = ("chunks", "tables", "grade") if status == "indexed" else ("reason",)
+        lines += ["", f"| {status} | title | {' | '.join(last)} |", "|---|---|" + "---|" * len(last)]
+        for r in rows:
+            tail = (r.get("n_chunks"), r.get("n_tables"), r.get("quality_grade")) if status == "indexed" else (r.get("reason"),)
+            lines.append(f"| {safe(r['item_key'])} | {safe((r['title'] or '')[:40])} | {' | '.join(map(safe, tail))} |")
+        if counts[status] > len(rows):
+            lines.append(f"| ... | and {counts[status] - len(rows)} more | {' | '.join('' for _ in last)} |")
     return "\n".join(lines) + "\n"
 
 

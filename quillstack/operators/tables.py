@@ -67,11 +67,11 @@ def markdown_tables(pages: DataFrame, keys: list[str], text: str = "markdown") -
     """Tables in the Markdown of pages: keys, table_index (from 0 per page), headers, rows, caption, n_rows, n_cols.
 
     A table is a run of lines that start with a bar and has a rule as its second line. The caption is the nearest
-    non-blank line above if it names a table.
+    non-blank line above if it names a table; a line before another table is not that.
     """
     lines = pages.where(F.length(text) > 0).select(*keys, F.posexplode(F.split(text, "\n", -1)).alias("n", "line")).withColumn("bar", F.col("line").rlike(r"^\s*\|"))
     order = W.partitionBy(*keys).orderBy("n")
-    above = F.last(F.when(~F.col("bar") & (F.trim("line") != ""), F.col("line")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
+    above = F.last(F.when(F.trim("line") != "", F.when(F.col("bar"), "").otherwise(F.col("line"))), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
     run = F.sum(F.when(F.col("bar"), 0).otherwise(1)).over(order)
     marked = lines.withColumn("above", above).withColumn("run", run).where("bar")
     cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"(?<!\\)\|", -1), lambda c: F.trim(c))

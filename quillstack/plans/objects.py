@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillstack.config import Settings
 from quillstack.functions.html import html_table
-from quillstack.operators import captions, chunking, geometry, indexing, layout, reference, tables, vision
+from quillstack.operators import captions, geometry, indexing, layout, library_index, tables, vision
 from quillstack.plans import adapters as ad
 from quillstack.runtime import shared_dir, table
 from quillstack.sources.index_store import IndexStore
@@ -34,27 +35,40 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/quillstack-{label}-{uuid.uuid4().hex}"
 
 
-def built_index(spark: SparkSession, d: str) -> DataFrame:
-    """Index rows of all documents: passages with page and section, tables and figures anchored to passages, hashed vectors."""
-    docs = ad.documents(spark, d)
-    passages = chunking.chunks(docs.repartition("item_key"), "item_key", "full_markdown")
-    passages = chunking.with_page(passages, ad.pages(spark, d), "item_key")
-    passages = chunking.with_section(passages, chunking.section_spans(docs, "item_key", "full_markdown"), "item_key")
-    meta = ad.library(spark, d).withColumnRenamed("title", "doc_title").drop("pdf_path")
-    grades = table(spark, d, "document_extractions").groupBy("item_key").agg(F.max("quality_grade").alias("quality_grade"))
-    meta = docs.select("item_key").join(meta, "item_key", "left").join(grades, "item_key", "left")
-    refs = reference.first_references(docs, "item_key", "full_markdown")
-    found = tables.markdown_tables(ad.pages(spark, d), ["item_key", "page_num"]).withColumn("kind", F.lit("table")).withColumn("number", tables.number_of(F.col("caption")))
-    anchored = reference.anchors(found, refs, passages, "item_key").withColumn("markdown", tables.to_markdown(F.col("headers"), F.col("rows"), F.col("caption"), F.lit(None).cast("string")))
-    images = ad.pages(spark, d).where("images_on_page > 0").select("item_key", "page_num", F.explode(F.sequence(F.lit(0), F.col("images_on_page") - 1)).alias("figure_index"), F.lit("figure").alias("kind"), F.lit(None).cast("int").alias("number"), F.lit(None).cast("string").alias("caption"), F.lit(None).cast("string").alias("image_path"), F.lit(None).cast("string").alias("reference_context"))
-    figures = reference.anchors(images, refs, passages, "item_key")
-    rows = indexing.text_rows(passages, meta).unionByName(indexing.table_rows(anchored, meta), allowMissingColumns=True).unionByName(indexing.figure_rows(figures, meta), allowMissingColumns=True)
-    return indexing.embedded(rows, "passage", indexing.HashedWords(32))
+def paper_library(spark: SparkSession, d: str) -> DataFrame:
+    """Library items with the hash of their text in the role of the file's."""
+    text = ad.pages(spark, d).groupBy("item_key").agg(F.md5(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", F.col("page_num").cast("string"), F.md5(F.coalesce("markdown", F.lit("")))))), ",")).alias("hash"))
+    return ad.library(spark, d).join(text, "item_key", "left").withColumn("pdf_path", F.coalesce("pdf_path", F.lit("held"))).where("hash is not null")
+
+
+_TEXTS = """p AS (SELECT DISTINCT page_id, item_key, page_num, markdown FROM page_extractions WHERE page_id IS NOT NULL AND item_key IN (SELECT item_key FROM library_items)),
+    k AS (SELECT item_key, count(*) AS n_pages, sum(length(coalesce(markdown, ''))) AS chars, bool_or(length(regexp_replace(coalesce(markdown, ''), '[\\s\\x{a0}]', '', 'g')) > 0) AS text FROM p GROUP BY 1)"""
+
+
+@query("index_library", f"""WITH {_TEXTS} SELECT item_key, CASE WHEN text THEN 'indexed' ELSE 'empty' END AS status, CASE WHEN NOT text THEN n_pages || CASE WHEN chars = 0 THEN ' pages but no text' ELSE ' pages but no passages' END END AS reason FROM k""")
+def index_library(spark: SparkSession, d: str) -> DataFrame:
+    """The whole library into a new index; what became of each paper."""
+    indexer = library_index.LibraryIndexer(spark, scratch(spark, "library"), Settings(embedding_dimensions=32), buckets=8)
+    return indexer.run(paper_library(spark, d), ad.pages(spark, d)).results.select("item_key", "status", "reason")
+
+
+@query("index_library_again", f"""WITH {_TEXTS} SELECT item_key, CASE WHEN item_key < 'H' THEN CASE WHEN text THEN 'indexed' ELSE 'empty' END ELSE 'skipped' END AS status FROM k WHERE item_key < 'H' OR NOT text""")
+def index_library_again(spark: SparkSession, d: str) -> DataFrame:
+    """A second run after the files of the papers below 'H' changed: these are worked on, the rest is current or known to be empty."""
+    indexer = library_index.LibraryIndexer(spark, scratch(spark, "library"), Settings(embedding_dimensions=32), buckets=8)
+    papers, pages = paper_library(spark, d), ad.pages(spark, d)
+    indexer.run(papers, pages)
+    return indexer.run(papers.withColumn("hash", F.when(F.col("item_key") < "H", F.concat("hash", F.lit("+"))).otherwise(F.col("hash"))), pages).results.select("item_key", "status")
 
 
 @query("index_build")
 def index_build(spark: SparkSession, d: str) -> DataFrame:
-    return built_index(spark, d)
+    """Index rows of all documents."""
+    meta = ad.library(spark, d).withColumnRenamed("title", "doc_title").drop("pdf_path")
+    grades = table(spark, d, "document_extractions").groupBy("item_key").agg(F.max("quality_grade").alias("quality_grade"))
+    docs = ad.documents(spark, d)
+    meta = docs.select("item_key").join(meta, "item_key", "left").join(grades, "item_key", "left").withColumn("pdf_hash", F.lit(None).cast("string"))
+    return library_index.index_rows(docs, ad.pages(spark, d), meta, indexing.HashedWords(32))
 
 
 @query("index_store", "SELECT DISTINCT chunk_id, item_key AS doc_id, CASE WHEN item_key < 'N' THEN 'new' ELSE 'old' END AS version FROM chunks WHERE item_key < 'T'")
@@ -183,15 +197,6 @@ def gap_captions(spark: SparkSession, d: str) -> DataFrame:
     return layout.gap_captions(objects, found, "l_orderkey")
 
 
-@query("toc_sections")
-def toc_sections(spark: SparkSession, d: str) -> DataFrame:
-    """Headings of the pages as contents lists, matched with the same headings as boxes."""
-    lines = ad.pages(spark, d).where("markdown is not null").select("item_key", "page_num", F.posexplode(F.split("markdown", "\n", -1)).alias("box_index", "text")).where(F.col("text").rlike(r"^#{1,2}\s+\S"))
-    toc = lines.select("item_key", (F.col("page_num") * 10_000 + F.col("box_index")).alias("entry"), F.length(F.regexp_extract("text", "^(#+)", 1)).alias("level"), F.col("text").alias("title"), "page_num")
-    box = lines.withColumn("char_offset", F.col("page_num") * 10_000 + F.col("box_index"))
-    return layout.toc_sections(layout.toc_matches(toc, box, "item_key"), "item_key").select("item_key", "entry", "label", "confidence")
-
-
 @query("request_batches")
 def request_batches(spark: SparkSession, d: str) -> DataFrame:
     return layout.request_batches(table(spark, d, "part").select("p_partkey", "p_size"), "p_size", 500).drop("partition")

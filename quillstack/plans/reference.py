@@ -166,15 +166,24 @@ def page_stats(spark: SparkSession, d: str) -> DataFrame:
     return stats.page_stats(ad.pages(spark, d))
 
 
-@query("reference_first_match", """WITH d AS (SELECT DISTINCT item_key, full_markdown AS t FROM document_extractions WHERE length(full_markdown) > 0),
-    m AS (SELECT item_key, 'table' AS kind, try_cast(unnest(regexp_extract_all(t, '(?i)(?:Table|Tab\\.?)\\s+(\\d+)', 1)) AS INT) AS number FROM d
-          UNION ALL SELECT item_key, 'figure', try_cast(unnest(regexp_extract_all(t, '(?i)(?:Figure|Fig\\.?)\\s+(\\d+)', 1)) AS INT) FROM d)
-    SELECT DISTINCT item_key, kind, number FROM m WHERE number IS NOT NULL""")
+def _mentions(kind: str, words: str) -> str:
+    """Mentions of a kind with their offset: the text between mentions and the mentions themselves alternate."""
+    p = f"(?i)(?:{words})\\s+(\\d+)"
+    return f"""SELECT item_key, '{kind}' AS kind, try_cast(num[i] AS INT) AS number, (list_sum(list_transform(gap[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda g: length(g))), 0))::INT AS pos
+        FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT item_key, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', 1) AS num, string_split_regex(t, '{p}') AS gap FROM rd))"""
+
+
+_FIRST = f"""rd AS (SELECT DISTINCT item_key, full_markdown AS t FROM document_extractions WHERE length(full_markdown) > 0),
+    rm AS ({_mentions('table', 'Table|Tab[.]?')} UNION ALL {_mentions('figure', 'Figure|Fig[.]?')}), rf AS (SELECT item_key, kind, number, min(pos) AS char_offset FROM rm WHERE number IS NOT NULL GROUP BY ALL)"""
+
+
+@query("reference_first_match", f"WITH {_FIRST} SELECT * FROM rf")
 def reference_first_match(spark: SparkSession, d: str) -> DataFrame:
-    return reference.first_references(ad.documents(spark, d), "item_key", "full_markdown").select("item_key", "kind", "number")
+    return reference.first_references(ad.documents(spark, d), "item_key", "full_markdown").select("item_key", "kind", "number", "char_offset")
 
 
-@query("reference_anchors")
+@query("reference_anchors", f"""WITH {_FIRST}, c AS (SELECT DISTINCT item_key, char_start, chunk_index FROM chunks WHERE chunk_id IS NOT NULL)
+    SELECT item_key, kind, number, coalesce(arg_max(chunk_index, (char_start, chunk_index)) FILTER (char_start <= char_offset), 0) AS chunk_index FROM rf JOIN c USING (item_key) GROUP BY 1, 2, 3""")
 def reference_anchors(spark: SparkSession, d: str) -> DataFrame:
     refs = reference.first_references(ad.documents(spark, d), "item_key", "full_markdown")
     return reference.reference_chunks(refs, ad.passages(spark, d), "item_key")
@@ -199,17 +208,27 @@ def search_boolean(spark: SparkSession, d: str) -> DataFrame:
     return library.boolean_results(keys, ad.library(spark, d), year_min=1990).select("item_key", "title", "year")
 
 
-@query("library_eav", """SELECT itemid, min(value) FILTER (fieldname = 'title') AS title, min(value) FILTER (fieldname = 'date') AS date, min(value) FILTER (fieldname = 'publicationTitle') AS publication, min(value) FILTER (fieldname = 'DOI') AS doi
-    FROM item_data JOIN item_fields USING (fieldid) JOIN item_data_values USING (valueid) WHERE fieldname IN ('title', 'date', 'publicationTitle', 'DOI') GROUP BY itemid""")
+@query("library_eav", """SELECT itemid, min(value) FILTER (f = 'title') AS title, min(value) FILTER (f = 'date') AS date, min(value) FILTER (f = 'publicationtitle') AS publication, min(value) FILTER (f = 'doi') AS doi
+    FROM item_data JOIN (SELECT fieldid, lower(trim(fieldname)) AS f FROM item_fields) USING (fieldid) JOIN item_data_values USING (valueid) WHERE f IN ('title', 'date', 'publicationtitle', 'doi') GROUP BY itemid""")
 def library_eav(spark: SparkSession, d: str) -> DataFrame:
     return library.eav_columns(table(spark, d, "item_data"), table(spark, d, "item_fields"), table(spark, d, "item_data_values"), {"title": "title", "date": "date", "publication": "publicationTitle", "doi": "DOI"})
 
 
-@query("library_years", """SELECT itemid, max(coalesce(try_cast(regexp_extract(substring(value, 1, 4), '^\\s*(\\d+)', 1) AS INT), 0)) AS year FROM item_data JOIN item_fields USING (fieldid) JOIN item_data_values USING (valueid) WHERE fieldname = 'date' AND value IS NOT NULL GROUP BY itemid""")
+@query("library_years", """SELECT itemid, coalesce(try_cast(regexp_extract(substring(min(value), 1, 4), '^\\s*(\\d+)', 1) AS INT), 0) AS year FROM item_data JOIN item_fields USING (fieldid) JOIN item_data_values USING (valueid) WHERE lower(trim(fieldname)) = 'date' GROUP BY itemid HAVING min(value) IS NOT NULL""")
 def library_years(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "item_fields").where("fieldname = 'date'").select("fieldid")
-    rows = table(spark, d, "item_data").join(F.broadcast(f), "fieldid").join(table(spark, d, "item_data_values").where("value is not null"), "valueid")
-    return rows.groupBy("itemid").agg(F.max(tx.year_prefix(F.col("value"))).alias("year"))
+    dates = library.eav_columns(table(spark, d, "item_data"), table(spark, d, "item_fields"), table(spark, d, "item_data_values"), {"date": "date"})
+    return dates.where("date is not null").select("itemid", tx.year_prefix(F.col("date")).alias("year"))
+
+
+@query("pdf_resolution", """WITH h AS (SELECT DISTINCT "key" AS item_key, itemid % 5 AS m FROM zotero_items WHERE itemtypeid NOT IN (1, 14)), x AS (SELECT item_key, min(m) AS m FROM h GROUP BY 1)
+    SELECT item_key, CASE m WHEN 0 THEN 'linked file (not supported)' WHEN 1 THEN 'no path on record' WHEN 2 THEN 'unexpected form of path: C:/a.pdf' WHEN 3 THEN 'file missing from storage' END AS reason FROM x""")
+def pdf_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """Items held in five ways: linked, without a path, with an odd one, lost and there."""
+    m = F.col("m")
+    items = library.base_items(table(spark, d, "zotero_items")).groupBy(F.col("key").alias("item_key")).agg(F.min(F.col("itemid") % 5).alias("m"))
+    held = items.select("item_key", F.lit("t").alias("title"), F.concat(F.lit("A"), "item_key").alias("attachment_key"), F.when(m == 0, 2).otherwise(0).alias("linkmode"), F.when(m == 1, None).when(m == 2, "C:/a.pdf").otherwise("storage:a.pdf").alias("path"))
+    files = items.where("m <> 3").select(F.concat(F.lit("storage/A"), "item_key", F.lit("/a.pdf")).alias("path"))
+    return library.pdf_resolution(held, files).select("item_key", "reason")
 
 
 @query("author_label", """WITH c AS (SELECT l_orderkey AS itemid, s_name AS lastname, substring(s_name, 1, 1) AS firstname, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS o FROM lineitem JOIN supplier ON s_suppkey = l_suppkey)
@@ -321,15 +340,25 @@ def grade(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("item_key", completeness.grade().alias("grade"))
 
 
-@query("number_gaps", "WITH s AS (SELECT DISTINCT l_orderkey, l_linenumber AS n FROM lineitem), t AS (SELECT l_orderkey, max(n) AS top FROM s GROUP BY 1), g AS (SELECT l_orderkey, unnest(range(1, top + 1)) AS n FROM t) SELECT l_orderkey, coalesce(string_agg(n::VARCHAR, ',' ORDER BY n) FILTER ((l_orderkey, n) NOT IN (SELECT (l_orderkey, n) FROM s)), '') AS gaps FROM g GROUP BY 1")
+@query("number_gaps", """WITH s AS (SELECT DISTINCT l_orderkey, l_linenumber * 3 AS n FROM lineitem), g AS (SELECT l_orderkey, n, coalesce(lag(n) OVER (PARTITION BY l_orderkey ORDER BY n), 0) AS b FROM s)
+    SELECT l_orderkey, coalesce(string_agg((b + 1) || '-' || (n - 1), ',' ORDER BY n) FILTER (n > b + 1), '') AS gaps FROM g GROUP BY 1""")
 def number_gaps(spark: SparkSession, d: str) -> DataFrame:
-    return completeness.number_gaps(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber").select("l_orderkey", F.array_join(F.transform("gaps", lambda x: x.cast("string")), ",").alias("gaps"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 3).alias("n"))
+    return completeness.number_gaps(lines, "l_orderkey", "n").select("l_orderkey", F.array_join(F.transform("gaps", lambda g: F.concat_ws("-", g["first"].cast("string"), g["last"].cast("string"))), ",").alias("gaps"))
 
 
-@query("quality_detectors", """WITH c AS (SELECT doc_id, text, list_filter(string_split_regex(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '\\s+'), lambda w: w <> '') AS w FROM documents WHERE length(text) > 0)
-    SELECT doc_id, regexp_matches(text, '[\\x{FB00}-\\x{FB04}]') AS ligatures FROM c""")
+def _detectors(c: str) -> str:
+    """garbled, interleaved and ligatures of a text column."""
+    ws = f"list_filter(string_split_regex({c}, '[\\s\\x{{a0}}\\x{{85}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+'), lambda w: w <> '')"
+    long_ = f"list_filter({ws}, lambda w: NOT contains(w, '-'))"
+    return f"""(NOT regexp_matches({c}, '[\\x{{391}}-\\x{{3c9}}\\x{{2200}}-\\x{{22ff}}=±×÷²³]') AND len({long_}) > 0 AND list_sum(list_transform({long_}, lambda w: length(w))) > 25 * len({long_})) AS garbled,
+        (len({ws}) >= greatest(5, length({c}) // 10) AND len(list_filter({ws}, lambda w: regexp_full_match(w, '\\pL'))) > 0.4 * len({ws})) AS interleaved, regexp_matches({c}, '[\\x{{FB00}}-\\x{{FB04}}]') AS ligatures"""
+
+
+@query("quality_detectors", f"SELECT doc_id, {_detectors('text')} FROM documents WHERE length(text) > 0")
 def quality_detectors(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("length(text) > 0").select("doc_id", tx.has_ligatures(F.col("text")).alias("ligatures"))
+    t = F.col("text")
+    return table(spark, d, "documents").where("length(text) > 0").select("doc_id", tx.is_garbled(t).alias("garbled"), tx.is_interleaved(t).alias("interleaved"), tx.has_ligatures(t).alias("ligatures"))
 
 
 @query("cell_quality")
@@ -384,11 +413,6 @@ def quartile_exact(spark: SparkSession, d: str) -> DataFrame:
     return journals.quartiles(table(spark, d, "library_items"), _titles(spark, d), fuzzy=False).where("tier = 1").select("publication", "quartile")
 
 
-@query("quartile_lookup")
-def quartile_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return journals.quartiles(table(spark, d, "library_items"), _titles(spark, d))
-
-
 @query("quartile_counts", "SELECT coalesce(quartile, 'none') AS quartile, count(*) AS n FROM scimago_quartiles GROUP BY 1")
 def quartile_counts(spark: SparkSession, d: str) -> DataFrame:
     return journals.quartile_counts(table(spark, d, "scimago_quartiles"))
@@ -415,10 +439,17 @@ def citation_count(spark: SparkSession, d: str) -> DataFrame:
     return citations.citation_counts(ad.cites(spark, d).select((-F.col("src")).alias("src"), "dst"))
 
 
-@query("crop_strips", "SELECT p_partkey, CASE WHEN h <= 10 THEN 1 ELSE ceil((h - 10) / 8.5)::INT + 1 END AS strips FROM (SELECT p_partkey, p_size * 3.0 AS h FROM part)")
+@query("crop_strips", """WITH h AS (SELECT p_partkey, p_size * 3.0::DOUBLE AS h FROM part), n AS (SELECT *, CASE WHEN h <= 10 THEN 1 ELSE ceil((h - 10) / 8.5)::INT + 1 END AS n FROM h)
+    SELECT p_partkey, i AS strip, round(i * 8.5::DOUBLE, 6) AS y0, round(least(i * 8.5::DOUBLE + CASE WHEN n = 1 THEN h ELSE 10 END, h), 6) AS y1 FROM (SELECT *, unnest(range(0, n)) AS i FROM n)""")
 def crop_strips(spark: SparkSession, d: str) -> DataFrame:
     h = F.col("p_size") * 3.0
-    return table(spark, d, "part").select("p_partkey", F.size(geometry.strips(F.lit(0.0), F.lit(0.0), F.lit(10.0), h)).alias("strips"))
+    cut = table(spark, d, "part").select("p_partkey", F.posexplode(geometry.strips(F.lit(0.0), F.lit(0.0), F.lit(10.0), h)).alias("strip", "s"))
+    return cut.select("p_partkey", F.col("strip").cast("long").alias("strip"), F.round("s.y0", 6).alias("y0"), F.round("s.y1", 6).alias("y1"))
+
+
+@query("render_dpi", "SELECT p_partkey, greatest(150, least(300, floor(1568 / (greatest(p_size * 20.0::DOUBLE, 100) / 72)))::INT) AS dpi FROM part")
+def render_dpi(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", geometry.render_dpi(F.lit(0.0), F.lit(0.0), F.col("p_size") * 20.0, F.lit(100.0)).alias("dpi"))
 
 
 @query("crop_boxes", """WITH c AS (SELECT l_orderkey, l_linenumber, l_quantity, CASE WHEN l_returnflag = 'N' THEN 'table' ELSE 'figure' END AS kind, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS y FROM lineitem)
@@ -451,17 +482,69 @@ def completeness_of_documents(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("grade", completeness.grade())
 
 
-@query("heading_strip", r"SELECT DISTINCT line, trim(regexp_replace(regexp_replace(line, '^#{1,6}\s*', ''), '[*_]+', '', 'g')) AS heading FROM (SELECT unnest(string_split(full_markdown, chr(10))) AS line FROM document_extractions) WHERE regexp_matches(line, '^#{1,6} [A-Z][a-z]+$')")
-def heading_strip(spark: SparkSession, d: str) -> DataFrame:
+def _heading(c: str) -> str:
+    """A heading without marks, section numbers and list letters."""
+    trim = lambda x: f"regexp_replace({x}, '^[\\s\\x{{a0}}]+|[\\s\\x{{a0}}]+$', '', 'g')"
+    bare = trim(f"regexp_replace(regexp_replace({c}, '^#{{1,6}}\\s*', ''), '[*_]+', '', 'g')")
+    numbered = trim(f"regexp_replace({bare}, '^(?:\\d+(?:\\.\\d+)*\\.?|[IVXLC]+\\.)\\s+', '')")
+    return trim(f"regexp_replace({numbered}, '^\\([a-z]\\)\\s*', '')")
+
+
+_LINES = "SELECT DISTINCT line FROM (SELECT unnest(string_split(full_markdown, chr(10))) AS line FROM document_extractions) WHERE regexp_matches(line, '^#{1,6}[\\s]')"
+
+
+def _headings(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "document_extractions").select(F.explode(F.split("full_markdown", "\n", -1)).alias("line"))
-    return lines.where(F.col("line").rlike("^#{1,6} [A-Z][a-z]+$")).distinct().select("line", tx.heading_text(F.col("line")).alias("heading"))
+    return lines.where(F.col("line").rlike(r"^#{1,6}\s")).distinct()
+
+
+@query("heading_strip", f"SELECT line, {_heading('line')} AS heading FROM ({_LINES})")
+def heading_strip(spark: SparkSession, d: str) -> DataFrame:
+    return _headings(spark, d).select("line", tx.heading_text(F.col("line")).alias("heading"))
 
 
-@query("section_labels", r"""SELECT DISTINCT line, CASE lower(trim(regexp_replace(line, '^#+\s*', ''))) WHEN 'results' THEN 'results' WHEN 'conclusion' THEN 'conclusion' WHEN 'methods' THEN 'methods' WHEN 'abstract' THEN 'abstract' WHEN 'background' THEN 'background' WHEN 'discussion' THEN 'discussion' WHEN 'introduction' THEN 'introduction' WHEN 'appendix' THEN 'appendix' WHEN 'references' THEN 'references' END AS label
-    FROM (SELECT unnest(string_split(full_markdown, chr(10))) AS line FROM document_extractions) WHERE regexp_matches(line, '^#{1,6} [A-Z][a-z]+$')""")
+@query("section_labels", f"SELECT line, {_TOLD} AS label FROM (SELECT line, lower({_heading('line')}) AS h FROM ({_LINES}))")
 def section_labels(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "document_extractions").select(F.explode(F.split("full_markdown", "\n", -1)).alias("line"))
-    return lines.where(F.col("line").rlike("^#{1,6} [A-Z][a-z]+$")).distinct().select("line", tx.section_of(tx.heading_text(F.col("line"))).alias("label"))
+    return _headings(spark, d).select("line", tx.section_of(tx.heading_text(F.col("line"))).alias("label"))
+
+
+_BOXES = f"""e AS (SELECT DISTINCT item_key, full_markdown AS t, length(full_markdown) AS total FROM document_extractions WHERE length(full_markdown) > 0),
+    l AS (SELECT item_key, total, unnest(string_split(t, chr(10))) AS line, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS i FROM e),
+    o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY item_key ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS s FROM l),
+    b AS (SELECT item_key, total, s, line, i, {_heading('line')} AS heading, lower({_heading('line')}) AS h, length(regexp_extract(line, '^#+')) AS level FROM o WHERE regexp_matches(line, '^#{{1,6}}\\s+\\S'))"""
+
+
+def _header_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Headings of documents in the role of header boxes: all on one page, at their offset."""
+    lines = ad.documents(spark, d).where("length(full_markdown) > 0").select("item_key", F.posexplode(F.split("full_markdown", "\n", -1)).alias("n", "text"))
+    at = F.coalesce(F.sum(F.length("text") + 1).over(W.partitionBy("item_key").orderBy("n").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return lines.withColumn("char_offset", at.cast("int")).where(F.col("text").rlike(r"^#{1,6}\s+\S")).select("item_key", F.lit(1).alias("page_num"), F.col("n").alias("box_index"), "text", "char_offset")
+
+
+_LAYOUT_SPANS = """, ct AS (SELECT *, coalesce(lead(s) OVER (PARTITION BY item_key ORDER BY s), total) AS e1, row_number() OVER (PARTITION BY item_key ORDER BY s) AS r FROM k),
+    sp AS (SELECT item_key, s AS char_start, e1 AS char_end, label, confidence FROM ct UNION ALL SELECT item_key, 0, s, 'preamble', 1.0::DOUBLE FROM ct WHERE r = 1 AND s > 0
+        UNION ALL SELECT item_key, 0, total::INT, 'unknown', 0.5::DOUBLE FROM e WHERE item_key NOT IN (SELECT item_key FROM k)) SELECT * FROM sp"""
+
+
+@query("layout_sections", f"""WITH {_BOXES}, k AS (SELECT item_key, total, s, coalesce({_TOLD}, 'unknown') AS label, CASE WHEN {_TOLD} IS NULL THEN 0.5 ELSE 1.0 END::DOUBLE AS confidence FROM b WHERE NOT regexp_full_match(heading, 'R?\\d+')){_LAYOUT_SPANS}""")
+def layout_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Documents without a contents list: sections from their header boxes."""
+    boxes = _header_boxes(spark, d)
+    docs = ad.documents(spark, d).where("length(full_markdown) > 0").select("item_key", F.length("full_markdown").alias("total"))
+    toc = boxes.limit(0).select("item_key", F.col("box_index").alias("entry"), F.lit(1).alias("level"), F.col("text").alias("title"), "page_num")
+    return layout.document_sections(docs, toc, boxes, "item_key").select("item_key", "char_start", "char_end", "label", "confidence")
+
+
+@query("contents_sections", f"""WITH {_BOXES}, en AS (SELECT *, {_TOLD} AS told FROM b WHERE h <> ''), kept AS (SELECT * FROM en WHERE level <= 2 OR (level = 3 AND told IN ('results', 'conclusion', 'methods'))),
+    m AS (SELECT n.item_key, n.total, n.i AS entry, n.level, n.told, min((x.i, x.s)) AS hit FROM kept n JOIN b x ON x.item_key = n.item_key AND x.h <> '' AND (contains(x.h, n.h) OR contains(n.h, x.h)) GROUP BY ALL),
+    z AS (SELECT item_key, total, entry, level, told, hit[2] AS s FROM m),
+    w AS (SELECT *, last_value(CASE WHEN level = 1 THEN told END IGNORE NULLS) OVER (PARTITION BY item_key ORDER BY s, entry ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM z)
+    SELECT item_key, entry - 1 AS entry, coalesce(told, CASE WHEN level >= 2 THEN above END, 'unknown') AS label, CASE WHEN told IS NULL THEN 0.5 ELSE 1.0 END::DOUBLE AS confidence FROM w""")
+def contents_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Headings as contents lists, matched with themselves as boxes: words, weights of deep levels, inheritance."""
+    boxes = _header_boxes(spark, d)
+    toc = boxes.select("item_key", F.col("box_index").cast("long").alias("entry"), F.length(F.regexp_extract("text", "^(#+)", 1)).alias("level"), F.col("text").alias("title"), "page_num")
+    return layout.toc_sections(layout.toc_matches(layout.counted(toc), boxes, "item_key"), "item_key").select("item_key", "entry", "label", "confidence")
 
 
 @query("doi_normalise", "SELECT DISTINCT doi, regexp_replace('https://doi.org/' || doi, '^https?://(dx\\.)?doi\\.org/', '') AS bare FROM library_items WHERE doi IS NOT NULL")
@@ -469,32 +552,50 @@ def doi_normalise(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "library_items").where("doi is not null").select("doi", tx.bare_doi(F.concat(F.lit("https://doi.org/"), "doi")).alias("bare")).distinct()
 
 
-_OPTIONS = " * ".join(f"CASE WHEN contains(lower(publication), '{short}') THEN {len(fulls)} ELSE 1 END" for short, fulls in tx.ABBREVIATIONS if len(fulls) > 1)
+def _expanded(source: str) -> str:
+    """CTEs x0, x1, ...: forms (publication, f) with the first place of each abbreviation replaced in every way."""
+    out = [f"x0 AS (SELECT DISTINCT publication, lower(publication) AS f FROM {source})"]
+    for i, (short, fulls) in enumerate(tx.ABBREVIATIONS):
+        options = ", ".join(f"'{full}'" for full in fulls)
+        out.append(f"x{i + 1} AS (SELECT publication, CASE WHEN o IS NULL THEN f ELSE f[1 : instr(f, '{short}') - 1] || o || f[instr(f, '{short}') + {len(short)} :] END AS f FROM (SELECT publication, f, unnest(CASE WHEN contains(f, '{short}') THEN [{options}] ELSE [NULL] END) AS o FROM x{i}))")
+    return ", ".join(out)
 
 
-@query("title_expansions", f"SELECT DISTINCT publication, {_OPTIONS} AS n FROM library_items WHERE publication IS NOT NULL")
+_LAST = f"x{len(tx.ABBREVIATIONS)}"
+_NORM = lambda c: f"trim(regexp_replace(regexp_replace(lower({c}), '[&:\\-/]', ' ', 'g'), '[\\s\\x{{a0}}]+', ' ', 'g'))"
+
+
+@query("title_expansions", f"WITH {_expanded('library_items WHERE publication IS NOT NULL')} SELECT DISTINCT publication, {_NORM('f')} AS form FROM {_LAST}")
 def title_expansions(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "library_items").where("publication is not null").select("publication").distinct()
-    return names.select("publication", F.size(tx.title_expansions(F.col("publication"))).alias("n"))
+    return names.select("publication", F.explode(tx.title_expansions(F.col("publication"))).alias("form"))
+
+
+#: All pairs: those whose edits the bound allows, then the longest common subsequence row by row.
+_FUZZY = f"""nm AS (SELECT DISTINCT publication, {_NORM('publication')} AS norm FROM library_items WHERE trim(publication) <> ''), tl AS (SELECT {_NORM('title_normalized')} AS title, min(quartile) AS quartile FROM scimago_quartiles WHERE title_normalized IS NOT NULL AND quartile IS NOT NULL GROUP BY 1),
+    {_expanded("nm")}, h1 AS (SELECT publication, quartile, 1 AS tier, 100.0::DOUBLE AS score FROM nm JOIN tl ON title = norm), h2 AS (SELECT DISTINCT publication, quartile, 2 AS tier, 100.0::DOUBLE AS score FROM {_LAST} JOIN tl ON title = {_NORM('f')}),
+    pr AS (SELECT publication, norm, title, quartile FROM nm JOIN tl ON levenshtein(norm, title) * 10 <= length(norm) + length(title) WHERE length(norm) > 0 AND length(title) > 0 AND publication NOT IN (SELECT publication FROM h1 UNION ALL SELECT publication FROM h2)),
+    dp AS (SELECT publication, norm, title, quartile, 0 AS i, list_transform(range(0, length(title) + 1), lambda z: 0) AS r FROM pr
+        UNION ALL SELECT publication, norm, title, quartile, i + 1, list_reduce(range(1, length(title) + 1), lambda acc, j: list_append(acc, greatest(acc[j], r[j + 1], r[j] + CASE WHEN norm[i + 1 : i + 1] = title[j : j] THEN 1 ELSE 0 END)), [0]) FROM dp WHERE i < length(norm)),
+    h3 AS (SELECT publication, quartile, 3 AS tier, 200.0 * r[-1] / (length(norm) + length(title)) AS score FROM dp WHERE i = length(norm) AND 200.0 * r[-1] / (length(norm) + length(title)) >= 90),
+    hs AS (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3), best AS (SELECT publication, min((tier, -score, quartile)) AS b FROM hs GROUP BY 1)"""
+
+
+@query("quartile_lookup", f"WITH RECURSIVE {_FUZZY} SELECT publication, b[3] AS quartile, b[1] AS tier FROM nm LEFT JOIN best USING (publication)")
+def quartile_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return journals.quartiles(table(spark, d, "library_items"), _titles(spark, d))
 
 
-@query("upsert_latest", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'changed' ELSE o_orderstatus END AS status FROM orders UNION ALL SELECT -o_orderkey, 'changed' FROM orders WHERE o_orderkey % 3 = 0")
+@query("upsert_latest", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'changed' ELSE o_orderstatus END AS status FROM orders UNION ALL SELECT -o_orderkey - 1, 'changed' FROM orders WHERE o_orderkey % 3 = 0")
 def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
     """A third of the orders changed, and as many new ones."""
     old = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
     some = old.where("o_orderkey % 3 = 0").withColumn("status", F.lit("changed"))
-    return index_store.upserted(old, some.unionByName(some.withColumn("o_orderkey", -F.col("o_orderkey"))), ["o_orderkey"])
+    return index_store.upserted(old, some.unionByName(some.withColumn("o_orderkey", -F.col("o_orderkey") - 1)), ["o_orderkey"])
 
 
-@query("content_hash", "SELECT doc_id, sha256(substring(text, 1, 65536)) AS hash FROM documents WHERE text IS NOT NULL AND length(text) = strlen(text)")
+@query("content_hash", "SELECT doc_id, sha256(encode(text)[1:65536]) AS hash FROM documents WHERE text IS NOT NULL")
 def content_hash(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("text is not null and length(text) = octet_length(text)")
-    return docs.select("doc_id", indexing.content_hash(F.encode("text", "UTF-8")).alias("hash"))
-
-
-@query("content_hashes")
-def content_hashes(spark: SparkSession, d: str) -> DataFrame:
-    """Of every text; ``content_hash`` holds the pure ASCII ones, on which DuckDB's cut by characters agrees."""
     return table(spark, d, "documents").where("text is not null").select("doc_id", indexing.content_hash(F.encode("text", "UTF-8")).alias("hash"))
 
 

@@ -62,3 +62,12 @@ def test_html(spark):
     assert html.read_table("<table><tr><td>h</td></tr><tr><td>r</td></tr></table>")["headers"] == ["h"]
     got = spark.createDataFrame([("<table><tr><td>h</td></tr></table>",), (None,)], "h string").select(html.html_table("h").alias("t")).select("t.*").collect()
     assert got[0]["headers"] == ["h"] and got[1]["headers"] == []
+
+
+def test_controls_and_bare_scores(spark):
+    from quillstack.operators.search import composite
+
+    rows = spark.createDataFrame([("a\x02b", "CMSY10"), ("a\x02b", "Times"), ("a\x02b", None)], "t string, f string")
+    assert [r[0] for r in rows.select(text.without_controls(F.col("t"), F.col("f"))).collect()] == ["a\x02b", "ab", "ab"]
+    score = lambda v, guard: spark.range(1).select(composite(F.lit(v), F.lit("results"), F.lit("Q1"), 0.5, guard=guard)).first()[0]
+    assert score(-0.25, True) == 0.0 and score(-0.25, False) is None and score(0.25, False) == 0.5

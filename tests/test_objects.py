@@ -136,7 +136,11 @@ def test_stats(spark):
     text = stats.report(res)
     assert "| failed | 1 |" in text and "T\\|x" in text and "| A | 1 |" in text
     gaps = completeness.number_gaps(spark.createDataFrame([("a", 1), ("a", 4), ("b", 1)], "k string, n int"), "k", "n").collect()
-    assert {r["k"]: r["gaps"] for r in gaps} == {"a": [2, 3], "b": []}
+    assert {r["k"]: [tuple(g) for g in r["gaps"]] for r in gaps} == {"a": [(2, 3)], "b": []}
+    huge = completeness.number_gaps(spark.createDataFrame([("a", 1), ("a", 900_000_000)], "k string, n int"), "k", "n").first()
+    assert tuple(huge["gaps"][0]) == (2, 899_999_999)
+    one = spark.createDataFrame([("t",), ("f",)], "status string").withColumn("item_key", F.col("status")).withColumn("title", F.lit("x")).withColumn("quality_grade", F.lit(None).cast("string"))
+    assert "and 1 more" not in stats.report(one, 1) and "and 1 more" in stats.report(one.unionByName(one), 1)
 
 
 def test_plan(spark):
