@@ -93,18 +93,29 @@ def stream_intake(spark: SparkSession, d: str) -> DataFrame:
     return intake.latest_only(spark.read.schema("user_id long, event_id long, batch int").parquet(f"{home}/out").select("user_id", "event_id"), "user_id", "event_id")
 
 
-@query("html_tables", "SELECT l_orderkey, count(*) - 1 AS n_rows, 2 AS n_cols FROM lineitem GROUP BY 1")
+@query("html_tables", """WITH l AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber % 4 = 0 AS wide, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i FROM lineitem)
+    SELECT l_orderkey, 'part¦supplier' AS headers, string_agg(l_partkey || '¦' || CASE WHEN wide THEN l_partkey ELSE l_suppkey END, '¶' ORDER BY i) AS rows, 'note & more' AS footnotes FROM l GROUP BY 1""")
 def html_tables(spark: SparkSession, d: str) -> DataFrame:
-    cell = F.concat(F.lit("<tr><td>"), F.col("l_partkey").cast("string"), F.lit("</td><td>"), F.col("l_suppkey").cast("string"), F.lit("</td></tr>"))
-    html = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.concat(F.lit("<table>"), F.array_join(F.collect_list(cell), ""), F.lit("</table>note")).alias("h"))
-    return html.select("l_orderkey", html_table("h").alias("t")).select("l_orderkey", F.size("t.rows").cast("long").alias("n_rows"), F.size("t.headers").alias("n_cols"))
-
-
-@query("vision_parse", "SELECT p_partkey, p_partkey % 3 <> 0 AS parse_success, CASE WHEN p_partkey % 3 <> 0 THEN p_name ELSE '' END AS caption FROM part")
+    """Every order's lines as an HTML table with heads, spans, entities and a note below."""
+    n = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    lines = table(spark, d, "lineitem").withColumn("i", n)
+    part, supplier = F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")
+    cell = F.when(F.col("l_linenumber") % 4 == 0, F.concat(F.lit("<tr><td colspan='2'>"), part, F.lit("</td></tr>"))).otherwise(F.concat(F.lit("<tr><td>"), part, F.lit("</td><td> "), supplier, F.lit("\n</td></tr>")))
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", cell.alias("c")))), lambda x: x["c"]), "")
+    html = lines.groupBy("l_orderkey").agg(F.concat(F.lit("<table><tr><th>part</th><th>supplier</th></tr>"), rows, F.lit("</table>note &amp; more")).alias("h"))
+    flat = F.array_join(F.transform("t.rows", lambda r: F.array_join(r, "¦")), "¶")
+    return html.select("l_orderkey", html_table("h").alias("t")).select("l_orderkey", F.array_join("t.headers", "¦").alias("headers"), flat.alias("rows"), "t.footnotes")
+
+
+@query("vision_parse", """SELECT p_partkey, p_partkey % 3 <> 0 AS parse_success, CASE WHEN p_partkey % 3 <> 0 THEN p_name ELSE '' END AS caption, CASE WHEN p_partkey % 3 <> 0 THEN p_brand ELSE '' END AS headers,
+    CASE WHEN p_partkey % 3 <> 0 THEN p_type ELSE '' END AS rows, p_partkey % 3 <> 0 AND p_partkey % 2 = 0 AS is_incomplete, p_partkey % 3 <> 0 AND p_partkey % 2 = 0 AS recrop_needed, CASE WHEN p_partkey % 3 <> 0 THEN p_size + 0.5 END AS bottom FROM part""")
 def vision_parse(spark: SparkSession, d: str) -> DataFrame:
-    good = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.array("p_brand").alias("headers"), F.array(F.array("p_type")).alias("rows"), F.col("p_name").alias("caption"))), F.lit("\n```"))
+    """Answers in a fence with prose around them, and answers without a table."""
+    odd = F.col("p_partkey") % 2 == 0
+    recrop = F.struct(odd.alias("needed"), F.array(F.lit(0.0), F.lit(0.0), F.lit(50.0), F.col("p_size") + 0.5).alias("bbox_pct")).alias("recrop")
+    good = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.array("p_brand").alias("headers"), F.array(F.array("p_type")).alias("rows"), F.col("p_name").alias("caption"), odd.alias("is_incomplete"), recrop)), F.lit("\n```"))
     answers = table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 3 != 0, good).otherwise("no table here").alias("a"))
-    return answers.select("p_partkey", vision.parsed_response("a").alias("r")).select("p_partkey", "r.parse_success", "r.caption")
+    return answers.select("p_partkey", vision.parsed_response("a").alias("r")).select("p_partkey", "r.parse_success", "r.caption", F.array_join("r.headers", "¦").alias("headers"), F.array_join(F.flatten("r.rows"), "¦").alias("rows"), "r.is_incomplete", "r.recrop_needed", F.get("r.recrop_bbox_pct", F.lit(3)).alias("bottom"))
 
 
 class PagesOnly:
@@ -202,9 +213,12 @@ def request_batches(spark: SparkSession, d: str) -> DataFrame:
     return layout.request_batches(table(spark, d, "part").select("p_partkey", "p_size"), "p_size", 500).drop("partition")
 
 
-@query("table_round_trip", "SELECT l_orderkey, count(*) AS n_rows FROM lineitem GROUP BY 1")
+@query("table_round_trip", """WITH l AS (SELECT l_orderkey, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i FROM lineitem)
+    SELECT l_orderkey, 'part¦supplier' AS headers, string_agg(l_partkey || '¦' || l_suppkey, '¶' ORDER BY i) AS rows, 'Table 1. Lines' AS caption FROM l GROUP BY 1""")
 def table_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Rows to a Markdown table and back."""
-    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.array(F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))).alias("rows"))
+    n = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    cells = F.transform(F.array_sort(F.collect_list(F.struct("i", F.array(F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("r")))), lambda x: x["r"])
+    rows = table(spark, d, "lineitem").withColumn("i", n).groupBy("l_orderkey").agg(cells.alias("rows"))
     text = rows.select("l_orderkey", tables.to_markdown(F.array(F.lit("part"), F.lit("supplier")), F.col("rows"), F.lit("Table 1. Lines"), F.lit("note")).alias("markdown"))
-    return tables.markdown_tables(text, ["l_orderkey"]).select("l_orderkey", F.size("rows").cast("long").alias("n_rows"))
+    return tables.markdown_tables(text, ["l_orderkey"]).select("l_orderkey", F.array_join("headers", "¦").alias("headers"), F.array_join(F.transform("rows", lambda r: F.array_join(r, "¦")), "¶").alias("rows"), "caption")

@@ -79,16 +79,23 @@ def search_topic(spark: SparkSession, d: str) -> DataFrame:
     return search.search_topic(ad.index(spark, d), ad.query_vector(spark, d)).select("doc_id", "avg_score", "best_chunk_score", "avg_composite_score", "best_composite_score", "num_relevant_chunks")
 
 
-@query("search_tables")
-def search_tables(spark: SparkSession, d: str) -> DataFrame:
-    return search.search_objects(ad.object_index(spark, d, "table"), ad.query_vector(spark, d), "table", 30).select("chunk_id", "caption", F.round("score", 6).alias("score"), F.round("composite_score", 6).alias("composite_score"), F.col("passage").alias("table_markdown"))
+def _objects(found: str) -> str:
+    """Objects of pages with the vector of the page's first chunk, scored."""
+    return f"""{INDEX_SQL}, fc AS (SELECT item_key, page_num, arg_min(embeddings, (chunk_index, chunk_id)) AS v FROM c WHERE len(embeddings) = 96 GROUP BY 1, 2), ob AS ({found}),
+    sc AS (SELECT ob.*, list_cosine_similarity(v::DOUBLE[], {QUERY_CHUNK}::DOUBLE[]) AS score, journal_quartile FROM ob JOIN fc USING (item_key, page_num) LEFT JOIN l USING (item_key) WHERE list_dot_product(v::DOUBLE[], v::DOUBLE[]) > 0)"""
 
 
-@query("search_figures")
+@query("search_figures", f"""WITH {_objects("SELECT item_key, page_num, format('{}_figure_{:04d}_{:02d}', item_key, page_num, n) AS chunk_id, 'Figure on page ' || page_num AS caption FROM (SELECT item_key, page_num, unnest(range(0, images_on_page)) AS n FROM (SELECT DISTINCT page_id, item_key, page_num, images_on_page FROM page_extractions WHERE page_id IS NOT NULL))")}
+    SELECT chunk_id, caption, round(score, 6) AS score FROM sc ORDER BY sc.score DESC, chunk_id LIMIT 30""")
 def search_figures(spark: SparkSession, d: str) -> DataFrame:
     return search.search_objects(ad.object_index(spark, d, "figure"), ad.query_vector(spark, d), "figure", 30).select("chunk_id", "caption", F.round("score", 6).alias("score"))
 
 
+@query("search_tables")
+def search_tables(spark: SparkSession, d: str) -> DataFrame:
+    return search.search_objects(ad.object_index(spark, d, "table"), ad.query_vector(spark, d), "table", 30).select("chunk_id", "caption", F.round("score", 6).alias("score"), F.round("composite_score", 6).alias("composite_score"))
+
+
 @query("context_window", f"""WITH {INDEX_SQL}, h AS (SELECT *, {_score()} AS score FROM usable ORDER BY score DESC, chunk_id LIMIT 50)
     SELECT h.chunk_id, n.chunk_id AS neighbour, n.chunk_index - h.chunk_index AS distance FROM h JOIN idx n ON n.doc_id = h.doc_id AND n.chunk_index <> h.chunk_index AND n.chunk_index BETWEEN h.chunk_index - 2 AND h.chunk_index + 2""")
 def context_window(spark: SparkSession, d: str) -> DataFrame:
@@ -361,28 +368,68 @@ def quality_detectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("length(text) > 0").select("doc_id", tx.is_garbled(t).alias("garbled"), tx.is_interleaved(t).alias("interleaved"), tx.has_ligatures(t).alias("ligatures"))
 
 
-@query("cell_quality")
+_STRIP = lambda c: f"regexp_replace({c}, '^[\\s\\x{{a0}}]+|[\\s\\x{{a0}}]+$', '', 'g')"
+#: Tables of the pages: lines, runs of lines with a bar, those whose second line is a rule.
+TABLES_SQL = r"""tp AS (SELECT DISTINCT page_id, item_key, page_num, markdown FROM page_extractions WHERE page_id IS NOT NULL AND length(markdown) > 0),
+    tx AS (SELECT item_key, page_num, page_id, unnest(string_split(markdown, chr(10))) AS line, unnest(range(1, len(string_split(markdown, chr(10))) + 1)) AS i FROM tp),
+    tb AS (SELECT *, regexp_matches(line, '^\s*\|') AS bar FROM tx),
+    tr AS (SELECT *, sum(CASE WHEN bar THEN 0 ELSE 1 END) OVER o AS run, last_value(CASE WHEN trim(line) <> '' THEN CASE WHEN bar THEN '' ELSE line END END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM tb WINDOW o AS (PARTITION BY page_id ORDER BY i)),
+    tg AS (SELECT item_key, page_num, page_id, run, min(i) AS first, arg_min(above, i) AS above, list(line ORDER BY i) AS ls FROM tr WHERE bar GROUP BY ALL),
+    tc AS (SELECT *, list_transform(ls, lambda l: list_transform(string_split(replace(regexp_replace(trim(l), '^\||\|$', '', 'g'), '\|', chr(1)), '|'), lambda c: replace(trim(c), chr(1), '\|'))) AS cells FROM tg WHERE len(ls) >= 2 AND regexp_matches(ls[2], '^\s*\|[\s:|\-]+\|?\s*$')),
+    tt AS (SELECT item_key, page_num, row_number() OVER (PARTITION BY page_id ORDER BY first) - 1 AS table_index, cells[1] AS headers, cells[3:] AS rows,
+        CASE WHEN regexp_matches(above, '(?i)^(?:\*\*)?(?:Table|Tab\.?)\s+(?:\d+|[IVXLCDM]+|[A-Z]\.\d+|S\d+)') THEN regexp_replace(above, '^\*+|\*+$', '', 'g') END AS caption FROM tc)""".replace("\\\\", "\\")
+
+
+SQL["search_tables"] = f"""WITH {TABLES_SQL}, {_objects("SELECT item_key, page_num, format('{}_table_{:04d}_{:02d}', item_key, page_num, table_index) AS chunk_id, caption, 'table' AS section FROM tt")},
+    h AS (SELECT * FROM sc ORDER BY score DESC, chunk_id LIMIT 90) SELECT chunk_id, caption, round(score, 6) AS score, round({_COMP}, 6) AS composite_score FROM h WHERE {_COMP} > 0 ORDER BY {_COMP} DESC, h.score DESC, chunk_id LIMIT 30"""
+
+
+def _page_tables(spark: SparkSession, d: str) -> DataFrame:
+    return tables.markdown_tables(ad.pages(spark, d), ["item_key", "page_num"])
+
+
+def _flat():
+    return F.array_join(F.transform("rows", lambda r: F.array_join(r, "¦", "")), "¶").alias("rows")
+
+
+_FLAT_SQL = "coalesce(list_aggregate(list_transform(rows, lambda r: list_aggregate(r, 'string_agg', '¦')), 'string_agg', '¶'), '') AS rows"
+
+
+@query("cell_quality", f"""WITH {TABLES_SQL}, c AS (SELECT item_key, unnest(headers || flatten(rows)) AS cell FROM tt), q AS (SELECT item_key, {_detectors('cell')} FROM c)
+    SELECT item_key, count(*) FILTER (garbled) AS garbled, count(*) FILTER (interleaved) AS interleaved, count(*) FILTER (ligatures) AS ligatures FROM q GROUP BY 1""")
 def cell_quality(spark: SparkSession, d: str) -> DataFrame:
-    found = tables.markdown_tables(ad.pages(spark, d), ["item_key", "page_num"])
-    cells = found.select("item_key", F.explode(F.flatten(F.concat(F.array("headers"), "rows"))).alias("cell"))
+    cells = _page_tables(spark, d).select("item_key", F.explode(F.flatten(F.concat(F.array("headers"), "rows"))).alias("cell"))
     return completeness.cell_quality(cells, "item_key", "cell")
 
 
-@query("cell_clean")
+def _numeric(c: str) -> str:
+    return f"regexp_full_match({_STRIP(f"regexp_replace({c}, '[*†‡§№]+', '', 'g')")}, '[0-9.−\\-+, ]+')"
+
+
+_WHOLE, _SPLIT, _MINUS = "replace(replace(replace(replace(replace(c, 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl')", "^(\\d+)\\s*[−\\-]\\s*\\.\\s*(\\d*).*$", "^[−\\-]\\s*(\\d[\\d.]*).*$"
+
+
+@query("cell_clean", f"""WITH {TABLES_SQL}, z AS (SELECT item_key, page_num, table_index, unnest(range(1, len(rows) + 1)) AS i, unnest(rows) AS r FROM tt), y AS (SELECT item_key, page_num, table_index, i, unnest(range(1, len(r) + 1)) AS j, unnest(r) AS c FROM z),
+    c1 AS (SELECT * EXCLUDE (c), {_WHOLE} AS c FROM y), c2 AS (SELECT * EXCLUDE (c), CASE WHEN {_numeric('c')} AND regexp_matches({_STRIP('c')}, '{_SPLIT}') THEN regexp_replace({_STRIP('c')}, '{_SPLIT}', '-\\1.\\2') WHEN {_numeric('c')} AND regexp_matches({_STRIP('c')}, '{_MINUS}') THEN regexp_replace({_STRIP('c')}, '{_MINUS}', '-\\1') ELSE c END AS c FROM c1),
+    c3 AS (SELECT * EXCLUDE (c), CASE WHEN {_numeric('c')} THEN regexp_replace(c, '(^|\\s)\\.(\\d)', '\\10.\\2', 'g') ELSE c END AS c FROM c2)
+    SELECT item_key, page_num, table_index::INT AS table_index, i::INT AS line, j::INT AS col, replace({_STRIP("regexp_replace(replace(c, chr(10), ' '), '  +', ' ', 'g')")}, '−', '-') AS cell FROM c3""")
 def cell_clean(spark: SparkSession, d: str) -> DataFrame:
-    return tables.markdown_tables(ad.pages(spark, d), ["item_key", "page_num"]).select("item_key", "page_num", "table_index", tx.clean_table(F.col("rows")).alias("rows"))
+    rows = _page_tables(spark, d).select("item_key", "page_num", "table_index", F.posexplode(tx.clean_table(F.col("rows"))).alias("line", "r"))
+    return rows.select("item_key", "page_num", "table_index", (F.col("line") + 1).alias("line"), F.posexplode("r").alias("col", "cell")).withColumn("col", F.col("col") + 1)
 
 
-@query("markdown_tables", r"""WITH p AS (SELECT DISTINCT page_id, item_key, page_num, markdown FROM page_extractions WHERE length(markdown) > 0), x AS (SELECT item_key, page_num, unnest(string_split(markdown, chr(10))) AS line FROM p)
-    SELECT item_key, page_num, count(*)::BIGINT AS tables FROM x WHERE regexp_matches(line, '^\s*\|[\s:|\-]+\|?\s*$') GROUP BY 1, 2""")
+@query("markdown_tables", f"WITH {TABLES_SQL} SELECT item_key, page_num, table_index::INT AS table_index, list_aggregate(headers, 'string_agg', '¦') AS headers, {_FLAT_SQL}, caption, len(rows)::INT AS n_rows, greatest(len(headers), coalesce(list_max(list_transform(rows, lambda r: len(r))), 0))::INT AS n_cols FROM tt")
 def markdown_tables(spark: SparkSession, d: str) -> DataFrame:
-    return tables.markdown_tables(ad.pages(spark, d), ["item_key", "page_num"]).groupBy("item_key", "page_num").agg(F.count("*").alias("tables"))
+    return _page_tables(spark, d).select("item_key", "page_num", "table_index", F.array_join("headers", "¦").alias("headers"), _flat(), "caption", "n_rows", "n_cols")
 
 
-@query("table_artifacts")
+@query("table_artifacts", f"""WITH {TABLES_SQL}, k AS (SELECT item_key, page_num, table_index, headers, coalesce(regexp_matches(caption, '{tables.NUMBERED}'), false) AS real, list_filter(headers || flatten(rows), lambda c: c IS NOT NULL) AS cells, len(rows) + CASE WHEN len(headers) > 0 THEN 1 ELSE 0 END AS total,
+        list_filter(CASE WHEN len(headers) >= 3 THEN [headers] ELSE [] END || rows, lambda r: len(r) >= 3 AND regexp_matches(trim(r[1]), '{tables.BARE_NUMBER}') AND regexp_matches(trim(r[-1]), '{tables.BARE_NUMBER}')) AS spread FROM tt),
+    m AS (SELECT *, len(list_filter(cells, lambda c: regexp_matches(trim(c), '{tables.CONTENTS_LINE}'))) AS listed, len(list_filter(cells, lambda c: len(regexp_extract_all(c, '{tables.CONTENTS_PACKED}')) >= 3)) > 0 AS packed FROM k)
+    SELECT item_key, page_num, table_index::INT AS table_index, CASE WHEN NOT real AND regexp_matches(array_to_string(headers, ' '), '{tables.SPACED_BOX}') THEN 'article_info_box' WHEN listed >= 3 AND listed >= total * 0.4 THEN 'table_of_contents' WHEN NOT real AND packed THEN 'table_of_contents'
+        WHEN NOT real AND total >= 2 AND len(spread) >= 2 AND len(spread) >= total * 0.4 THEN 'table_of_contents' WHEN NOT real AND regexp_matches(array_to_string(cells, ' '), '{tables.DIAGRAM}') THEN 'diagram_as_table' END AS artifact_type FROM m""")
 def table_artifacts(spark: SparkSession, d: str) -> DataFrame:
-    found = tables.markdown_tables(ad.pages(spark, d), ["item_key", "page_num"])
-    return found.select("item_key", "page_num", "table_index", tables.artifact(F.col("headers"), F.col("rows"), F.col("caption")).alias("artifact_type"))
+    return _page_tables(spark, d).select("item_key", "page_num", "table_index", tables.artifact(F.col("headers"), F.col("rows"), F.col("caption")).alias("artifact_type"))
 
 
 @query("table_continuations")
@@ -390,12 +437,11 @@ def table_continuations(spark: SparkSession, d: str) -> DataFrame:
     return tables.continue_captions(tables.markdown_tables(ad.pages(spark, d), ["item_key", "page_num"]), "item_key").select("item_key", "page_num", "table_index", "caption")
 
 
-@query("captions", r"""WITH x AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents WHERE length(text) > 0)
-    SELECT doc_id, CASE WHEN regexp_matches(line, '(?i)^Fig') THEN 'figure' ELSE 'table' END AS kind, regexp_extract(line, '(?i)^(?:Figure|Fig\.?|Table|Tab\.?)\s+(\d+)', 1) AS number, count(*) AS n
-    FROM x WHERE regexp_matches(line, '(?i)^(?:Figure|Fig\.?|Table|Tab\.?)\s+\d+\s*(?:[.:(\x{2014}\x{2013}-]|$)') GROUP BY 1, 2, 3""".replace("\\\\", "\\"))
+@query("captions", r"""WITH x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents WHERE length(text) > 0), y AS (SELECT *, regexp_replace(trim(raw), '(?i)^(?:supplementary|suppl?\.?)\s+', '') AS line FROM x),
+    z AS (SELECT *, CASE WHEN regexp_matches(line, '(?i)^(?:Figure|Fig\.?)\s+(?:\d+|[IVXLCDM]+|[A-Z]\.\d+|S\d+)\s*(?:[.:(\x{2014}\x{2013}-]|\*\*|$)') THEN 'figure' WHEN regexp_matches(line, '(?i)^(?:\*\*)?(?:Table|Tab\.?)\s+(?:\d+|[IVXLCDM]+|[A-Z]\.\d+|S\d+)\s*(?:[.:(\x{2014}\x{2013}-]|\*\*|$)') THEN 'table' END AS kind FROM y)
+    SELECT doc_id, line_no::INT AS line_no, kind, nullif(regexp_extract(raw, '(?i)(?:Figure|Fig\.?|Table|Tab\.?)\s+((?:\d+|[IVXLCDM]+|[A-Z]\.\d+|S\d+))', 1), '') AS number, trim(replace(raw, '**', '')) AS caption FROM z WHERE kind IS NOT NULL""".replace("\\\\", "\\"))
 def caption_lines(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return captions.captions(docs, ["doc_id"], "text").groupBy("doc_id", "kind", "number").agg(F.count("*").alias("n"))
+    return captions.captions(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"], "text")
 
 
 @query("normalize_title", "SELECT DISTINCT publication, trim(regexp_replace(regexp_replace(lower(publication), '[&:\\-/]', ' ', 'g'), '[\\s\\x{a0}]+', ' ', 'g')) AS norm FROM library_items WHERE publication IS NOT NULL")
@@ -427,11 +473,11 @@ def references(spark: SparkSession, d: str) -> DataFrame:
     return citations.references(ad.works(spark, d), cites, cites.agg(F.min("src")).first()[0]).select("work_id", "title", "cited_by_count")
 
 
-@query("citing", f"WITH {_CITES}, f AS (SELECT min(dst) AS k FROM cites) SELECT src AS work_id FROM cites, f WHERE dst = k ORDER BY src LIMIT 20")
+@query("citing", f"""WITH {_CITES}, f AS (SELECT min(dst) AS k FROM cites) SELECT src AS work_id, o_orderpriority AS title, o_orderstatus AS authors, year(o_orderdate)::INT AS year FROM cites JOIN orders ON o_orderkey = src, f WHERE dst = k ORDER BY src LIMIT 20""")
 def citing(spark: SparkSession, d: str) -> DataFrame:
     cites = ad.cites(spark, d)
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("work_id"), F.col("o_orderpriority").alias("title"), F.array("o_orderstatus").alias("authors"), F.year("o_orderdate").alias("year"), F.lit("").alias("doi"), F.lit(0).alias("cited_by_count"))
-    return citations.citing(orders, cites, cites.agg(F.min("dst")).first()[0]).select("work_id")
+    return citations.citing(orders, cites, cites.agg(F.min("dst")).first()[0]).select("work_id", "title", "authors", "year")
 
 
 @query("citation_count", """WITH e AS (SELECT DISTINCT -l_orderkey AS src, l_partkey AS dst FROM lineitem) SELECT w AS work_id, sum(i)::BIGINT AS cited_by_count, sum(o)::BIGINT AS reference_count FROM (SELECT dst AS w, 1 AS i, 0 AS o FROM e UNION ALL SELECT src, 0, 1 FROM e) GROUP BY 1""")
