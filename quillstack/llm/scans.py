@@ -31,6 +31,7 @@ EDITS, GRAM = 2, 2
 OFTEN, EVEN = 20, 3  # a rare word is a likely misreading of a word so many times as frequent; of one hardly more frequent it is none
 LEAST_ODD, LEAST_MET, ONE_WAY = 3, 10, 8  # words that teach a confusion, with an impossible character or of letters; times its reverse
 ODD = r"(?:^\(|\p{L}[^\p{L}\-'’./&]+|^[^\p{L}\-'’./&])\p{L}|\p{L}[!|$(]"
+OWN, LEAST_LONG, LEAST_RATIO, VERY_SURE = 8, 6, 30, 0.97  # of confusions never heard of: times of a word of its own, letters of the right word, times its frequency, probability
 COMMON_SHARE = 0.0002  # words above this share of all words are never misreadings (at most 1 / share of them)
 TRAINING_ROWS = 20_000  # documented bound of the labelled rows a classifier is fitted on
 PAGES_PER_BUCKET = 512
@@ -126,17 +127,21 @@ def training_rows(labelled: DataFrame, *keys: str) -> pd.DataFrame:
     return chosen.toPandas().sort_values([*keys, "label"], kind="stable").reset_index(drop=True)
 
 
-ZONE_SHAPE = "page_id {0}, item_key string, page_num int, line_no int, place int, foot boolean, key string, value int, beside boolean, blank boolean, ends boolean, upper double, length double"
+ZONE_SHAPE = "page_id {0}, item_key string, page_num int, line_no int, place int, foot boolean, key string, value int, beside boolean, blank boolean, ends boolean, upper double, length double, word string, n long"
 
 
-def zone_lines(pages: DataFrame) -> DataFrame:
-    """The first and last ZONE non-blank lines of each page with what tells furniture from text."""
+def read_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the first and last ZONE non-blank lines of each page with what tells furniture from text; word -> n over all pages), in one pass.
+
+    Each task counts its words before they are shuffled.
+    """
 
     def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            rows = []
+            rows, counts = [], Counter()
             for pid, key, num, text in zip(pdf["page_id"], pdf["item_key"], pdf["page_num"], pdf["markdown"]):
                 lines = text.split("\n")
+                counts.update(word for _, _, word in line_words(lines))
                 full = [i for i, line in enumerate(lines) if line.strip() and len(line) <= LONGEST_LINE]
                 if not full:
                     continue
@@ -155,21 +160,24 @@ def zone_lines(pages: DataFrame) -> DataFrame:
                         any(numeric.match(lines[j].strip()) is not None for j in near), all(abs(full[j] - i) > 1 for j in (rank - 1, rank + 1) if 0 <= j < len(full)),
                         line[-1] in ".;,:!?" and not line.endswith("al."), sum(ch.isupper() for ch in letters) / max(1, len(letters)), len(line) / max(1, width),
                     ))
-            yield pd.DataFrame(rows, columns=["page_id", "item_key", "page_num", "line_no", "place", "foot", "key", "value", "beside", "blank", "ends", "upper", "length"]).astype({"value": "Int32"})
+            zone = pd.DataFrame(rows, columns=["page_id", "item_key", "page_num", "line_no", "place", "foot", "key", "value", "beside", "blank", "ends", "upper", "length"])
+            yield pd.concat([zone.astype(object), pd.DataFrame({"word": list(counts), "n": list(counts.values())}, dtype=object)], ignore_index=True).astype({c: "Int64" for c in ("page_num", "line_no", "place", "value", "n")} | {c: "boolean" for c in ("foot", "beside", "blank", "ends")} | {c: "Float64" for c in ("upper", "length")})[names]
 
-    return pages.select("page_id", "item_key", "page_num", "markdown").mapInPandas(batches, ZONE_SHAPE.format(pages.schema["page_id"].dataType.simpleString()))
+    shape = ZONE_SHAPE.format(pages.schema["page_id"].dataType.simpleString())
+    names = [c.split()[0] for c in shape.split(", ")]
+    both = written(pages.select("page_id", "item_key", "page_num", "markdown").mapInPandas(batches, shape), "read")
+    return both.where("word is null").drop("word", "n"), both.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 SHAPE = ("place", "foot", "blank", "ends", "upper", "length", "repeats", "share")
 
 
-def furniture(pages: DataFrame) -> DataFrame:
+def furniture(pages: DataFrame, zone: DataFrame) -> DataFrame:
     """(page_id, item_key, page_num, line_no, kind): running_header and page_number lines.
 
     A head or foot recurs on at least two pages of the paper. The classifier over the line and its surroundings is
     fitted on the clearest cases of the corpus (recurring on most pages against text that never recurs).
     """
-    zone = written(zone_lines(pages), "zone")
     sizes = pages.groupBy("item_key").agg(F.count("*").alias("pages"))
     again = zone.where("key <> ''").groupBy("item_key", "key", "foot").agg(F.count_distinct("page_id").alias("repeats"))
     heads = zone.where("key <> ''").join(again, ["item_key", "key", "foot"]).join(sizes, "item_key").withColumn("share", F.col("repeats") / F.col("pages"))
@@ -203,19 +211,6 @@ def furniture(pages: DataFrame) -> DataFrame:
     return recurring.unionByName(best.select("page_id", "item_key", "page_num", "line_no", F.lit("page_number").alias("kind")))
 
 
-def word_counts(pages: DataFrame) -> DataFrame:
-    """word -> n over all pages, each task counting before the shuffle."""
-
-    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            counts: Counter = Counter()
-            for text in pdf["markdown"]:
-                counts.update(word for _, _, word in line_words(text.split("\n")))
-            yield pd.DataFrame({"word": list(counts), "n": list(counts.values())}).astype({"word": str, "n": "int64"})
-
-    return pages.select("markdown").mapInPandas(batches, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
 BODY_SHAPE = "page_id {0}, item_key string, page_num int, line_no int, what string, word string, hyphen string, rest string, rest_line int"
 
 
@@ -269,14 +264,19 @@ def misreadings(rare: DataFrame, counts: DataFrame) -> DataFrame:
     Of a word's bigrams, EDITS x GRAM + 1 of the rarest are looked up: as so many edits destroy one fewer, a word
     within EDITS edits shares at least one of them.
     """
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) + 1), lambda i: F.substring(F.concat(F.lit("^"), c, F.lit("$")), i, F.lit(GRAM))))
+    padded = lambda c: F.concat(F.lit("^"), c, F.lit("$"))
+    grams = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) + 1), lambda i: F.struct(i.alias("place"), F.substring(padded(c), i, F.lit(GRAM)).alias("gram")))
     known = written(counts.where((F.col("n") >= 2) & ~F.col("word").rlike(r"[^\p{L}\-'’]")), "known")
-    postings = written(known.select(F.col("word").alias("right"), "n", F.explode(grams(F.col("word"))).alias("gram")), "postings")
+    postings = known.select(F.col("word").alias("right"), "n", F.length("word").alias("size"), F.explode(grams(F.col("word"))).alias("g")).select("right", "n", "size", "g.gram", F.col("g.place").alias("at"))
+    postings = written(postings, "postings")
     spread = postings.groupBy("gram").agg(F.count("*").alias("df"))
-    asked = rare.select("word", "times", F.explode(grams(F.col("word"))).alias("gram")).join(spread, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    asked = rare.select("word", "times", F.explode(grams(F.col("word"))).alias("g")).select("word", "times", "g.gram", "g.place").join(spread, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    asked = asked.groupBy("word", "times", "gram").agg(F.min("df").alias("df"), F.collect_list("place").alias("places"))
     rank = F.row_number().over(W.partitionBy("word").orderBy("df", "gram"))
-    asked = asked.withColumn("rank", rank).where((F.col("rank") <= EDITS * GRAM + 1) & (F.col("df") > 0)).select("word", "times", "gram")
-    met = asked.join(postings, "gram").where((F.abs(F.length("word") - F.length("right")) <= EDITS) & (F.col("word") != F.col("right")))
+    asked = asked.withColumn("rank", rank).where((F.col("rank") <= EDITS * GRAM + 1) & (F.col("df") > 0)).select("word", "times", "gram", "places")
+    # the length is part of the key, so a common bigram is many keys; a bigram that is left stands near its place
+    asked = asked.withColumn("size", F.explode(F.sequence(F.length("word") - EDITS, F.length("word") + EDITS)))
+    met = asked.join(postings, ["gram", "size"]).where((F.col("word") != F.col("right")) & F.exists("places", lambda x: F.abs(x - F.col("at")) <= EDITS))
     pairs = met.select("word", "times", "right", "n").distinct().withColumn("edits", F.levenshtein("word", "right", EDITS)).where("edits > 0")
     alike = F.greatest(*[(skeleton_column(F.col("word"), p) == skeleton_column(F.col("right"), p)).cast("int") for p in (PAIRS, PAIRS_TURNED)])
     # a sign or digit between letters or before them can't be part of a word
@@ -287,7 +287,8 @@ def misreadings(rare: DataFrame, counts: DataFrame) -> DataFrame:
     features = ("times", "ratio", "edits", "alike", "met", "odd", "length")
     table_ = written(pairs.select("word", "right", "n", F.log1p("times").alias("times"), F.log(F.col("n") / F.col("times")).alias("ratio"), "edits", "alike", "met", "odd", F.length("word").alias("length")), "features")
     often, even = F.col("ratio") >= math.log(OFTEN), F.col("ratio") < math.log(EVEN)
-    label = F.when((F.col("alike") == 1) & (F.col("odd") > 0), 1.0).when((F.col("alike") == 0) & (F.col("odd") == 0), 0.0).when((F.col("alike") == 1) & even, 0.0).when((F.col("alike") == 1) & often & (F.col("times") < math.log(4)), 1.0)
+    heard = (F.col("alike") == 1) | (F.col("met") > 0)  # by the table or from the corpus
+    label = F.when(heard & (F.col("odd") > 0), 1.0).when(~heard & (F.col("odd") == 0), 0.0).when(heard & even, 0.0).when(heard & often & (F.col("times") < math.log(4)), 1.0)
     train = training_rows(table_.withColumn("label", label).where("label is not null"), "word", "right")
     trained = train["label"].nunique() == 2
     model = BoostedTrees(rounds=30).fit(train[list(features)].to_numpy(), train["label"].to_numpy())
@@ -300,9 +301,47 @@ def misreadings(rare: DataFrame, counts: DataFrame) -> DataFrame:
     # an impossible character needs no model to tell that the word is misread, only a right word to be read for it
     sure = (F.col("odd") > 0) & ((F.col("alike") == 1) | (F.col("met") > 0))
     rated = table_.withColumn("p", rate(*features)).where(sure | ((F.col("p") >= 0.5) & ((F.col("alike") == 1) | (F.col("met") > 0))))
+    rated = rated.select("word", "right", "n", "alike", "p")
+    odd_ones = pairs.where((F.col("alike") == 0) & (F.col("met") == 0)).join(rated.select("word").distinct(), "word", "left_anti")
+    rated = rated.unionByName(unheard(odd_ones, pairs, known))
     return rated.groupBy("word").agg(F.max_by("right", F.struct("alike", "p", "n", "right")).alias("right"))
 
 
+def unheard(asked: DataFrame, pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """(word, right, n, alike, p): misreadings by a confusion that neither the table nor the corpus knows.
+
+    One edit from one known word only, and met hardly ever. What tells them from words of their own is learned without
+    the table: known words with one letter changed at random, against words of their own (met OWN times or more) beside
+    a more frequent word, as if they had been met once. A name or form differs from its neighbour in ways other words
+    differ too, a misreading in no usual way. Only what the classifier is very sure of counts; a word with an impossible
+    character and LEAST_LONG letters or more needs no classifier.
+    """
+    own = pairs.where((F.col("times") >= OWN) & (F.col("odd") == 0) & (F.col("alike") == 0) & (F.col("met") == 0) & (F.col("edits") == 1))
+    usual = written(own.groupBy("got", "meant").agg(F.count("*").alias("usual")), "usual")
+    shape = lambda df: df.select("*", F.log("n").alias("often"), F.length("right").alias("size"), F.when(F.substring("word", 1, 1) != F.substring("right", 1, 1), 0).when(F.substring("word", -1, 1) != F.substring("right", -1, 1), 2).otherwise(1).alias("where"))
+    place = F.pmod(F.xxhash64("word", F.lit(1)), F.length("word")).cast("int") + 1
+    letter = F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), F.pmod(F.xxhash64("word", F.lit(2)), F.lit(26)).cast("int") + 1, F.lit(1))
+    changed = known.where((F.col("n") >= OWN) & (F.length("word") >= 4)).select(F.col("word").alias("right"), "n", F.concat(F.substring(F.col("word"), F.lit(1), place - 1), letter, F.substring(F.col("word"), place + 1, F.length("word"))).alias("word"), letter.alias("got"), F.substring(F.col("word"), place, F.lit(1)).alias("meant")).where("got <> meant")
+    features = ("often", "size", "where", "usual")
+    with_usual = lambda df, less: df.join(F.broadcast(usual) if is_small(usual) else usual, ["got", "meant"], "left").withColumn("usual", F.log1p(F.greatest(F.coalesce("usual", F.lit(0)) - less, F.lit(0)).cast("double")))
+    rows = lambda df, label: df.select(*[F.col(f).cast("double").alias(f) for f in features], F.lit(label).alias("label"), "word", "right")
+    labelled = rows(with_usual(shape(changed), 0), 1.0).unionByName(rows(with_usual(shape(own), 1), 0.0))
+    train = training_rows(labelled, "word", "right")
+    trained = train["label"].nunique() == 2
+    model = BoostedTrees(rounds=40).fit(train[list(features)].to_numpy(), train["label"].to_numpy())
+
+    @F.pandas_udf("double")
+    def sure(often: pd.Series, size: pd.Series, where: pd.Series, usual: pd.Series) -> pd.Series:
+        x = np.stack([c.astype(float).to_numpy() for c in (often, size, where, usual)], axis=1)
+        return pd.Series(model.probability(x) if trained else np.zeros(len(x)))
+
+    only = W.partitionBy("word")
+    near = asked.withColumn("least", F.min("edits").over(only)).where(F.col("edits") == F.col("least")).withColumn("near", F.count("*").over(only)).where((F.col("near") == 1) & (F.col("edits") == 1) & (F.col("times") < OWN) & (F.col("n") >= OWN))
+    told = with_usual(shape(near), 0).withColumn("p", sure(*features))
+    plain = (F.col("odd") == 0) & (F.col("times") <= 2) & (F.length("got") == 1) & (F.length("meant") == 1) & (F.length("right") >= LEAST_LONG) & (F.col("n") >= LEAST_RATIO * F.col("times")) & (F.col("p") >= VERY_SURE)
+    return told.where(plain | ((F.col("odd") > 0) & (F.length("right") >= LEAST_LONG))).select("word", "right", "n", "alike", "p")
+
+
 def differing(pairs: DataFrame) -> DataFrame:
     """``pairs`` with what was read (``got``) and what was meant (``meant``): the words without their common beginning and end."""
 
@@ -381,8 +420,9 @@ def noise(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     Of a misread word there is every (page_id, line_no, word, right); of a divided one also the half, and the line and
     page it goes on in.
     """
-    marks = written(furniture(pages), "furniture")
-    counts = written(word_counts(pages), "counts")
+    zone, counts = read_pages(pages)
+    marks = written(furniture(pages, zone), "furniture")
+    counts = written(counts, "counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
     common = {r["word"] for r in counts.where(F.col("n") > COMMON_SHARE * total + 5).select("word").collect()}  # at most 1 / COMMON_SHARE words
     body = written(body_words(pages, marks, common), "body")

@@ -83,3 +83,33 @@ def test_clean_pages_stay(noise):
 
 def test_empty(spark):
     assert scans.found_noise(spark.createDataFrame([], PAGE)).count() == 0
+
+
+def test_confusions_no_table_knows(spark):
+    """Words of the test pages misread by a confusion that is in no table, once each: found and read right; nothing else changes."""
+    import re
+    from collections import Counter
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/page_extractions.parquet").where("page_id is not null and length(markdown) > 0").dropDuplicates(["page_id"])
+    rows = sorted(pages.select("page_id", "item_key", "page_num", "markdown").collect())
+    counts = Counter(w for r in rows for _, _, w in scans.line_words(r["markdown"].split("\n")))
+    left = sorted(w for w, n in counts.items() if n >= 40 and len(w) >= 7 and w.isalpha() and w.isascii())[::6]
+    swap = {"a": "x", "e": "k", "o": "x", "r": "p", "t": "j", "n": "b"}
+    planted, changed = {}, []
+    for r in rows:
+        text = r["markdown"]
+        for w in left:
+            at = next((i for i in range(1, len(w) - 1) if w[i] in swap), None)
+            m = re.search(rf"(?<![\w-]){w}(?![\w-])", text)
+            if m and at is not None and (wrong := w[:at] + swap[w[at]] + w[at + 1 :]) not in counts:
+                left.remove(w)
+                planted[r["page_id"], wrong] = w
+                text = text[: m.start()] + wrong + text[m.end() :]
+                break
+        changed.append((r["page_id"], r["item_key"], r["page_num"], text))
+    find = lambda df: {(r["page_id"], r["wrong"], r["right"]) for r in scans.noisy_lines(df).where("kind = 'misread'").collect()}
+    before = find(pages)
+    after = find(spark.createDataFrame(changed, "page_id long, item_key string, page_num int, markdown string"))
+    hit = {(p, wrong, right) for (p, wrong), right in planted.items()} & after
+    assert len(planted) >= 10 and len(hit) >= 0.9 * len(planted)
+    assert len((after - hit) ^ before) <= 0.02 * len(before)
