@@ -1,7 +1,7 @@
 """Mixing sources to target weights.
 
 Tokens of each source are packed into fixed-length blocks. The slots of every output shard get their numbers of
-blocks per source from multinomial draws conditioned on each source's quota; a slot's place in its source goes
+blocks per source from multinomial draws conditioned on each source's quota, made down a tree of ranges of shards; a slot's place in its source goes
 through a pseudorandom permutation of the block numbers, one per repetition, and slots and blocks are joined by number.
 Nothing but counts per source is known to the driver, so a source may be of any size.
 """
@@ -50,19 +50,66 @@ def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
+def taken(good: int, bad: int, n: int, rng: np.random.Generator) -> int:
+    """How many of ``n`` drawn without replacement from ``good`` and ``bad`` are good (hypergeometric), for numbers of any size.
+
+    Few draws are made one by one; many by the ratio-of-uniforms method of Stadlober (1989), in constant time.
+    """
+    whole = good + bad
+    few = min(n, whole - n)  # drawing the others is the same
+    if few <= 10:
+        left, got = good, 0
+        for i in range(few):
+            hit = rng.random() * (whole - i) < left
+            got, left = got + hit, left - hit
+        return int(got if few == n else good - got)
+    small, large = min(good, bad), max(good, bad)
+    log = math.lgamma
+    share = small / whole
+    centre, width = few * share + 0.5, math.sqrt((whole - few) * few * share * (1 - share) / (whole - 1) + 0.5)
+    spread = 2 * math.sqrt(2 / math.e) * width + 3 - 2 * math.sqrt(3 / math.e)
+    mode = math.floor((few + 1) * (small + 1) / (whole + 2))
+    weight = lambda k: log(k + 1) + log(small - k + 1) + log(few - k + 1) + log(large - few + k + 1)
+    top, most = weight(mode), min(min(few, small) + 1, math.floor(centre + 16 * width))
+    while True:
+        u, v = rng.random(), rng.random()
+        x = centre + spread * (v - 0.5) / u if u else -1.0
+        if 0 <= x < most and 2 * math.log(u) <= top - weight(math.floor(x)):
+            k = math.floor(x)
+            break
+    if good > bad:
+        k = few - k
+    return int(k if few == n else good - k)
+
+
 def drawn(rest: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
     """How many of ``n`` slots go to each source: a multinomial draw conditioned on the ``rest`` each still has to give."""
     out = np.zeros_like(rest)
+    whole = int(rest.sum())
     for s in range(len(rest)):
-        good, bad = int(rest[s]), int(rest[s + 1 :].sum())
-        if good + bad < 10**9:
-            k = int(rng.hypergeometric(good, bad, n)) if n and good else 0
-        else:
-            k = min(max(int(rng.binomial(n, good / (good + bad))), n - bad), good)
-        out[s], n = k, n - k
+        good = int(rest[s])
+        k = taken(good, whole - good, n, rng) if n and good else 0
+        out[s], n, whole = k, n - k, whole - good
     return out
 
 
+def group_counts(quota: np.ndarray, group: int, groups: int, group_slots: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(slots of each source in a group, slots of each source in the groups before it).
+
+    The slots of a range of groups are divided between its halves by one draw, seeded by the range, down to the single
+    group: every task finds its own counts from the quotas alone, and all agree.
+    """
+    here, before, low, high = quota.copy(), np.zeros_like(quota), 0, groups
+    while high - low > 1:
+        middle = (low + high) // 2
+        left = drawn(here, (middle - low) * group_slots, np.random.default_rng((seed, 1, low, high)))
+        if group < middle:
+            here, high = left, middle
+        else:
+            here, before, low = here - left, before + left, middle
+    return here, before
+
+
 def packed(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(source, block, n_tokens, parts) from (doc_id, source, n_tokens): each source's documents end to end, cut every ``block_tokens``.
 
@@ -120,17 +167,14 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     shape = "shard bigint, slot int, source string, repetition int, block bigint"
     if not slots:
         return spark.createDataFrame([], shape + ", n_tokens bigint, parts array<struct<doc_id:bigint,token_from:bigint,token_to:bigint>>")
-    names, blocks, rest = [p[0] for p in plan], [p[1] for p in plan], np.array([p[2] for p in plan], dtype=np.int64)
-    groups, given = [], np.zeros_like(rest)
-    for g, first in enumerate(range(0, slots, shard_slots * GROUP_SHARDS)):
-        got = drawn(rest, min(shard_slots * GROUP_SHARDS, slots - first), np.random.default_rng((seed, 1, g)))
-        groups.append((g, got.tolist(), given.tolist()))
-        rest, given = rest - got, given + got
+    names, blocks, quota = [p[0] for p in plan], [p[1] for p in plan], np.array([p[2] for p in plan], dtype=np.int64)
+    group_slots = shard_slots * GROUP_SHARDS
+    groups = math.ceil(slots / group_slots)
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for g, got, at in zip(batch["g"], batch["got"], batch["at"]):
-                left, at = np.array(got, dtype=np.int64), np.array(at, dtype=np.int64)
+            for g in batch["id"]:
+                left, at = group_counts(quota, int(g), groups, group_slots, seed)
                 shard = int(g) * GROUP_SHARDS
                 while left.sum():
                     rng = np.random.default_rng((seed, 2, shard))
@@ -147,9 +191,9 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
                     yield pd.DataFrame({"shard": shard, "slot": np.arange(len(who)), "source": [names[s] for s in who], "repetition": repetition, "block": block})
                     left, at, shard = left - n, at + n, shard + 1
 
-    plan_rows = spark.createDataFrame(groups, "g bigint, got array<bigint>, at array<bigint>").repartition(min(len(groups), 10_000))
-    placed = plan_rows.mapInPandas(fill, shape)
-    return placed.join(packed(sized, block_tokens), ["source", "block"]).select("shard", "slot", "source", "repetition", "block", "n_tokens", "parts")
+    placed = spark.range(0, groups, 1, min(groups, 10_000)).mapInPandas(fill, shape)
+    # both sides grow with the corpus, so neither is broadcast
+    return placed.join(packed(sized, block_tokens).hint("merge"), ["source", "block"]).select("shard", "slot", "source", "repetition", "block", "n_tokens", "parts")
 
 
 def tokens_of(mixed: DataFrame, documents: DataFrame, folder: str = bpe.TOKENIZERS, name: str = bpe.VOCABULARY) -> DataFrame:
@@ -161,15 +205,15 @@ def tokens_of(mixed: DataFrame, documents: DataFrame, folder: str = bpe.TOKENIZE
     parts = used.select("source", "block", F.posexplode("parts").alias("n", "p")).select("source", "block", "n", "p.*")
     needed = documents.join(parts.select("doc_id").distinct(), "doc_id", "left_semi")
     encoded = bpe.encode_texts(needed, "text", ("doc_id",), folder, name)
-    cut = parts.join(encoded, "doc_id").select("source", "block", "n", F.slice("ids", F.col("token_from").cast("int") + 1, (F.col("token_to") - F.col("token_from")).cast("int")).alias("ids"))
+    cut = parts.join(encoded.hint("merge"), "doc_id").select("source", "block", "n", F.slice("ids", F.col("token_from").cast("int") + 1, (F.col("token_to") - F.col("token_from")).cast("int")).alias("ids"))
     whole = cut.groupBy("source", "block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return mixed.select("shard", "slot", "source", "block").join(whole, ["source", "block"]).select("shard", "slot", "ids")
+    return mixed.select("shard", "slot", "source", "block").join(whole.hint("merge"), ["source", "block"]).select("shard", "slot", "ids")
 
 
 def mixed_corpus(documents: DataFrame, targets: DataFrame, **options) -> DataFrame:
     """The mixed corpus itself: the slots of ``mix`` with the token ids of each."""
     mixed = written(mix(documents, targets, **options), "mix")
-    return mixed.join(tokens_of(mixed, documents), ["shard", "slot"]).select("shard", "slot", "source", "repetition", "block", "n_tokens", "ids")
+    return mixed.join(tokens_of(mixed, documents).hint("merge"), ["shard", "slot"]).select("shard", "slot", "source", "repetition", "block", "n_tokens", "ids")
 
 
 def used_shares(mixed: DataFrame, documents: DataFrame, targets: DataFrame, folder: str = bpe.TOKENIZERS, name: str = bpe.VOCABULARY) -> DataFrame:

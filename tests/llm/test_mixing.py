@@ -69,3 +69,22 @@ def test_empty_documents(spark):
     assert mixing.mix(docs(spark, [("big", 1, 5)]).limit(0), t).count() == 0
     m = mixing.mix(docs(spark, [("big", 3, 40)]), t, block_tokens=16).collect()
     assert sum(r["n_tokens"] for r in m) == 3 * len(bpe.encoder().encode(("word " * 40)[:-1]))
+
+
+def test_draws_of_any_size():
+    rng = np.random.default_rng(1)
+    for good, bad, n in ((3, 4, 5), (50, 60, 8), (5000, 7000, 3000), (7000, 5000, 11000), (10**12, 3 * 10**12, 10**9), (10**13, 17, 10**12), (0, 9, 4), (9, 0, 4)):
+        xs = np.array([mixing.taken(good, bad, n, rng) for _ in range(400)], dtype=float)
+        whole = good + bad
+        mean, var = n * good / whole, n * (good / whole) * (bad / whole) * (whole - n) / max(whole - 1, 1)
+        assert xs.min() >= max(0, n - bad) and xs.max() <= min(n, good)
+        assert abs(xs.mean() - mean) <= 5 * (var / 400) ** 0.5 + 1e-9 * mean and (var == 0 or 0.7 < xs.var() / var < 1.4 or var < 2)
+
+
+def test_groups_share_out_the_quotas():
+    quota = np.array([0, 5, 1000, 70_000, 3], dtype=np.int64)
+    size, groups = 4096, -(-int(quota.sum()) // 4096)
+    found = [mixing.group_counts(quota, g, groups, size, 7) for g in range(groups)]
+    assert (sum(here for here, _ in found) == quota).all()
+    for g, (here, before) in enumerate(found):
+        assert here.sum() == min(size, quota.sum() - g * size) and (before == sum([h for h, _ in found[:g]], np.zeros(5, np.int64))).all()
