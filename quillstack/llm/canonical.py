@@ -56,9 +56,12 @@ def readings(c: Column) -> Column:
     return F.array_distinct(F.filter(F.array(c, base, *cuts, *turned), lambda x: x.isNotNull() & (x != "")))
 
 
+MOST_EDITS = 5
+
+
 def allowed(length: Column) -> Column:
     """Edits a form of this length may have."""
-    return F.when(length >= 24, 5).when(length >= 14, 4).when(length >= 10, 3).when(length >= 8, 2).when(length >= 5, 1).otherwise(0)
+    return F.when(length >= 24, MOST_EDITS).when(length >= 14, 4).when(length >= 10, 3).when(length >= 8, 2).when(length >= 5, 1).otherwise(0)
 
 
 def squeezed_forms(name: Column, ws: Column) -> Column:
@@ -70,18 +73,22 @@ def squeezed_forms(name: Column, ws: Column) -> Column:
 def pigeonhole(typed: DataFrame, reference: DataFrame) -> DataFrame:
     """Pairs within the allowed edits. typed: id, kind, form; reference: title, kind, form. Returns id, title, distance (least over the forms)."""
     ref = reference.withColumn("len", F.length("form")).withColumn("k", allowed(F.col("len")))
-    seg = F.transform(F.sequence(F.lit(0), F.col("k")), lambda i: F.struct(i.alias("i"), F.floor(i * F.col("len") / (F.col("k") + 1)).cast("int").alias("at"), (F.floor((i + 1) * F.col("len") / (F.col("k") + 1)) - F.floor(i * F.col("len") / (F.col("k") + 1))).cast("int").alias("size")))
-    ref = ref.withColumn("s", F.explode(seg)).where("s.size > 0")
-    postings = ref.select("title", "kind", F.col("form").alias("ref_form"), "k", "len", F.col("s.i").alias("i"), F.substring(F.col("form"), F.col("s.at") + 1, F.col("s.size")).alias("part"))
-    shapes = small_side(ref.select("len", "k", F.col("s.i").alias("i"), F.col("s.at").alias("at"), F.col("s.size").alias("size")).distinct().withColumn("typed_len", F.explode(F.sequence(F.col("len") - F.col("k"), F.col("len") + F.col("k")))))
-    asked = typed.withColumn("typed_len", F.length("form")).join(shapes, "typed_len")
+    segment = lambda i: (F.floor(i * F.col("len") / (F.col("k") + 1)).cast("int").alias("at"), (F.floor((i + 1) * F.col("len") / (F.col("k") + 1)) - F.floor(i * F.col("len") / (F.col("k") + 1))).cast("int").alias("size"))
+    cut = lambda df: df.withColumn("s", F.explode(F.transform(F.sequence(F.lit(0), F.col("k")), lambda i: F.struct(i.alias("i"), *segment(i))))).where("s.size > 0")
+    postings = cut(ref).select("title", "kind", F.col("form").alias("ref_form"), "k", "len", F.col("s.i").alias("i"), F.substring(F.col("form"), F.col("s.at") + 1, F.col("s.size")).alias("part"))
+    postings = written(postings, "postings")
+    # where segments lie follows from the length alone, so the typed side works them out itself for the lengths there are
+    lengths = sorted(r["len"] for r in postings.select("len").distinct().collect())  # no more than the longest title has characters
+    asked = typed.withColumn("typed_len", F.length("form")).withColumn("len", F.explode(F.sequence(F.col("typed_len") - MOST_EDITS, F.col("typed_len") + MOST_EDITS))).where(F.col("len").isin(*lengths) if lengths else F.lit(False))
+    asked = asked.withColumn("k", allowed(F.col("len"))).where(F.abs(F.col("typed_len") - F.col("len")) <= F.col("k"))
+    asked = cut(asked).select("id", "kind", "form", "typed_len", "len", "k", "s.i", "s.at", "s.size")
     shift = F.col("typed_len") - F.col("len")
     low = F.greatest(F.lit(0), F.col("at") - F.col("i"), F.col("at") + shift - (F.col("k") - F.col("i")))
     high = F.least(F.col("typed_len") - F.col("size"), F.col("at") + F.col("i"), F.col("at") + shift + (F.col("k") - F.col("i")))
     asked = asked.where(low <= high).withColumn("from", F.explode(F.sequence(low, high)))
     asked = asked.select("id", "kind", "form", "len", "i", F.substring(F.col("form"), F.col("from") + 1, F.col("size")).alias("part"))
     met = asked.join(small_side(postings), ["kind", "len", "i", "part"]).select("id", "title", "form", "ref_form", "k").distinct()
-    met = met.withColumn("distance", F.levenshtein("form", "ref_form", 5)).where((F.col("distance") >= 0) & (F.col("distance") <= F.col("k")))
+    met = met.withColumn("distance", F.levenshtein("form", "ref_form", MOST_EDITS)).where((F.col("distance") >= 0) & (F.col("distance") <= F.col("k")))
     return met.groupBy("id", "title").agg(F.min("distance").alias("distance"))
 
 
@@ -131,7 +138,7 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
     short = rest.select("id", content(F.col("words")).alias("tw")).withColumn("n", F.size("tw")).where(F.col("n") >= 2)
     full = titles.select("title", content(F.col("words")).alias("rw")).withColumn("n", F.size("rw"))
     prefixes = full.select("title", "n", F.posexplode("rw").alias("i", "w")).withColumn("part", F.explode(F.transform(F.sequence(F.lit(1), F.length("w")), lambda z: F.substring(F.col("w"), F.lit(1), z)))).select("title", "n", "i", "part")
-    hits = short.select("id", "n", F.posexplode("tw").alias("i", "part")).join(small_side(prefixes, 100_000), ["n", "i", "part"])
+    hits = short.select("id", "n", F.posexplode("tw").alias("i", "part")).join(small_side(written(prefixes, "prefixes"), 100_000), ["n", "i", "part"])
     slack = F.when(F.col("n") >= 5, 2).otherwise(1)
     some = hits.groupBy("id", "title", "n").agg(F.count("*").alias("same")).where(F.col("same") >= F.col("n") - slack)
     some = some.join(short.select("id", "tw"), "id").join(small_side(full.select("title", "rw")), "title")
