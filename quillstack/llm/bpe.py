@@ -9,6 +9,7 @@ result is exact, in time linear in the text. Decoding gathers bytes from one blo
 from __future__ import annotations
 
 import base64
+import os
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -17,6 +18,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -157,8 +159,17 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 @lru_cache(maxsize=2)
 def encoder(folder: str = TOKENIZERS, name: str = VOCABULARY) -> Encoder:
-    """One encoder per worker process."""
-    return Encoder(read_ranks(f"{folder}/{name}.tiktoken"))
+    """One encoder per worker process, from the folder or, where an executor doesn't have it, from the file the driver sent."""
+    path = f"{folder}/{name}.tiktoken"
+    return Encoder(read_ranks(path if os.path.exists(path) else SparkFiles.get(f"{name}.tiktoken")))
+
+
+def sent(docs: DataFrame, folder: str, name: str) -> DataFrame:
+    """``docs``, with the vocabulary on its way to executors on other machines."""
+    sc = docs.sparkSession.sparkContext
+    if not sc.master.startswith("local") and os.path.exists(f"{folder}/{name}.tiktoken"):
+        sc.addFile(f"{folder}/{name}.tiktoken")
+    return docs
 
 
 def encode_texts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), folder: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
@@ -180,7 +191,7 @@ def encode_texts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
             ids = pa.ListArray.from_arrays(pa.array(np.array(ends, dtype=np.int32)), pa.array(np.frombuffer(flat, dtype=np.int32) if flat else np.empty(0, np.int32)))
             yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(keep))], ids], names=[*keep, "ids"])
 
-    chosen = docs.select(*keep, F.col(text).alias("_text"))
+    chosen = sent(docs, folder, name).select(*keep, F.col(text).alias("_text"))
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     return chosen.mapInArrow(batches, f"{shape}, ids array<int>")
 
@@ -194,7 +205,7 @@ def count_tokens(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
             sizes = [len(encode(v)) if (v := value.as_py()) else 0 for value in part.column(part.schema.get_field_index("_text"))]
             yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(keep))], pa.array(sizes, pa.int64())], names=[*keep, "n_tokens"])
 
-    chosen = docs.select(*keep, F.col(text).alias("_text"))
+    chosen = sent(docs, folder, name).select(*keep, F.col(text).alias("_text"))
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     return chosen.mapInArrow(batches, f"{shape}, n_tokens bigint")
 
@@ -209,4 +220,4 @@ def decode_texts(encoded: DataFrame, keep: tuple[str, ...] = ("doc_id",), folder
             yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(keep))], pa.array(texts, pa.string())], names=[*keep, "text"])
 
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*keep).schema)
-    return encoded.select(*keep, "ids").mapInArrow(batches, f"{shape}, text string")
+    return sent(encoded, folder, name).select(*keep, "ids").mapInArrow(batches, f"{shape}, text string")

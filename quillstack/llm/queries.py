@@ -40,6 +40,11 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_texts(table(spark, d, "documents"))
 
 
+def p8_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The ids of every document decoded again."""
+    return bpe.decode_texts(p8_ids(spark, d))
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixed_corpus(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
@@ -57,7 +62,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return subjects.document_subjects(table(spark, d, "documents"), table(spark, d, "subject_areas"), table(spark, d, "subject_examples"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_text": p3_text, "p5_found": p5_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shares": p10_shares}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_text": p3_text, "p5_found": p5_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p8_texts": p8_texts, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shares": p10_shares}
 
 SQL = {
     "p7_found": r"""
@@ -66,6 +71,7 @@ SQL = {
         FROM document_extractions JOIN chunk_config USING (config_id)
         WHERE length(full_markdown) > 4 * chunk_size
     """,
+    "p8_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     # the cuts one after another, each the furthest of the strongest kind of boundary within reach
     "p7_pieces": r"""
         WITH RECURSIVE docs AS (
