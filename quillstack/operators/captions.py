@@ -35,6 +35,54 @@ def captions(pages: DataFrame, keys: list[str], text: str = "markdown") -> DataF
     return found.select(*keys, (F.col("n") + 1).alias("line_no"), "kind", caption_number(F.col("line")).alias("number"), F.trim(F.regexp_replace("line", r"\*\*", "")).alias("caption"))
 
 
+SCANNED_LINES = 5  # lines of a block, from its first, that may open its caption
+BOLD_FONT = r"(?i)bold|\.B$|-B$|heavy|black"
+
+
+def _spans(lines: Column) -> Column:
+    """The spans with text of some lines, one after another."""
+    return F.filter(F.flatten(F.transform(lines, lambda line: line["spans"])), lambda s: F.trim(s["text"]) != "")
+
+
+def _set_apart(lines: Column) -> Column:
+    """Whether lines look like a caption: the first two spans differ in font, or most letters are bold."""
+    spans = _spans(lines)
+    size = lambda xs: F.aggregate(xs, F.lit(0), lambda n, s: n + F.length(F.trim(s["text"])))
+    bold = F.filter(spans, lambda s: F.coalesce(s["bold"], F.lit(False)) | F.coalesce(s["font"].rlike(BOLD_FONT), F.lit(False)))
+    change = F.coalesce(F.get(spans, F.lit(0))["font"] != F.get(spans, F.lit(1))["font"], F.lit(False))
+    return change | ((size(spans) > 0) & (size(bold) > size(spans) * 0.5))
+
+
+def block_captions(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, block, kind, number, caption, y, x0, y0, x1, y1) of the captions among the text blocks of pages, from top to bottom.
+
+    blocks: keys, block, x0..y1, lines (array of struct(spans: array of struct(text, font, bold))). A block is a caption
+    if it opens with a label and number followed by a delimiter or nothing, or by words where the style sets the label
+    apart: another font, its own line, or bold. Text may run into a caption's block from above, so the first SCANNED_LINES
+    lines are tried one after another; the caption begins at the line found. Figures come before tables.
+    """
+    text = lambda lines: F.trim(F.array_join(F.transform(lines, lambda line: F.array_join(F.transform(line["spans"], lambda s: s["text"]), "")), " "))
+    label = {"figure": FIGURE, "table": TABLE}
+    strict = lambda t, kind: F.regexp_replace(t, SUPPLEMENT, "").rlike(rf"(?i)^{label[kind]}\s+{NUMBER}\s*[.:(—–-]")
+    bare = lambda t, kind: F.regexp_replace(t, SUPPLEMENT, "").rlike(rf"(?i)^{label[kind]}\s+{NUMBER}\s*$")
+    loose = lambda t, kind: F.regexp_replace(t, SUPPLEMENT, "").rlike(rf"(?i)^{label[kind]}\s+{NUMBER}\s+\S")
+    rows = blocks.where(F.size("lines") > 0).withColumn("_texts", F.transform("lines", lambda line: F.trim(F.array_join(F.transform(line["spans"], lambda s: s["text"]), ""))))
+    rows = rows.withColumn("_whole", text(F.col("lines"))).where("_whole <> ''")
+
+    def opening(kind: str) -> Column:
+        """Index of the line that opens a caption of this kind, null if none does."""
+        own_line = (F.size("lines") > 1) & bare(F.get("_texts", F.lit(0)), kind)
+        first = strict(F.col("_whole"), kind) | bare(F.col("_whole"), kind) | (loose(F.col("_whole"), kind) & (_set_apart(F.col("lines")) | own_line))
+        fits = lambda i: strict(F.get("_texts", i), kind) | bare(F.get("_texts", i), kind) | (loose(F.get("_texts", i), kind) & _set_apart(F.slice("lines", i + 1, F.size("lines"))))
+        later = F.filter(F.sequence(F.lit(1), F.lit(SCANNED_LINES - 1)), lambda i: (i < F.size("lines")) & F.coalesce(fits(i), F.lit(False)))
+        return F.when(first, 0).otherwise(F.get(later, F.lit(0)))
+
+    rows = rows.withColumn("_f", opening("figure")).withColumn("_t", opening("table")).where("_f is not null or _t is not null")
+    at = F.coalesce("_f", "_t")
+    rows = rows.withColumn("caption", text(F.slice("lines", at + 1, F.size("lines")))).withColumn("kind", F.when(F.col("_f").isNotNull(), "figure").otherwise("table"))
+    return rows.select(*keys, "block", "kind", caption_number(F.col("caption")).alias("number"), "caption", ((F.col("y0") + F.col("y1")) / 2).alias("y"), "x0", "y0", "x1", "y1").orderBy(*keys, "y", "block")
+
+
 def _order(number: str | None) -> tuple:
     return (0, int(number), "") if number and number.isdigit() else (1, 0, number or "")
 

@@ -164,3 +164,27 @@ def test_embed_and_extract(spark):
     files = spark.createDataFrame([("x", bytearray(b"ok")), ("y", bytearray(b"bad"))], "path string, content binary")
     rows = {r["path"]: (r["status"], r["reason"]) for r in indexing.extract(files, reader, "path string, page_num double, status string, reason string").collect()}
     assert rows == {"x": ("ok", None), "y": ("failed", "broken")}
+
+
+def test_block_captions(spark):
+    line = lambda *spans: {"spans": [{"text": t, "font": f, "bold": b} for t, f, b in spans]}
+    n = ("Times", False)
+    blocks = [
+        [line(("Figure 1. A curve", *n)), line(("with a tail", *n))],
+        [line(("Figure 2 shows that", *n)), line(("nothing is known", *n))],  # a sentence, no caption
+        [line(("Figure 2", "Times-Bold", True), (" A bold label", *n))],
+        [line(("Table 3", *n)), line(("Numbers of cases", *n))],  # the label on its own line
+        [line(("axis label 0 10 20", *n)), line(("Fig. S1: Hidden below", *n)), line(("more", *n))],
+        [line((f"text {i}", *n)) for i in range(6)] + [line(("Table 9. Too far down", *n))],
+        [line(("Supplementary Table A.1 (all)", *n))],
+        [line(("Table IV on its own", "X", True))],
+        [line(("  ", *n))],
+        [],
+    ]
+    rows = [("d", i, 0.0, float(100 - i), 10.0, float(101 - i), b) for i, b in enumerate(blocks)]
+    df = spark.createDataFrame(rows, "k string, block int, x0 double, y0 double, x1 double, y1 double, lines array<struct<spans:array<struct<text:string,font:string,bold:boolean>>>>")
+    got = [(r["block"], r["kind"], r["number"], r["caption"]) for r in captions.block_captions(df, ["k"]).collect()]
+    assert got == [
+        (7, "table", "IV", "Table IV on its own"), (6, "table", "A.1", "Supplementary Table A.1 (all)"), (4, "figure", "S1", "Fig. S1: Hidden below more"),
+        (3, "table", "3", "Table 3 Numbers of cases"), (2, "figure", "2", "Figure 2 A bold label"), (0, "figure", "1", "Figure 1. A curve with a tail"),
+    ]
