@@ -13,6 +13,7 @@ from quillstack.config import Settings
 from quillstack.functions.html import html_table
 from quillstack.operators import captions, geometry, indexing, layout, library_index, tables, vision
 from quillstack.plans import adapters as ad
+from quillstack.plans import reference
 from quillstack.runtime import shared_dir, table
 from quillstack.sources.index_store import IndexStore
 from quillstack.streaming import intake
@@ -61,14 +62,17 @@ def index_library_again(spark: SparkSession, d: str) -> DataFrame:
     return indexer.run(papers.withColumn("hash", F.when(F.col("item_key") < "H", F.concat("hash", F.lit("+"))).otherwise(F.col("hash"))), pages).results.select("item_key", "status")
 
 
-@query("index_build")
+@query("index_build", f"""{reference.CHUNKS_SQL}, {reference.TABLES_SQL}, ok AS (SELECT DISTINCT item_key FROM document_extractions WHERE full_markdown IS NOT NULL), {reference.ARTIFACTS_SQL}
+    SELECT format('{{}}_chunk_{{:04d}}', item_key, chunk_index) AS chunk_id, 'text' AS chunk_type, item_key AS doc_id FROM pieces
+    UNION ALL SELECT format('{{}}_table_{{:04d}}_{{:02d}}', item_key, page_num, table_index), 'table', item_key FROM kinds WHERE artifact_type IS NULL AND item_key IN (SELECT item_key FROM ok)
+    UNION ALL SELECT format('{{}}_fig_{{:03d}}_{{:02d}}', item_key, page_num, n), 'figure', item_key FROM (SELECT item_key, page_num, unnest(range(0, images_on_page)) AS n FROM (SELECT DISTINCT page_id, item_key, page_num, images_on_page FROM page_extractions WHERE page_id IS NOT NULL)) WHERE item_key IN (SELECT item_key FROM ok)""")
 def index_build(spark: SparkSession, d: str) -> DataFrame:
-    """Index rows of all documents."""
+    """Ids of the index rows of all documents: passages, real tables, figures."""
     meta = ad.library(spark, d).withColumnRenamed("title", "doc_title").drop("pdf_path")
     grades = table(spark, d, "document_extractions").groupBy("item_key").agg(F.max("quality_grade").alias("quality_grade"))
     docs = ad.documents(spark, d)
     meta = docs.select("item_key").join(meta, "item_key", "left").join(grades, "item_key", "left").withColumn("pdf_hash", F.lit(None).cast("string"))
-    return library_index.index_rows(docs, ad.pages(spark, d), meta, indexing.HashedWords(32))
+    return library_index.index_rows(docs, ad.pages(spark, d), meta, indexing.HashedWords(32)).select("chunk_id", "chunk_type", "doc_id")
 
 
 @query("index_store", "SELECT DISTINCT chunk_id, item_key AS doc_id, CASE WHEN item_key < 'N' THEN 'new' ELSE 'old' END AS version FROM chunks WHERE item_key < 'T'")

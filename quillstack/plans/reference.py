@@ -124,7 +124,11 @@ _MARKS = ["' .'", "chr(10) || '.'", "' ?'", "chr(10) || '?'", "' !'", "chr(10) |
 _FIN = "coalesce(e0, " + ", ".join(f"CASE WHEN instr(reverse(substring(t, s + 1281, 320)), {m}) > 0 THEN s + 1280 + length(substring(t, s + 1281, 320)) - instr(reverse(substring(t, s + 1281, 320)), {m}) + 1 END" for m in _MARKS) + ", s + 1600)"
 
 
-@query("chunk_documents", _CHUNKS.format(fin=_FIN))
+_HEAD, _TAIL = _CHUNKS.format(fin=_FIN).rsplit("\n    SELECT item_key, (row_number()", 1)
+CHUNKS_SQL = f"{_HEAD},\n    pieces AS (SELECT item_key, (row_number(){_TAIL})"
+
+
+@query("chunk_documents", f"{CHUNKS_SQL} SELECT * FROM pieces")
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     docs = ad.documents(spark, d).repartition("item_key")
     return chunking.chunks(docs, "item_key", "full_markdown").select("item_key", "chunk_index", "char_start", "char_end")
@@ -423,11 +427,14 @@ def markdown_tables(spark: SparkSession, d: str) -> DataFrame:
     return _page_tables(spark, d).select("item_key", "page_num", "table_index", F.array_join("headers", "¦").alias("headers"), _flat(), "caption", "n_rows", "n_cols")
 
 
-@query("table_artifacts", f"""WITH {TABLES_SQL}, k AS (SELECT item_key, page_num, table_index, headers, coalesce(regexp_matches(caption, '{tables.NUMBERED}'), false) AS real, list_filter(headers || flatten(rows), lambda c: c IS NOT NULL) AS cells, len(rows) + CASE WHEN len(headers) > 0 THEN 1 ELSE 0 END AS total,
+ARTIFACTS_SQL = f"""k AS (SELECT item_key, page_num, table_index, headers, coalesce(regexp_matches(caption, '{tables.NUMBERED}'), false) AS real, list_filter(headers || flatten(rows), lambda c: c IS NOT NULL) AS cells, len(rows) + CASE WHEN len(headers) > 0 THEN 1 ELSE 0 END AS total,
         list_filter(CASE WHEN len(headers) >= 3 THEN [headers] ELSE [] END || rows, lambda r: len(r) >= 3 AND regexp_matches(trim(r[1]), '{tables.BARE_NUMBER}') AND regexp_matches(trim(r[-1]), '{tables.BARE_NUMBER}')) AS spread FROM tt),
-    m AS (SELECT *, len(list_filter(cells, lambda c: regexp_matches(trim(c), '{tables.CONTENTS_LINE}'))) AS listed, len(list_filter(cells, lambda c: len(regexp_extract_all(c, '{tables.CONTENTS_PACKED}')) >= 3)) > 0 AS packed FROM k)
-    SELECT item_key, page_num, table_index::INT AS table_index, CASE WHEN NOT real AND regexp_matches(array_to_string(headers, ' '), '{tables.SPACED_BOX}') THEN 'article_info_box' WHEN listed >= 3 AND listed >= total * 0.4 THEN 'table_of_contents' WHEN NOT real AND packed THEN 'table_of_contents'
-        WHEN NOT real AND total >= 2 AND len(spread) >= 2 AND len(spread) >= total * 0.4 THEN 'table_of_contents' WHEN NOT real AND regexp_matches(array_to_string(cells, ' '), '{tables.DIAGRAM}') THEN 'diagram_as_table' END AS artifact_type FROM m""")
+    m AS (SELECT *, len(list_filter(cells, lambda c: regexp_matches(trim(c), '{tables.CONTENTS_LINE}'))) AS listed, len(list_filter(cells, lambda c: len(regexp_extract_all(c, '{tables.CONTENTS_PACKED}')) >= 3)) > 0 AS packed FROM k),
+    kinds AS (SELECT item_key, page_num, table_index::INT AS table_index, CASE WHEN NOT real AND regexp_matches(array_to_string(headers, ' '), '{tables.SPACED_BOX}') THEN 'article_info_box' WHEN listed >= 3 AND listed >= total * 0.4 THEN 'table_of_contents' WHEN NOT real AND packed THEN 'table_of_contents'
+        WHEN NOT real AND total >= 2 AND len(spread) >= 2 AND len(spread) >= total * 0.4 THEN 'table_of_contents' WHEN NOT real AND regexp_matches(array_to_string(cells, ' '), '{tables.DIAGRAM}') THEN 'diagram_as_table' END AS artifact_type FROM m)"""
+
+
+@query("table_artifacts", f"WITH {TABLES_SQL}, {ARTIFACTS_SQL} SELECT * FROM kinds")
 def table_artifacts(spark: SparkSession, d: str) -> DataFrame:
     return _page_tables(spark, d).select("item_key", "page_num", "table_index", tables.artifact(F.col("headers"), F.col("rows"), F.col("caption")).alias("artifact_type"))
 
@@ -506,9 +513,14 @@ def crop_boxes(spark: SparkSession, d: str) -> DataFrame:
     return geometry.crop_boxes(caps, ["l_orderkey"]).select("l_orderkey", "y0", "crop_y1")
 
 
-@query("abstract_spans")
+_ABSTRACT = layout.ABSTRACT.replace("'", "''")
+
+
+@query("abstract_spans", f"""WITH p AS (SELECT DISTINCT page_id, item_key, page_num, char_start, markdown FROM page_extractions WHERE page_id IS NOT NULL AND page_num <= {layout.ABSTRACT_PAGES} AND regexp_matches(markdown, '{_ABSTRACT}')),
+    h AS (SELECT *, length(string_split_regex(markdown, '{_ABSTRACT}')[1]) AS a, length(regexp_extract(markdown, '{_ABSTRACT}')) AS n FROM p), r AS (SELECT *, length(string_split_regex(markdown[a + n + 1 :], '{layout.NEXT_HEADING}')[1]) AS stop FROM h)
+    SELECT item_key, arg_min(char_start + a, page_num)::INT AS char_start, arg_min(char_start + a + n + stop, page_num)::INT AS char_end FROM r GROUP BY 1""")
 def abstract_spans(spark: SparkSession, d: str) -> DataFrame:
-    return layout.abstract_spans(ad.pages(spark, d), "item_key")
+    return layout.abstract_spans(ad.pages(spark, d), "item_key").select("item_key", F.col("char_start").cast("int").alias("char_start"), F.col("char_end").cast("int").alias("char_end"))
 
 
 @query("pages_in_references", f"""WITH {_SPANS}, pg AS (SELECT DISTINCT page_id, item_key, page_num, char_start FROM page_extractions WHERE page_id IS NOT NULL)
@@ -518,7 +530,20 @@ def pages_in_references(spark: SparkSession, d: str) -> DataFrame:
     return layout.pages_in(ad.pages(spark, d).select("page_id", "item_key", "page_num", "char_start"), spans, "item_key")
 
 
-@query("completeness")
+_CAPTION_LINES = r"""cx AS (SELECT item_key, page_num, unnest(string_split(markdown, chr(10))) AS raw FROM tp), cy AS (SELECT *, regexp_replace(trim(raw), '(?i)^(?:supplementary|suppl?\.?)\s+', '') AS line FROM cx),
+    cz AS (SELECT item_key, nullif(regexp_extract(raw, '(?i)(?:Figure|Fig\.?|Table|Tab\.?)\s+((?:\d+|[IVXLCDM]+|[A-Z]\.\d+|S\d+))', 1), '') AS number, CASE WHEN regexp_matches(line, '(?i)^(?:Figure|Fig\.?)\s+(?:\d+|[IVXLCDM]+|[A-Z]\.\d+|S\d+)\s*(?:[.:(\x{2014}\x{2013}-]|\*\*|$)') THEN 'figure'
+        WHEN regexp_matches(line, '(?i)^(?:\*\*)?(?:Table|Tab\.?)\s+(?:\d+|[IVXLCDM]+|[A-Z]\.\d+|S\d+)\s*(?:[.:(\x{2014}\x{2013}-]|\*\*|$)') THEN 'table' END AS kind FROM cy)""".replace("\\\\", "\\")
+
+
+@query("completeness", f"""WITH {_SPANS}, {TABLES_SQL}, {_CAPTION_LINES}, ap AS (SELECT DISTINCT page_id, item_key, markdown, images_on_page FROM page_extractions WHERE page_id IS NOT NULL),
+    ba AS (SELECT item_key, count(*) AS total_pages, count(*) FILTER (length(trim(coalesce(markdown, ''))) > 0) AS text_pages, count(*) FILTER (images_on_page > 0) AS figures_found, 0 AS figures_with_captions FROM ap GROUP BY 1),
+    ca AS (SELECT item_key, count(DISTINCT number) FILTER (kind = 'figure') AS fc, count(DISTINCT number) FILTER (kind = 'table') AS tc FROM cz GROUP BY 1), ta AS (SELECT item_key, count(*) AS tf, count(*) FILTER (coalesce(caption, '') <> '') AS tw FROM tt GROUP BY 1),
+    sa AS (SELECT item_key, count(*) AS si FROM spans WHERE label NOT IN ('preamble', 'unknown') GROUP BY 1),
+    al AS (SELECT ba.*, coalesce(fc, 0) AS figure_captions_found, coalesce(tc, 0) AS table_captions_found, coalesce(tf, 0) AS tables_found, coalesce(tw, 0) AS tables_with_captions, coalesce(si, 0) AS sections_identified FROM ba LEFT JOIN ca USING (item_key) LEFT JOIN ta USING (item_key) LEFT JOIN sa USING (item_key)),
+    mi AS (SELECT *, greatest(0, figure_captions_found - figures_found) AS figures_missing, greatest(0, table_captions_found - tables_found) AS tables_missing,
+        (tables_found > 0 AND tables_with_captions = 0)::INT + (figures_found > 0 AND figures_with_captions = 0)::INT + (figure_captions_found > 0 AND figures_found = 0)::INT + (table_captions_found > 0 AND tables_found = 0)::INT AS missed FROM al)
+    SELECT * EXCLUDE (missed), CASE WHEN text_pages = 0 OR missed >= 2 THEN 'F' WHEN missed = 1 THEN 'D' WHEN figures_missing = 0 AND tables_missing = 0 AND figures_found <= figures_with_captions AND tables_found <= tables_with_captions AND sections_identified > 0 THEN 'A'
+        WHEN (figures_found > 0 AND figures_with_captions < 0.8 * figures_found) OR (tables_found > 0 AND tables_with_captions < 0.8 * tables_found) THEN 'C' ELSE 'B' END AS grade FROM mi""")
 def completeness_of_documents(spark: SparkSession, d: str) -> DataFrame:
     pages = ad.pages(spark, d)
     spans = chunking.section_spans(ad.documents(spark, d), "item_key", "full_markdown")
