@@ -96,14 +96,12 @@ def search_tables(spark: SparkSession, d: str) -> DataFrame:
     return search.search_objects(ad.object_index(spark, d, "table"), ad.query_vector(spark, d), "table", 30).select("chunk_id", "caption", F.round("score", 6).alias("score"), F.round("composite_score", 6).alias("composite_score"))
 
 
-@query("context_window", f"""WITH {INDEX_SQL}, h AS (SELECT *, {_score()} AS score FROM usable ORDER BY score DESC, chunk_id LIMIT 50)
-    SELECT h.chunk_id, n.chunk_id AS neighbour, n.chunk_index - h.chunk_index AS distance FROM h JOIN idx n ON n.doc_id = h.doc_id AND n.chunk_index <> h.chunk_index AND n.chunk_index BETWEEN h.chunk_index - 2 AND h.chunk_index + 2""")
+@query("context_window", f"""WITH {INDEX_SQL}, h AS (SELECT *, {_score()} AS score FROM usable ORDER BY score DESC, chunk_id LIMIT 50), n AS (SELECT h.chunk_id, x.chunk_index < h.chunk_index AS before, x.chunk_index AS i, x.passage FROM h JOIN idx x ON x.doc_id = h.doc_id AND x.chunk_index <> h.chunk_index AND x.chunk_index >= 0 AND x.chunk_index BETWEEN h.chunk_index - 2 AND h.chunk_index + 2)
+    SELECT h.chunk_id, coalesce(max(b.before_text), '') AS before, coalesce(max(b.after_text), '') AS after FROM h LEFT JOIN (SELECT chunk_id, string_agg(passage, '¶' ORDER BY i) FILTER (before) AS before_text, string_agg(passage, '¶' ORDER BY i) FILTER (NOT before) AS after_text FROM n GROUP BY 1) b USING (chunk_id) GROUP BY 1""")
 def context_window(spark: SparkSession, d: str) -> DataFrame:
     index = ad.index(spark, d)
-    hits = search.cosine_top_k(index, ad.query_vector(spark, d), 50).select("chunk_id", "doc_id", "chunk_index")
-    near = index.select(F.col("chunk_id").alias("neighbour"), F.col("doc_id").alias("d2"), F.col("chunk_index").alias("i2"))
-    band = near.join(F.broadcast(hits), (F.col("d2") == F.col("doc_id")) & (F.col("i2") != F.col("chunk_index")) & F.col("i2").between(F.col("chunk_index") - 2, F.col("chunk_index") + 2))
-    return band.select("chunk_id", "neighbour", (F.col("i2") - F.col("chunk_index")).alias("distance"))
+    hits = search.cosine_top_k(index, ad.query_vector(spark, d), 50)
+    return search.with_context(hits, index, 2).select("chunk_id", F.array_join("context_before", "¶").alias("before"), F.array_join("context_after", "¶").alias("after"))
 
 
 @query("passage_context", f"WITH {INDEX_SQL}, f AS (SELECT min(doc_id) AS k FROM idx) SELECT chunk_id, chunk_index, chunk_index = 2 AS is_center FROM idx, f WHERE doc_id = k AND chunk_index BETWEEN 0 AND 4")
