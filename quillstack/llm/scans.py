@@ -594,12 +594,12 @@ def repaired_pages(page_extractions: DataFrame) -> DataFrame:
         for pdf in parts:
             rows = []
             for pid, paper, num, text, lines, cut, wrong, first, width in zip(pdf["page_id"], pdf["paper"], pdf["page_num"], pdf["markdown"], pdf["skip"], pdf["cuts"], pdf["words"], pdf["drop_first"], pdf["width"]):
-                found = paragraphs(text, set(none(lines)), {c["line_no"]: c["rest"] for c in none(cut)}, {w["word"]: w["right"] for w in none(wrong)}, first is True, int(width or 0))
+                found = paragraphs(text, set(none(lines)), {c["line_no"]: c["rest"] for c in none(cut)}, {w["word"]: w["right"] for w in none(wrong)}, first is True, int(width))
                 rows.append((pid, paper, num, *found))
             yield pd.DataFrame(rows, columns=["page_id", "paper", "page_num", "parts", "joins", "open"])
 
     shape = f"page_id {pages.schema['page_id'].dataType.simpleString()}, paper string, page_num int, parts array<string>, joins boolean, open boolean"
-    done = written(work.select("page_id", "paper", "page_num", "markdown", "skip", "cuts", "words", F.coalesce("drop_first", F.lit(False)).alias("drop_first"), "width").mapInPandas(batches, shape), "paragraphs")
+    done = written(work.select("page_id", "paper", "page_num", "markdown", "skip", "cuts", "words", F.coalesce("drop_first", F.lit(False)).alias("drop_first"), F.coalesce("width", F.lit(0)).cast("int").alias("width")).mapInPandas(batches, shape), "paragraphs")
     # pages without text of their own don't end a paragraph
     order = W.partitionBy("paper").orderBy("page_num", "page_id")
     text = done.where(F.size("parts") > 0).withColumn("goes_on", F.coalesce(F.lag("open").over(order), F.lit(False)) & F.col("joins"))

@@ -36,7 +36,7 @@ def texts(spark):
     pages = [(*p[:3], "\n".join(p[3])) for p in pages]
     prose = lambda: ". ".join(body(rng, 12).capitalize() for _ in range(8)) + "."
     clean = [(100 + n, f"CLEAN{n // 3}", n % 3 + 1, f"# Results\n\n{prose()}\n\n| a | b |\n|---|---|\n| 1974 | 12 |\n\n{prose()}") for n in range(90)]
-    rows = [(*r, "c", "c") for r in [*pages, *clean, pages[0], (900, "X", 1, None), (901, "X", 2, "")]]
+    rows = [(*r, "c", "c") for r in [*pages, *clean, pages[0], (900, "X", 1, None), (901, "X", 2, ""), (50, "WIDE", 1, "near the glac1er " + "the delta " * 60)]]
     out = {r["page_id"]: r["text"] for r in scans.repaired_pages(spark.createDataFrame(rows, PAGE)).collect()}
     return {r[0]: r[3] for r in rows}, out
 
@@ -50,6 +50,10 @@ def test_pages_are_repaired(texts):
     assert after[3].endswith(" glacier that was not yet known.") and "cier that" not in after[4].replace("glacier", "")
 
 
+def test_a_paper_without_any_line_of_print_width(texts):
+    assert texts[1][50].startswith("near the glacier the delta")
+
+
 def test_clean_pages_are_unchanged(texts):
     before, after = texts
     assert all(after[n] == before[n] for n in before if n >= 100)
